@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query -> module that defines it; a module's SQL is its dictionary ORACLE_SQL, where it has one.
 MODULES = {
+    "op1_best_fit": "packing",
+    "op3_elias_fano": "tokenfile",
     "op9_simhash_gray": "simhash",
     "op10_va_file": "vafile",
     "op2_bloom_cascade": "urlfilter",

@@ -92,13 +92,13 @@ def space_units(text: str) -> list[str]:
 
 
 class PartCache(dict):
-    """part -> bytes, filled on demand by `encode` and emptied when it holds `limit` parts, so memory is bounded."""
+    """part -> encode(part), filled on demand and emptied when it holds `limit` parts, so memory is bounded."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 600_000, longest: int = 64):
+    def __init__(self, encode: Callable, limit: int = 600_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, part):
         out = self.encode(part)
         if len(part) <= self.longest:
             if len(self) >= self.limit:

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module that defines it; a module's SQL is its dictionary ORACLE_SQL, where it has one.
 MODULES = {
+    "op4_surrogates": "surrogates",
     "op5_gumbel_resampling": "quality",
     "op6_imatch": "imatch",
     "op8_tree_bpe": "bpe",

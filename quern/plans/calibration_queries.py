@@ -67,7 +67,9 @@ def collision_floor(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "embeddings").where("vec_id % 10 = 0")
     answers = F.array(F.concat(F.lit("l"), F.col("label")), F.concat(F.lit("m"), F.col("vec_id") % 7))
     questions = df.select(F.col("vec_id").alias("question_id"), F.col("embedding").cast("array<double>").alias("vec"), answers.alias("chunk_ids"))
-    return _rounded(calibration.collision_floor(questions), "distinct_max", "same_min", "same_median", "recommended")
+    names = ("distinct_max", "same_min", "same_median", "recommended")
+    out = calibration.collision_floor(questions)
+    return _rounded(out.withColumns({c: F.col(c) + 1e-10 for c in names}), *names)  # rounded twice: no halves are left
 
 
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,9 +170,9 @@ f as (
   select max(sim) filter (where not same) as distinct_max, min(sim) filter (where same) as same_min,
     median(sim) filter (where same) as same_median, count(*) filter (where not same) as distinct_pairs,
     count(*) filter (where same) as same_pairs from p)
-select round(distinct_max, 6) as distinct_max, round(same_min, 6) as same_min, round(same_median, 6) as same_median,
+select round(distinct_max + 1e-10::double, 6) as distinct_max, round(same_min + 1e-10::double, 6) as same_min, round(same_median + 1e-10::double, 6) as same_median,
   distinct_pairs, same_pairs, distinct_max >= same_min as overlap,
-  round(case when distinct_max >= same_min then least(1, distinct_max + 0.01) else least(1, distinct_max + 0.01, same_min) end, 6) as recommended
+  round(case when distinct_max >= same_min then least(1, distinct_max + 0.01) else least(1, distinct_max + 0.01, same_min) end + 1e-10::double, 6) as recommended
 from f""",
     "key_model_sweep": f"""
 with {EVENTS},

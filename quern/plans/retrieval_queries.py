@@ -54,14 +54,14 @@ def retrieval_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = sides(spark, folder)
-    return similarity.top_k(questions.drop("label"), chunks.drop("label"), 10).withColumn("sim", F.round("sim", 6))
+    return similarity.top_k(questions.drop("label"), chunks.drop("label"), 10).withColumn("sim", F.round(F.col("sim") + 1e-10, 6))
 
 
 def vector_topk_excluding(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = sides(spark, folder)
     excluded = chunks.where("label = 3").select("chunk_id")
     top = similarity.top_k_excluding(questions.drop("label"), chunks.drop("label"), excluded, 5)
-    return top.withColumn("sim", F.round("sim", 6))
+    return top.withColumn("sim", F.round(F.col("sim") + 1e-10, 6))
 
 
 def substituted_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,14 +69,14 @@ def substituted_rank(spark: SparkSession, folder: str) -> DataFrame:
     own = chunks.where("chunk_id = 7")
     ends = own.select(F.explode(F.array(F.struct(F.lit(0).alias("piece_index"), F.reverse("vec").alias("vec")), F.struct(F.lit(1).alias("piece_index"), F.transform("vec", lambda x: -x).alias("vec")))).alias("p"))
     out = similarity.substituted_rank(questions.drop("label"), chunks.drop("label"), 7, ends.select("p.*"), 3)
-    return out.select("question_id", "chunk_id", F.round("sim", 6).alias("sim"), F.coalesce("piece_index", F.lit(-1)).alias("piece_index"), "rank")
+    return out.select("question_id", "chunk_id", F.round(F.col("sim") + 1e-10, 6).alias("sim"), F.coalesce("piece_index", F.lit(-1)).alias("piece_index"), "rank")
 
 
 def explain_between(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = sides(spark, folder)
     expected = questions.select("question_id", (F.col("question_id") + 1).alias("expected_id"))
     out = similarity.between_ranks(questions.drop("label"), chunks.drop("label"), expected, 5)
-    return out.withColumn("sim", F.round("sim", 6))
+    return out.withColumn("sim", F.round(F.col("sim") + 1e-10, 6))
 
 
 def gold_rank_recall(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, list[list[fl
 
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
     points, centroids = _clusters(spark, folder)
-    return clustering.assigned(points, centroids).select("id", "cluster", F.round("sim", 6).alias("sim"))
+    return clustering.assigned(points, centroids).select("id", "cluster", F.round(F.col("sim") + 1e-10, 6).alias("sim"))
 
 
 def cluster_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,12 +218,12 @@ each as (
   from ranked where rank <= 5 group by 1)
 select count(*) as n, round(avg((first is not null)::int::double), 6) as hit_at_5,
        round(avg(coalesce(1.0::double / first, 0)), 6) as mrr_at_5, round(avg(dcg), 6) as dcg_at_5 from each""",
-    "vector_topk": f"with {PAIRS} select question_id, chunk_id, round(sim, 6) as sim, rank from ranked where rank <= 10",
+    "vector_topk": f"with {PAIRS} select question_id, chunk_id, round(sim + 1e-10::double, 6) as sim, rank from ranked where rank <= 10",
     "vector_topk_excluding": f"""
 with {PAIRS},
 left_over as (
   select *, row_number() over (partition by question_id order by sim desc, chunk_id)::int as r from pairs where label <> 3)
-select question_id, chunk_id, round(sim, 6) as sim, r as rank from left_over where r <= 5""",
+select question_id, chunk_id, round(sim + 1e-10::double, 6) as sim, r as rank from left_over where r <= 5""",
     "substituted_rank": f"""
 with {PAIRS},
 pieces as (
@@ -236,10 +236,10 @@ both_lanes as (
   union all select question_id, chunk_id, sim, piece_index from pieces),
 placed as (
   select *, row_number() over (partition by question_id order by sim desc, chunk_id, piece_index nulls first)::int as rank from both_lanes)
-select question_id, chunk_id, round(sim, 6) as sim, coalesce(piece_index, -1) as piece_index, rank from placed where rank <= 3 or piece_index is not null""",
+select question_id, chunk_id, round(sim + 1e-10::double, 6) as sim, coalesce(piece_index, -1) as piece_index, rank from placed where rank <= 3 or piece_index is not null""",
     "explain_between": f"""
 with {PAIRS}
-select r.question_id, r.chunk_id, round(r.sim, 6) as sim, r.rank
+select r.question_id, r.chunk_id, round(r.sim + 1e-10::double, 6) as sim, r.rank
 from ranked r join ranked e on e.question_id = r.question_id and e.chunk_id = e.question_id + 1
 where r.rank > 5 and r.rank < e.rank""",
     "gold_rank_recall": f"""
@@ -293,7 +293,7 @@ lanes as (
 select question_id, chunk_id, score_rank,
   row_number() over (partition by question_id order by score_rank, sim desc, chunk_id)::int as rank
 from lanes qualify rank <= 10""",
-    "nearest_centroid": f"with {_CENTROIDS} select id, cluster, round(sim, 6) as sim from assigned",
+    "nearest_centroid": f"with {_CENTROIDS} select id, cluster, round(sim + 1e-10::double, 6) as sim from assigned",
     "cluster_stats": f"with {_CENTROIDS} select cluster, count(*) as size, round(avg(sim), 6) as cohesion from assigned group by 1",
     "silhouette": f"""
 with {_CENTROIDS}

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, spread, table, texts_of
+from quern.llm.common import cut, fresh, spread, table, texts_of
 
 #: Common given names by script and gender.
 GIVEN = {
@@ -289,27 +289,30 @@ def _mentions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(rows), columns=["h", "kind", "value"])
 
 
-def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """docs with surrogates in `text` and a column `_spans` (kind, start, end in the old text, surrogate).
+def replace_entities(docs: DataFrame, key: bytes, text: str = "text", spans: str = "_spans") -> DataFrame:
+    """docs with surrogates in `text` and a new column `spans` (kind, start, end in the old text, surrogate).
 
     Detects e-mail addresses, telephone, card, account and social security numbers, IPv4 addresses, access keys and
     names of persons. Other text, all other columns and null texts stay as they are; a text without entities has no
-    spans. One key gives one mapping for all documents; a value that clashed is drawn again alike everywhere.
+    spans; repeated rows get equal results. One key gives one mapping for all documents; a value that clashed is drawn
+    again alike everywhere. `spans` must not be a column of docs.
     """
     spark = docs.sparkSession
     again = settled_entities(docs.select(F.col(text).alias("text")), key).where("attempt > 0").select("kind", "value", "attempt")
-    body = F.col(text).cast("string")
+    body, made = F.col(text).cast("string"), fresh(docs, "_made")
     if again.count() <= MAX_BROADCAST:  # usually none
         attempts = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in again.collect()})
-        made = docs.withColumn("_made", _replacing(lambda: Replacer(key, attempts.value), body))
+        out = docs.withColumn(made, _replacing(lambda: Replacer(key, attempts.value), body))
     else:  # too many to send to every task: each text gets its own through a join on its hash
         texts = docs.select(F.xxhash64(body).alias("h"), body.alias("text"))
         hit = texts.mapInPandas(_mentions, "h long, kind string, value string").distinct().join(again, ["kind", "value"])
-        own = hit.groupBy("h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
-        joined = docs.withColumn("_h", F.xxhash64(body)).join(own, F.col("_h") == F.col("h"), "left")
-        made = joined.withColumn("_made", _replacing(lambda: Replacer(key, {}), body, F.col("_own"))).drop("_h", "h", "_own")
-    new = F.when(F.col(text).isNotNull(), F.col("_made.text")).alias(text)
-    return made.select(*[new if c == text else F.col(c) for c in docs.columns], F.col("_made.spans").alias("_spans"))
+        own, h = fresh(docs, "_own"), fresh(docs, "_h")
+        per_text = hit.groupBy(F.col("h").alias(h)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(own))
+        named = docs.withColumn(fresh(docs, "_text_hash"), F.xxhash64(body))
+        joined = named.join(per_text, F.col(fresh(docs, "_text_hash")) == F.col(h), "left")
+        out = joined.withColumn(made, _replacing(lambda: Replacer(key, {}), body, F.col(own)))
+    new = F.when(F.col(text).isNotNull(), F.col(f"{made}.text")).alias(text)
+    return out.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(f"{made}.spans").alias(spans))
 
 
 KEY = b"quern surrogate key"

@@ -81,7 +81,10 @@ def space_units(text: str) -> list[str]:
 
 
 class PartCache(dict):
-    """part -> encode(part), filled on demand and emptied when it holds `limit` parts, so memory is bounded."""
+    """part -> encode(part), filled on demand up to `limit` parts of up to `longest` symbols, so memory is bounded.
+
+    What is frequent is met early, so the first parts stay and later new ones are encoded each time.
+    """
 
     def __init__(self, encode: Callable, limit: int = 600_000, longest: int = 64):
         super().__init__()
@@ -89,9 +92,7 @@ class PartCache(dict):
 
     def __missing__(self, part):
         out = self.encode(part)
-        if len(part) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(part) <= self.longest and len(self) < self.limit:
             self[part] = out
         return out
 
@@ -100,13 +101,14 @@ class UnitEncoder:
     """Whole texts to little-endian 32-bit ids, part by part, given an encoder of strings.
 
     Letters and a tail of ASCII marks are separate pre-tokens in the public patterns, so a word's ids are kept once for
-    all its tails; with `folds` (a tokenizer that lower-cases) also once for both cases of ASCII words.
+    all its tails; with `folds` (a tokenizer that lower-cases) also once for both cases of ASCII words. `word` may give a
+    shorter way for a word of Latin letters after a space.
     """
 
     MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
-    def __init__(self, encode: Callable[[str], bytes], folds: bool = False):
-        self.encode, self.folds = encode, folds
+    def __init__(self, encode: Callable[[str], bytes], folds: bool = False, word: Callable[[str], bytes] | None = None):
+        self.encode, self.folds, self.word = encode, folds, word
         self.first, self.later = PartCache(encode, 50_000), PartCache(self._later)
 
     def _later(self, part: str) -> bytes:
@@ -115,6 +117,8 @@ class UnitEncoder:
             return self.later[core] + self.first[part[len(core) :]]
         if self.folds and part.isascii() and (low := part.lower()) != part:
             return self.later[low]
+        if self.word and part.isalpha() and max(part) <= "\u017e" and "\u0130" not in part:
+            return self.word(part)
         return self.encode(" " + part)
 
     def __call__(self, text: str) -> bytes:

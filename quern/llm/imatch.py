@@ -109,28 +109,44 @@ def fingerprint_documents(
     return spread(rows).mapInPandas(partial(_prints, lexicon=held), "doc_id long, fingerprint string")
 
 
+#: Runs a partition: many short runs even out what a hash deals to each.
+RUNS = 4
+
+
 def with_heirs(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text) in runs of descending ids, each run followed by the row that comes next in the corpus.
 
     Adds `chunk` (the run) and `heir` (true for the row that only follows). Partitions hold whole runs, sorted. Runs
-    are cut at quantiles of the ids, so only one row a run is sent twice; no task sees the whole order. Null ids are
-    the smallest; equal ids are ordered by a hash of their text.
+    are cut at quantiles of the ids, so only one row a run is sent twice; no task sees the whole order. Bounds and first
+    ids of the runs, a few numbers a partition, are sent to every task. Null ids are the smallest; equal ids are ordered
+    by a hash of their text.
     """
-    runs = shuffle_partitions(rows.sparkSession)
+    partitions = shuffle_partitions(rows.sparkSession)
+    runs = RUNS * partitions
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    marks = [i / runs for i in range(1, runs)]
     ids = rows.select(key.alias("key"))
-    bounds = sorted(set(ids.agg(F.percentile_approx("key", marks, 10 * runs).alias("b")).first()["b"] or [])) if marks else []
-    chunk = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    tops = {r["chunk"]: r["top"] for r in ids.groupBy(chunk.alias("chunk")).agg(F.max("key").alias("top")).collect()}
+    marks = [i / runs for i in range(1, runs)]
+    cuts = ids.agg(F.percentile_approx("key", marks, 10 * runs).alias("b")).first()["b"]
+    bounds = np.unique(np.array(cuts or [], np.int64))
+
+    @F.pandas_udf("int")
+    def run_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "right").astype(np.int32))
+
+    tops = {r["chunk"]: r["top"] for r in ids.groupBy(run_of("key").alias("chunk")).agg(F.max("key").alias("top")).collect()}
     full = sorted(tops)
-    rows = rows.withColumn("key", key).withColumn("chunk", chunk).withColumn("tie", F.xxhash64("text"))
-    own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("heir"))
-    also = F.lit(None).cast("struct<chunk:int,heir:boolean>")
-    for lower, upper in zip(full, full[1:] + full[:1]):  # the first row of a run follows the run above; the last wraps
-        also = F.when(F.col("key") == tops[lower], F.struct(F.lit(upper).alias("chunk"), F.lit(True).alias("heir"))).otherwise(also)
+    above = dict(zip((tops[lower] for lower in full), full[1:] + full[:1]))  # the first id of a run follows the run above
+
+    @F.pandas_udf("int")
+    def followed(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: above.get(k, -1)).astype("int32")
+
+    rows = rows.withColumn("key", key).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("own", run_of("key")).withColumn("also", followed("key"))
+    own = F.struct(F.col("own").alias("chunk"), F.lit(False).alias("heir"))
+    also = F.when(F.col("also") >= 0, F.struct(F.col("also").alias("chunk"), F.lit(True).alias("heir")))
     dealt = rows.withColumn("to", F.explode(F.array_compact(F.array(own, also))))
-    dealt = dealt.select("doc_id", "text", "key", "tie", "to.chunk", "to.heir").repartition(runs, "chunk")
+    dealt = dealt.select("doc_id", "text", "key", "tie", "to.chunk", "to.heir").repartition(partitions, "chunk")
     return dealt.sortWithinPartitions("chunk", "heir", F.desc("key"), "tie")
 
 

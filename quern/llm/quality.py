@@ -63,22 +63,34 @@ def _count(frames: Iterator[pd.DataFrame], good) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"chunk": full.astype(np.int32), "counts": [chunks[i].tobytes() for i in full]})
 
 
+FAN_IN = 64
+PARTS = "part int, chunk int, counts binary"
+
+
 def _add(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, np.int64)
     for counts in group["counts"]:
         total += np.frombuffer(counts, np.int64)
-    return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "counts": [total.tobytes()]})
+    return pd.DataFrame({"part": [group["part"].iloc[0]], "chunk": [group["chunk"].iloc[0]], "counts": [total.tobytes()]})
 
 
 def log_ratios(docs: DataFrame, good: set[int]) -> np.ndarray:
-    """Log ratio of the target to the raw model of each bucket, counted over every document."""
+    """Log ratio of the target to the raw model of each bucket, counted over every document.
+
+    The vectors that tasks have counted are added FAN_IN at a time until few are left, so no task reads those of all.
+    """
     held = docs.sparkSession.sparkContext.broadcast(good)
+    left = docs.rdd.getNumPartitions()
     made = docs.mapInPandas(partial(_count, good=held), "chunk int, counts binary")
-    # partial vectors of many tasks meet in steps, so that no task reads those of all
-    some = made.withColumn("part", F.spark_partition_id() % 64).groupBy("chunk", "part").applyInPandas(_add, "chunk int, counts binary")
+    made = made.withColumn("part", F.spark_partition_id())
+    while True:
+        made = made.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part", "chunk").applyInPandas(_add, PARTS)
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            break
     sums = np.zeros((2 * BUCKETS // CHUNK, CHUNK), np.int64)
-    for r in some.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect():
-        sums[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    for r in made.collect():
+        sums[r["chunk"]] += np.frombuffer(r["counts"], np.int64)
     raw, target = sums.reshape(2, BUCKETS).astype(float)
     expected = raw * (target.sum() / max(raw.sum(), 1.0))
     return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from quern.llm.common import scratch_path, shuffle_partitions, table, texts_of
 from quern.llm.tokenizer import encoder, vocabulary_path
 
-BLOCK_TOKENS, SAMPLE = 1 << 18, 256
+BLOCK_TOKENS, SAMPLE, MAX_BROADCAST = 1 << 18, 256, 1_000_000
 
 
 class EliasFano:
@@ -162,6 +162,8 @@ def read_token_file(spark: SparkSession, out: str) -> DataFrame:
     inner = blocks.select("shard", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("inner"))
     begins = inner.join(spark.read.parquet(f"{out}/shards"), "shard")
     begins = begins.select("shard", "block", (F.col("begin") + F.col("inner")).alias("begin"))
+    if blocks.select("shard").count() <= MAX_BROADCAST:  # 16 bytes a block; beyond, the join shuffles the blocks
+        begins = F.broadcast(begins)
     whole = blocks.select("shard", "block", "n_null", "least", "doc_ids", "ends", "width", "ids").join(begins, ["shard", "block"])
     return whole.mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import partial
 
 import numpy as np
@@ -17,14 +18,30 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_symbols() -> list[str]:
+    """The public byte-level alphabet: printable Latin-1 bytes as themselves, the others as code points from 256 on."""
+    same = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in same else chr(next(others)) for b in range(256)]
+
+
 def _load(path: str) -> UnitEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    model, symbols = tokenizer.model, byte_symbols()
     folds = "Lowercase" in str(json.loads(tokenizer.to_str()).get("normalizer"))
-    return UnitEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), folds)
+    normal = tokenizer.normalizer.normalize_str(" a") if tokenizer.normalizer else " a"
+    lead = tokenizer.pre_tokenizer.pre_tokenize_str(normal)[0][0][:-1]  # what becomes of a space before a word
+
+    def word(letters: str) -> bytes:
+        """A word of composed Latin letters is one pre-token: only the model is asked."""
+        data = (letters.lower() if folds else letters).encode()
+        return array("I", [t.id for t in model.tokenize(lead + "".join(map(symbols.__getitem__, data)))]).tobytes()
+
+    return UnitEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), folds, word)
 
 
 def encoder(path: str) -> UnitEncoder:

@@ -36,10 +36,10 @@ def _load(path: str) -> UnitEncoder:
     normal = tokenizer.normalizer.normalize_str(" a") if tokenizer.normalizer else " a"
     lead = tokenizer.pre_tokenizer.pre_tokenize_str(normal)[0][0][:-1]  # what becomes of a space before a word
 
-    def word(letters: str) -> bytes:
+    def word(letters: str, spaced: bool) -> bytes:
         """A word of composed Latin letters is one pre-token: only the model is asked."""
         data = (letters.lower() if folds else letters).encode()
-        return array("I", [t.id for t in model.tokenize(lead + "".join(map(symbols.__getitem__, data)))]).tobytes()
+        return array("I", [t.id for t in model.tokenize((lead if spaced else "") + "".join(map(symbols.__getitem__, data)))]).tobytes()
 
     return UnitEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), folds, word)
 

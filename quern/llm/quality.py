@@ -37,7 +37,7 @@ def _word_hashes(unit: str) -> bytes:
     return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], "<u4").tobytes()
 
 
-_CACHE = PartCache(_word_hashes, 300_000)
+_CACHE = PartCache(_word_hashes, 200_000)
 
 
 def ngram_buckets(text: str) -> np.ndarray:

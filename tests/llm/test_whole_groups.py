@@ -39,3 +39,11 @@ def test_planted_pairs_among_template_pages(spark):
     expected = groups_by_brute_force(rows)
     assert len(set(expected.values())) == 630
     assert keepers(spark, rows) == expected
+
+
+def test_short_pages_below_the_threshold_stay_apart(spark):
+    template = words("t", 18)
+    rows = [(i, " ".join(template + words(f"p{i}x", 2))) for i in range(500)]
+    expected = groups_by_brute_force(rows)
+    assert len(set(expected.values())) == 500
+    assert keepers(spark, rows) == expected

@@ -60,12 +60,14 @@ _PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-_MARK = re.compile(r"[@\d]|\b[0-9A-Fa-f]{32}|sk-|AKIA")
+_MARK = re.compile(r"[@\d]|\b[0-9A-Fa-f]{32}|sk-|AKIA|gh[pousr]_")
 _NAME = re.compile(
     rf"\b(?P<given>{'|'.join(sorted(KIND_OF, key=len, reverse=True))}) (?P<family>(?:{_WORD}\. )?(?=[^\W\d_a-zа-яα-ω])(?!The\b){_WORD}{{2,}}(?:-{_WORD}{{2,}})?)"
     rf"|\b(?P<title>{'|'.join(TITLES.split())})\.? (?P<called>(?=[^\W\d_a-zа-яα-ω]){_WORD}{{2,}}(?:-{_WORD}{{2,}})?)"
 )
-_NAME_WORDS = KIND_OF.keys() | set(TITLES.split()) | {t + "." for t in TITLES.split()}
+#: A word that the names' pattern begins with, wherever it allows one: what lacks it holds no name.
+_NAME_WORDS = KIND_OF.keys() | set(TITLES.split())
+_PARTS = re.compile(r"\w+")
 
 Value = tuple[str, str]  # a type and the value's canonical form
 
@@ -187,7 +189,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if _MARK.search(text):
         for m in _PATTERN.finditer(text):
             found.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
-    if not _NAME_WORDS.isdisjoint(text.split()):
+    if not _NAME_WORDS.isdisjoint(_PARTS.findall(text)):
         for m in _NAME.finditer(text):
             if m["given"]:
                 found.append((*m.span("given"), "given " + KIND_OF[m["given"]], m["given"]))

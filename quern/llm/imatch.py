@@ -69,13 +69,13 @@ class Fingerprinter:
         self.hashes, self.member = _membership(lexicon)
 
     def __call__(self, text: str) -> tuple:
-        """A part for each sub-lexicon, '' where it holds none of the terms; a text without band terms hashes all."""
+        """A part for each sub-lexicon, '' where it holds none of the terms; a text of which none holds a term hashes all."""
         found = terms(text)
         at = np.array(sorted(self.place[t] for t in found & self.place.keys()), np.int64)
-        if not len(at):
+        hashes, member = self.hashes[at], self.member[at]
+        if not member.any():
             whole = hashlib.blake2b(b"\n".join(sorted(found)), digest_size=8).hexdigest()
             return (f"all:{whole}",)
-        hashes, member = self.hashes[at], self.member[at]
         return tuple(
             hashlib.blake2b(hashes[own].tobytes(), digest_size=4).hexdigest() if own.any() else "" for own in member.T
         )
@@ -103,7 +103,7 @@ def fingerprint_documents(
     docs: DataFrame, low: float = 2.0, high: float = 7.0, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, fingerprint) of every row. Null texts are empty; equal texts have equal fingerprints; texts without a
-    term in the band hash all their terms; null ids and repeated rows stay; other columns are not read."""
+    term in any sub-lexicon hash all their terms; null ids and repeated rows stay; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(term_lexicon(spread(rows), low, high))
     return spread(rows).mapInPandas(partial(_prints, lexicon=held), "doc_id long, fingerprint string")

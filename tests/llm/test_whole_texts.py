@@ -1,8 +1,8 @@
-"""Names after any mark and keys without digits."""
+"""Names after any mark, keys without digits, and fingerprints of short texts."""
 
 import pytest
 
-from quern.llm import surrogates
+from quern.llm import imatch, surrogates
 
 
 @pytest.mark.parametrize("text", ['"Anna Smith"', "(Dr. Weber)", "-John Miller", "said:Anna Smith", "„Anna Smith“", "[Mr Miller]"])
@@ -14,3 +14,13 @@ def test_names_after_marks(text):
 def test_key_without_digits():
     key = "ghp_" + "abcdefghijklmnopqrstuvwxyz"
     assert [x[2:] for x in surrogates.detect(f"token {key} end")] == [("secret", key)]
+
+
+def test_short_texts_outside_every_sub_lexicon():
+    lexicon = [f"term{i}".encode() for i in range(200)]
+    make = imatch.Fingerprinter(lexicon)
+    outside = [t.decode() for t, held in zip(lexicon, make.member) if not held.any()]
+    assert len(outside) > 2
+    a, b = make(outside[0]), make(outside[1])
+    assert a != b and imatch.likeness(a, b) == 0.0
+    assert imatch.likeness(a, make(outside[0])) == 1.0

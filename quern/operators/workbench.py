@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +34,12 @@ def chunk_spans(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> Data
 
 def token_offsets(words: Column) -> Column:
     """Offsets of the words of a text joined by single spaces, and its length: array<int> of n + 1 numbers."""
-    start = F.array(F.lit(0))
-    return F.aggregate(words, start, lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w) + 1)))
+
+    @F.pandas_udf("array<int>")
+    def summed(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda n: None if n is None else np.cumsum(np.concatenate([[0], np.asarray(n) + 1])).astype(np.int32))
+
+    return summed(F.transform(words, F.length))
 
 
 def edit_windows(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

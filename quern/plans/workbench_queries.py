@@ -24,6 +24,12 @@ def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.md5(F.array_join(workbench.token_offsets(chunking.words_of(F.col("text"))).cast("array<string>"), ",")).alias("offsets_md5"))
 
 
+def token_offsets_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document; token_offsets shows those that its SQL covers."""
+    offsets = workbench.token_offsets(chunking.words_of(F.col("text")))
+    return table(spark, folder, "documents").select("doc_id", F.md5(F.array_join(offsets.cast("array<string>"), ",")).alias("offsets_md5"))
+
+
 def edit_windows(spark: SparkSession, folder: str) -> DataFrame:
     return workbench.edit_windows(chunking.chunk(table(spark, folder, "documents"), 64, 8))
 
@@ -157,7 +163,7 @@ def trial_pools(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_spans, token_offsets, edit_windows, rechunk_outcome, replay_metrics, restamp_latest, settle_batch, threshold_stats,
+        chunk_spans, token_offsets, token_offsets_whole, edit_windows, rechunk_outcome, replay_metrics, restamp_latest, settle_batch, threshold_stats,
         override_fingerprints, guard_delta, best_of_group, time_estimates, pair_building, judge_selection, complete_documents,
         prompt_context, scope_tree, round_robin_draw, shadow_spaces, holdout_contamination, next_work, batch_savings,
         job_progress, trial_pools,

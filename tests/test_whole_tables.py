@@ -1,0 +1,20 @@
+"""Queries over whole tables, against brute force."""
+
+import hashlib
+import re
+
+from quern.plans import registry
+from quern.sources.tables import table
+
+
+def test_token_offsets_of_every_document(spark, tables):
+    expected = {}
+    docs = table(spark, tables, "documents").collect()
+    for d in docs:
+        offsets = [0]
+        for w in re.split(r"\s+", d["text"].strip()):
+            offsets.append(offsets[-1] + len(w) + 1)
+        expected[d["doc_id"]] = hashlib.md5(",".join(map(str, offsets)).encode()).hexdigest()
+    assert len(docs) > table(spark, tables, "documents").where("n_chars < 3000").count()
+    got = registry.queries()["token_offsets_whole"](spark, tables).collect()
+    assert len(got) == len(docs) and {r["doc_id"]: r["offsets_md5"] for r in got} == expected

@@ -58,18 +58,15 @@ def _bounds(cells: np.ndarray, queries: np.ndarray, edges: tuple) -> tuple[np.nd
     return least - slack, most + slack
 
 
-def _scan(left: pd.DataFrame, right: pd.DataFrame, edges: dict, k: int, survivors: bool) -> pd.DataFrame:
-    """Of a block of cells and a block of queries: each query's k best lower bounds, or the vectors it cannot rule out."""
+def _scan(left: pd.DataFrame, right: pd.DataFrame, edges: dict, k: int) -> pd.DataFrame:
+    """Of a block of cells and a block of queries: each query's k best lower bounds."""
     empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "bound": np.empty(0)})
     if not len(left) or not len(right):
         return empty
     dim, ids = int(left["dim"].iloc[0]), left["id"].to_numpy()
     asked = right["query_id"].to_numpy()
-    least, most = _bounds(_matrix(left["cells"], dim, np.uint8), _matrix(right["qvec"], dim), edges[dim])
+    least, _ = _bounds(_matrix(left["cells"], dim, np.uint8), _matrix(right["qvec"], dim), edges[dim])
     own = asked[:, None] == ids[None, :]
-    if survivors:
-        q, v = np.nonzero((most >= right["least"].to_numpy()[:, None]) & ~own)
-        return pd.DataFrame({"query_id": asked[q], "id": ids[v], "bound": most[q, v]})
     least[own] = -np.inf
     n = min(k, len(ids))
     at = np.argpartition(-least, n - 1, axis=1)[:, :n]
@@ -78,23 +75,42 @@ def _scan(left: pd.DataFrame, right: pd.DataFrame, edges: dict, k: int, survivor
     return out[np.isfinite(best)]
 
 
-def _refine(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exact scores of a block of queries, best bound first, until no other vector can be among a query's k best."""
+def _hopes(left: pd.DataFrame, right: pd.DataFrame, edges: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Highest scores of a block of queries with a block of cells, and which of them cannot be ruled out."""
+    dim = int(left["dim"].iloc[0])
+    _, most = _bounds(_matrix(left["cells"], dim, np.uint8), _matrix(right["qvec"], dim), edges[dim])
+    own = right["query_id"].to_numpy()[:, None] == left["id"].to_numpy()[None, :]
+    return most, (most >= right["least"].to_numpy()[:, None]) & ~own
+
+
+def _survivors(left: pd.DataFrame, right: pd.DataFrame, edges: dict) -> pd.DataFrame:
+    """The vectors of a block, each once, that some query of a block cannot rule out."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"id": np.empty(0, np.int64), "dim": 0, "block": 0, "qblock": 0})
+    ids = np.unique(left["id"].to_numpy()[_hopes(left, right, edges)[1].any(axis=0)])
+    return pd.DataFrame({"id": ids, **{c: int(left[c].iloc[0]) for c in ("dim", "block", "qblock")}})
+
+
+def _refine(left: pd.DataFrame, right: pd.DataFrame, edges: dict, k: int) -> pd.DataFrame:
+    """Exact scores of a block of queries with a block of vectors, best bound first, until no other vector of the block
+    can be among a query's k best."""
     out = {"query_id": [], "vec_id": [], "score": []}
-    asked = dict(zip(right["query_id"], right["qvec"]))
-    for query, rows in left.groupby("query_id", sort=False):
-        q = np.frombuffer(asked[query], "<i8")
-        rows = rows.sort_values("bound", ascending=False)
-        bounds, ids, vecs = rows["bound"].to_numpy(), rows["id"].to_numpy(), rows["vec"].to_numpy()
-        scores = np.empty(0, np.int64)
-        for at in range(0, len(ids), 64):
-            if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > bounds[at]:
-                break
-            scores = np.append(scores, _matrix(vecs[at : at + 64], len(q)) @ q)
-        best = np.lexsort((ids[: len(scores)], -scores))[:k]
-        out["query_id"] += [query] * len(best)
-        out["vec_id"] += ids[best].tolist()
-        out["score"] += scores[best].tolist()
+    if len(left) and len(right):
+        most, hope = _hopes(left, right, edges)
+        ids, vecs = left["id"].to_numpy(), _matrix(left["vec"], int(left["dim"].iloc[0]))
+        for x, (query, q) in enumerate(zip(right["query_id"], _matrix(right["qvec"], vecs.shape[1]))):
+            rows = np.flatnonzero(hope[x])
+            rows = rows[np.argsort(-most[x, rows])]
+            scores = np.empty(0, np.int64)
+            for at in range(0, len(rows), 64):
+                if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > most[x, rows[at]]:
+                    break
+                scores = np.append(scores, vecs[rows[at : at + 64]] @ q)
+            found = ids[rows[: len(scores)]]
+            best = np.lexsort((found, -scores))[:k]
+            out["query_id"] += [query] * len(best)
+            out["vec_id"] += found[best].tolist()
+            out["score"] += scores[best].tolist()
     return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
 
@@ -129,24 +145,19 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_
     asks = asks.select(F.col("id").alias("query_id"), "dim", F.col("vec").alias("qvec"), F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int").alias("qblock"))
     keys, made = ["dim", "block", "qblock"], "query_id long, id long, bound double"
 
-    def scan(queries: DataFrame, survivors: bool) -> DataFrame:
+    def met(blocks_of: DataFrame, queries: DataFrame, task, layout: str) -> DataFrame:
         right = queries.select("*", every(blocks, "block"))
-        pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-        return pairs.applyInPandas(lambda a, b: _scan(a, b, edges, k, survivors), made)
+        return blocks_of.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(task, layout)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "id")
-    kth = scan(asks, False).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
+    kth = met(left, asks, lambda a, b: _scan(a, b, edges, k), made).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k)
     kth = kth.groupBy("query_id").agg(F.min("bound").alias("bound"), F.max("rn").alias("n"))
     kth = kth.select("query_id", F.when(F.col("n") == k, F.col("bound")).otherwise(-float("inf")).alias("least"))
-    left_over = scan(asks.join(kth, "query_id"), True)
-    read = left_over.join(packed.select("id", "vec"), "id").join(
-        asks.select("query_id", F.col("dim").alias("qdim"), F.col("qblock").alias("of")), "query_id"
-    )
-    exact = (
-        read.groupBy("qdim", "of")
-        .cogroup(asks.groupBy("dim", "qblock"))
-        .applyInPandas(lambda a, b: _refine(a, b, k), "query_id long, vec_id long, score long")
-    )
+    asks = cut(asks.join(kth, "query_id"))
+    # a vector that survives goes once to each block of queries, however many of them it survives
+    needed = met(left, asks, lambda a, b: _survivors(a, b, edges), "id long, dim int, block int, qblock int")
+    read = needed.join(packed, ["id", "dim"])
+    exact = met(read, asks, lambda a, b: _refine(a, b, edges, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return exact.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

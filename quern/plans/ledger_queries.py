@@ -6,6 +6,8 @@ customers' questions; line items are runs, pieces and trials.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ def chunk_page(spark: SparkSession, folder: str) -> DataFrame:
     return workspace.page(rows, ["source", "doc_id"], 40, 25)
 
 
-def dirty_screen(spark: SparkSession, folder: str) -> DataFrame:
+def dirty_screen(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     orders = table(spark, folder, "orders")
     k = F.col("o_orderkey")
     cutoffs = F.create_map(F.lit("base"), F.lit(0.8), F.lit("m1"), F.lit(0.75))
@@ -122,7 +124,7 @@ def dirty_screen(spark: SparkSession, folder: str) -> DataFrame:
         (k % 13 == 0).alias("edit_stale"), F.array(k % 7, k % 5).alias("retrieved_ids"), F.when(k % 6 == 0, 5).otherwise(10).alias("cutoff_depth"),
         F.when(k % 8 != 0, 0.4).cast("double").alias("deep"), cutoffs.alias("models"),
     )
-    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2")
+    lines = table(spark, folder, "lineitem").where(F.lit(whole) | (F.col("l_linenumber") <= 2))
     changed = lines.select(
         F.col("l_orderkey").alias("question_id"), (F.col("l_partkey") % 11).alias("chunk_id"),
         F.when(F.col("l_suppkey") % 3 == 0, "m1").when(F.col("l_suppkey") % 3 == 1, "m9").alias("final_model"),
@@ -206,6 +208,8 @@ QUERIES = {
         stream_dedupe, stream_ema,
     )
 }
+#: With every change of a result; its namesake shows what its SQL covers.
+QUERIES["dirty_screen_whole"] = partial(dirty_screen, whole=True)
 
 SQL = {
     "costs_report": """

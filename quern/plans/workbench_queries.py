@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,9 +86,9 @@ def time_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return workbench.time_estimates(work, timings, {"click": 1.0, "error": 700.0})
 
 
-def pair_building(spark: SparkSession, folder: str) -> DataFrame:
+def pair_building(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     turns = table(spark, folder, "conversations").where("role = 'user'")
-    text = F.substring("text", 1, 20)
+    text = F.col("text") if whole else F.substring("text", 1, 20)
     origins = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), text.alias("question"),
         F.array(F.concat(F.lit(" "), text), F.concat(text, F.lit(" again"))).alias("paraphrases"),
@@ -107,8 +109,9 @@ def complete_documents(spark: SparkSession, folder: str) -> DataFrame:
     return workbench.complete_documents(lines.select("doc_id", "position"), lines.where("l_shipdate < timestamp '1998-01-01'"))
 
 
-def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.substring("text", 1, 30).alias("text"))
+def prompt_context(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    text = F.col("text") if whole else F.substring("text", 1, 30)
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), text.alias("text"))
     return workbench.prompt_contexts(turns)
 
 
@@ -147,15 +150,15 @@ def batch_savings(spark: SparkSession, folder: str) -> DataFrame:
     return _round(e.groupBy("event_type").agg(F.sum(workbench.batch_saving(F.col("value"), kind)).alias("saved")), 4, "saved")
 
 
-def job_progress(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").where("event_id % 50 = 0")
+def job_progress(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    e = table(spark, folder, "events").where(F.lit(whole) | (F.col("event_id") % 50 == 0))
     jobs = e.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 90 + 1).alias("done"), F.lit(100).alias("total"), F.col("ts").alias("started_at"), F.col("ts").alias("updated_at"))
     return workbench.job_progress(jobs, F.lit("2024-02-01").cast("timestamp"), 86400 * 10)
 
 
-def trial_pools(spark: SparkSession, folder: str) -> DataFrame:
+def trial_pools(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     base = table(spark, folder, "embeddings").select("vec_id", "label")
-    trials = base.where("vec_id % 30 = 0").select(F.col("vec_id").alias("trial_id"), F.array(F.col("vec_id") + 3, F.lit(-1).cast("long"), F.col("vec_id") + 1).alias("pool_ids"))
+    trials = base.where(F.lit(whole) | (F.col("vec_id") % 30 == 0)).select(F.col("vec_id").alias("trial_id"), F.array(F.col("vec_id") + 3, F.lit(-1).cast("long"), F.col("vec_id") + 1).alias("pool_ids"))
     out = workbench.hydrated(trials, base.withColumnRenamed("vec_id", "chunk_id"))
     return out.select("trial_id", F.array_join(F.col("pool").cast("array<string>"), ",").alias("pool"))
 
@@ -169,6 +172,8 @@ QUERIES = {
         job_progress, trial_pools,
     )
 }
+#: Over whole tables and texts; their namesakes show what their SQL covers.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (pair_building, prompt_context, job_progress, trial_pools)}
 
 SQL = {
     "chunk_spans": f"""

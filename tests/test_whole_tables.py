@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+import pytest
+from oracle import same
+
 from quern.plans import registry
 from quern.sources.tables import table
 
@@ -18,3 +21,19 @@ def test_token_offsets_of_every_document(spark, tables):
     assert len(docs) > table(spark, tables, "documents").where("n_chars < 3000").count()
     got = registry.queries()["token_offsets_whole"](spark, tables).collect()
     assert len(got) == len(docs) and {r["doc_id"]: r["offsets_md5"] for r in got} == expected
+
+
+CUTS = {
+    "pair_building": ("text[1:20]", "text"),
+    "prompt_context": ("text[1:30]", "text"),
+    "job_progress": (" where event_id % 50 = 0", ""),
+    "trial_pools": (" where t.vec_id % 30 = 0", ""),
+    "dirty_screen": ("l_linenumber <= 2", "true"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole_equals_sql_without_its_cut(spark, tables, name):
+    sql = registry.oracle_sql()[name]
+    assert sql.count(CUTS[name][0]) == 1
+    same(registry.queries()[f"{name}_whole"](spark, tables), sql.replace(*CUTS[name]), tables)

@@ -4,36 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import cut
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """Distinct links (a, b), a above b, with m, the least b of each a. One shuffle, by a, serves both."""
+    links = links.where("a <> b").repartition("a").dropDuplicates(["a", "b"])
+    return links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+
+
 def star_roots(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root): each linked node but the roots, with the smallest node it reaches. links: a, b of one type.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): a minimum is taken per node, then joined back,
-    so no node's neighbours are gathered in one place. Each round's links are kept in the shared folder.
+    Alternates large-star and small-star steps (Kiveris et al., 2014). Large-star moves a link (a, b) to (a, least of b).
+    It joins on b, where a root may have most rows: both sides come from kept tables, so that Spark can split them.
+    Small-star moves the b of one a to the least of them. It is done when each a has one b and no b is an a.
     """
-    links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(links)
+    links = cut(_least(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        if (new := _mark(links)) == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError(f"links still change after {most_rounds} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _mark(links: DataFrame) -> tuple:
-    """Tells sets of links apart: their number and a hash of all."""
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        up = links.where("b = m").select(F.col("a").alias("_a"), F.col("m").alias("up"))
+        moved = cut(links.join(up, F.col("b") == F.col("_a"), "left").select("a", "b", "m", "up"))
+        if moved.where("b <> m or up is not null").isEmpty():
+            return moved.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        large = _least(moved.select("a", F.coalesce("up", "b").alias("b")))
+        pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        links = cut(_least(large.select(F.inline(pairs))))
+    raise RuntimeError(f"links still change after {most_rounds} rounds")

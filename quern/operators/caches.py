@@ -27,11 +27,21 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
 
 def signature(ids: Column) -> Column:
-    """md5 of distinct ids in order; 'empty' without ids. An aggregate."""
+    """md5 of distinct ids in order; 'empty' without ids. An aggregate, for sets of ids that fit in a row."""
     joined = F.array_join(F.array_sort(F.collect_set(ids.cast("string"))), ",")
     return F.when(F.count(ids) == 0, "empty").otherwise(F.md5(joined))
 
 
+def signatures(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """keys, signature: one for each set of ids, however large: ids are dealt to 4,096 parts by their md5, each part has
+    a signature, and theirs are joined in order of the parts. Null ids do not count; a key without ids is 'empty'."""
+    text = F.col(id_col).cast("string")
+    parts = rows.select(*keys, text.alias("_i"), F.substring(F.md5(text), 1, 3).alias("_part")).distinct()
+    each = parts.groupBy(*keys, "_part").agg(signature(F.col("_i")).alias("_s"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.concat("_part", "_s"))))
+    return each.groupBy(*keys).agg(F.when(F.count("_part") == 0, "empty").otherwise(F.md5(F.array_join(listed, ","))).alias("signature"))
+
+
 def cache_status(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """text_hash, n, cached of each distinct text: what a read-through cache serves and what must be made.
 
@@ -111,7 +121,7 @@ def prune_volume(rows: DataFrame, owner: str, order: list, keep: int) -> DataFra
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
-def prune_age(rows: DataFrame, owner: str, ts: str, now: Column, days: int, keep: int) -> DataFrame:
-    """prune_volume of the rows of the last `days` days, newest first."""
+def prune_age(rows: DataFrame, owner: str, ts: str, now: Column, days: int, keep: int, tie: str) -> DataFrame:
+    """prune_volume of the rows of the last `days` days, newest first; of equal times the largest `tie`."""
     recent = rows.where(F.col(ts) >= now - F.expr(f"interval {days} days"))
-    return prune_volume(recent, owner, [F.desc(ts)], keep)
+    return prune_volume(recent, owner, [F.desc(ts), F.desc(tie)], keep)

@@ -5,7 +5,7 @@ Words are what single regular expression `\\s+` parts; spans are word numbers [s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,13 +28,30 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
 
 
-def chunk(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, position, start, end, text of each window. A select without a shuffle."""
-    rows = docs.select(F.col(id_col), words_of(F.col(text)).alias("words"))
-    at = rows.select(id_col, "words", F.posexplode(window_starts(F.size("words"), size, overlap)).alias("position", "start"))
-    end = F.least(F.col("start") + size, F.size("words"))
-    piece = F.array_join(F.slice("words", F.col("start") + 1, F.lit(size)), " ")
-    return at.select(id_col, "position", "start", end.alias("end"), piece.alias("text"))
+def windows(n: Column, size: int, overlap: int) -> Column:
+    """array<struct<position, start, end>> of the windows over n words."""
+    span = lambda start, i: F.struct(i.alias("position"), start.alias("start"), F.least(start + size, n).alias("end"))
+    return F.transform(window_starts(n, size, overlap), span)
+
+
+def chunk(
+    docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text: str = "text",
+    tokens: Callable[[Column], Column] = words_of, glue: str = " ",
+) -> DataFrame:
+    """id_col, position, start, end, text of each window of `size` tokens. A select without a shuffle.
+
+    tokens: a column function from a text to its tokens (array<string>); glue: what stands between two of them.
+    """
+    rows = docs.select(F.col(id_col), tokens(F.col(text)).alias("_tokens"))
+    piece = lambda w: F.array_join(F.slice("_tokens", w["start"] + 1, F.lit(size)), glue)
+    cut = F.transform(windows(F.size("_tokens"), size, overlap), lambda w: F.struct(w["position"], w["start"], w["end"], piece(w).alias("text")))
+    return rows.select(id_col, F.inline(cut))
+
+
+def chunk_places(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, position, start, end of the windows of `chunk`, from the number of words alone."""
+    rows = docs.select(F.col(id_col), F.size(words_of(F.col(text))).alias("_n"))
+    return rows.select(id_col, F.inline(windows(F.col("_n"), size, overlap)))
 
 
 def longest_overlap(a: str, b: str) -> int:

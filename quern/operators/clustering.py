@@ -43,11 +43,21 @@ def assigned(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return points.withColumn("_near", nearest("vec")).select(*points.columns, "_near.*")
 
 
+def _partial_sums(frames):
+    sums: dict[int, np.ndarray] = {}
+    for f in frames:
+        m = np.stack(f["vec"].to_numpy()).astype(float) if len(f) else np.empty((0, 0))
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        units = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+        for c in np.unique(f["cluster"]):
+            sums[c] = sums.get(c, 0) + units[(f["cluster"] == c).to_numpy()].sum(axis=0)
+    yield pd.DataFrame({"cluster": list(sums), "sums": [v.tolist() for v in sums.values()]})
+
+
 def _sums(assigned_points: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of unit vectors of each cluster: k vectors reach the driver."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    exploded = assigned_points.withColumn("n", norm).where("n > 0").select("cluster", "n", F.posexplode("vec").alias("pos", "x"))
-    rows = exploded.groupBy("cluster", "pos").agg(F.sum(F.col("x") / F.col("n")).alias("s")).collect()
+    """Sum of unit vectors of each cluster: each task adds its own, k sums a task are shuffled, k vectors reach the driver."""
+    made = assigned_points.select("cluster", "vec").mapInPandas(_partial_sums, "cluster int, sums array<double>")
+    rows = made.select("cluster", F.posexplode("sums").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("s")).collect()
     out: dict[int, np.ndarray] = {}
     size = max((r["pos"] for r in rows), default=-1) + 1
     for r in rows:

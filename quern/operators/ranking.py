@@ -13,19 +13,6 @@ def reciprocal_rank(rank: Column, k: int | None = None) -> Column:
     return F.when(inside, 1.0 / rank).otherwise(0.0)
 
 
-def gold_ranks(pairs: DataFrame, gold: DataFrame) -> DataFrame:
-    """question_id, gold_rank: 1 + the chunks more similar than the question's gold chunk; ties favour gold.
-
-    pairs: question_id, chunk_id, sim; gold: question_id, gold_id. Questions whose gold is not among pairs: null.
-    """
-    own = pairs.join(gold, (pairs.question_id == gold.question_id) & (pairs.chunk_id == gold.gold_id)).select(
-        pairs.question_id, F.col("sim").alias("gold_sim")
-    )
-    above = pairs.join(own, "question_id").groupBy("question_id")
-    found = above.agg((F.count_if(F.col("sim") > F.col("gold_sim")) + 1).alias("gold_rank"))
-    return gold.select("question_id").join(found, "question_id", "left")
-
-
 def rank_summary(ranks: DataFrame, ks: tuple = (1, 3, 5, 10)) -> DataFrame:
     """One row: n, recall_at_k for each k, mrr. ranks: gold_rank (null: not found)."""
     rank = F.col("gold_rank")
@@ -36,7 +23,8 @@ def rank_summary(ranks: DataFrame, ks: tuple = (1, 3, 5, 10)) -> DataFrame:
 def ndcg(ideal: DataFrame, retrieved: DataFrame, k: int, key: str = "question_id") -> DataFrame:
     """key, ndcg: linear gains n - position of the ideal list, discounted by log2(rank + 1), over the k first.
 
-    ideal and retrieved: key, chunk_id, rank (from 1). Chunks outside the ideal list gain 0; null without an ideal list.
+    ideal and retrieved: key, chunk_id, rank (from 1). Every key of either side has a row: chunks outside the ideal list
+    gain 0, a key with nothing retrieved has 0, one without an ideal list null.
     """
     size = Window.partitionBy(key)
     gains = ideal.withColumn("gain", (F.count(F.lit(1)).over(size) - F.col("rank") + 1).cast("double"))
@@ -45,7 +33,7 @@ def ndcg(ideal: DataFrame, retrieved: DataFrame, k: int, key: str = "question_id
     found = retrieved.where(F.col("rank") <= k).select(key, "chunk_id", "rank")
     got = found.join(gains.select(key, "chunk_id", "gain"), [key, "chunk_id"], "left")
     dcg = got.groupBy(key).agg(F.sum(F.coalesce("gain", F.lit(0.0)) / discount).alias("dcg"))
-    return dcg.join(best, key, "left").select(key, F.try_divide("dcg", "idcg").alias("ndcg"))
+    return best.join(dcg, key, "full_outer").select(key, F.try_divide(F.coalesce("dcg", F.lit(0.0)), F.col("idcg")).alias("ndcg"))
 
 
 def model_ranks(sims: DataFrame) -> DataFrame:
@@ -93,11 +81,11 @@ def fused(base: DataFrame, pieces: DataFrame, rivals: DataFrame, k: int, mode: s
 
 
 def rates(rows: DataFrame, held_out: bool) -> DataFrame:
-    """One row: scored, pending, recall, mrr, ndcg of one side of the holdout split.
+    """One row: scored, pending, hits, recall, mrr, ndcg, ndcg_covered of one side of the holdout split.
 
     rows: hit (null: unscored), edit_stale, rr, ndcg, ignored, held_out. Held-out rows are ignored too; other ignored
-    rows are on neither side. Unscored and stale rows are pending. A null rr counts 0; ndcg averages graded rows only;
-    an empty side gives nulls.
+    rows are on neither side. Unscored and stale rows are pending. A null rr counts 0; ndcg averages the side's graded rows,
+    ndcg_covered of them; an empty side gives nulls.
     """
     side = F.col("held_out") if held_out else ~F.col("ignored") & ~F.col("held_out")
     rows = rows.where(side)
@@ -105,7 +93,9 @@ def rates(rows: DataFrame, held_out: bool) -> DataFrame:
     return rows.agg(
         F.count_if(scored).alias("scored"),
         F.count_if(~scored).alias("pending"),
+        F.count_if(scored & F.col("hit")).alias("hits"),
         F.avg(F.when(scored, F.col("hit").cast("double"))).alias("recall"),
         F.avg(F.when(scored, F.coalesce("rr", F.lit(0.0)))).alias("mrr"),
-        F.avg(F.when(scored, F.col("ndcg"))).alias("ndcg"),
+        F.avg("ndcg").alias("ndcg"),
+        F.count("ndcg").alias("ndcg_covered"),
     )

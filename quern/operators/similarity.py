@@ -36,6 +36,13 @@ def _block(questions: pd.DataFrame, chunks: pd.DataFrame, k: int | None) -> pd.D
     return pd.DataFrame({"question_id": asked[q], "chunk_id": ids[c], "sim": sim[q, c]})
 
 
+def _dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int):
+    """Rows grouped by their block of n and by each block of the other side's m."""
+    fresh = [F.col(c).alias(c) for c in df.columns]  # both sides may stem from one table
+    df = df.select(*fresh, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own))
+    return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("qblock", "block")
+
+
 def similarities(questions: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
     """(question_id, chunk_id, sim): of each question, each block's k best chunks, or all chunks above its `floor`.
 
@@ -47,13 +54,8 @@ def similarities(questions: DataFrame, chunks: DataFrame, k: int | None = None)
     qblocks = max(1, ceil(questions.count() / QUESTIONS))
     blocks = max(1, ceil(chunks.count() / CHUNKS))
 
-    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        fresh = [F.col(c).alias(c) for c in df.columns]  # both sides may stem from one table
-        df = df.select(*fresh, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    left = dealt(questions, "question_id", "qblock", qblocks, "block", blocks).groupBy("qblock", "block")
-    right = dealt(chunks, "chunk_id", "block", blocks, "qblock", qblocks).groupBy("qblock", "block")
+    left = _dealt(questions, "question_id", "qblock", qblocks, "block", blocks)
+    right = _dealt(chunks, "chunk_id", "block", blocks, "qblock", qblocks)
     return left.cogroup(right).applyInPandas(lambda a, b: _block(a, b, k), "question_id long, chunk_id long, sim double")
 
 
@@ -74,17 +76,61 @@ def top_k_excluding(questions: DataFrame, chunks: DataFrame, excluded: DataFrame
     return top_k(questions, chunks.join(excluded, "chunk_id", "left_anti"), k)
 
 
+def _before(asked: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+    if not len(asked) or not len(chunks):
+        return pd.DataFrame({"question_id": [], "tag": [], "n": []})
+    sim = np.round(unit_rows(asked["vec"]) @ unit_rows(chunks["vec"]).T, PLACES) + 0.0
+    least, tie, own = (asked[c].to_numpy()[:, None] for c in ("sim", "tie", "own"))
+    ids = chunks["chunk_id"].to_numpy()[None, :]
+    n = (((sim > least) | (sim == least) & (ids < tie)) & (ids != own)).sum(axis=1)
+    return pd.DataFrame({"question_id": asked["question_id"], "tag": asked["tag"], "n": n})
+
+
+def counts_before(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, tag, n: how many chunks are more similar to a question than `sim`, or as similar with an id below `tie`.
+
+    asked: question_id long, tag int, vec, sim, tie long, own long (a chunk that does not count). Each block of chunks is
+    counted in its task; only counts leave it.
+    """
+    asked, chunks = asked.where("vec is not null"), chunks.where("vec is not null")
+    qblocks, blocks = max(1, ceil(asked.count() / QUESTIONS)), max(1, ceil(chunks.count() / CHUNKS))
+    left = _dealt(asked, "question_id", "qblock", qblocks, "block", blocks)
+    right = _dealt(chunks.select("chunk_id", "vec"), "chunk_id", "block", blocks, "qblock", qblocks)
+    made = left.cogroup(right).applyInPandas(_before, "question_id long, tag int, n long")
+    return made.groupBy("question_id", "tag").agg(F.sum("n").alias("n"))
+
+
+def gold_ranks(questions: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """question_id, gold_rank: 1 + the chunks more similar than the question's gold chunk; ties favour gold.
+
+    gold: question_id, gold_id. Null where the gold chunk or a vector is not there.
+    """
+    own = gold.join(questions.select("question_id", "vec"), "question_id").join(chunks.select(F.col("chunk_id").alias("gold_id"), F.col("vec").alias("g")), "gold_id")
+    least = F.lit(-(1 << 63)).cast("long").alias("tie")
+    asked = own.where("g is not null").select("question_id", F.lit(0).alias("tag"), "vec", F.round(cosine("vec", "g"), PLACES).alias("sim"), least, F.col("gold_id").alias("own"))
+    counted = counts_before(asked, chunks).select("question_id", (F.col("n") + 1).alias("gold_rank"))
+    return gold.select("question_id").join(counted, "question_id", "left")
+
+
 def substituted_rank(questions: DataFrame, chunks: DataFrame, chunk_id: int, pieces: DataFrame, k: int) -> DataFrame:
     """Ranks with one chunk replaced by its pieces (piece_index, vec): rows of the k best and of any piece.
 
-    Pieces come as chunk_id = chunk_id with their piece_index; other chunks have a null piece_index.
+    Pieces come as chunk_id = chunk_id with their piece_index; other chunks have a null piece_index. A piece's place is a
+    count over the blocks of chunks; only the k best chunks of a block are rows.
     """
-    base = similarities(questions, chunks.where(F.col("chunk_id") != chunk_id).select("chunk_id", "vec"), None)
+    others = chunks.where(F.col("chunk_id") != chunk_id).select("chunk_id", "vec")
+    base = top_k(questions, others, k).select("question_id", "chunk_id", "sim", F.lit(None).cast("int").alias("piece_index"), F.col("rank").cast("long").alias("place"))
     piece = similarities(questions, pieces.select(F.col("piece_index").cast("long").alias("chunk_id"), "vec"), None)
-    piece = piece.select("question_id", F.lit(chunk_id).cast("long").alias("chunk_id"), "sim", F.col("chunk_id").cast("int").alias("piece_index"))
-    both = base.unionByName(piece, allowMissingColumns=True)
+    piece = piece.select("question_id", "sim", F.col("chunk_id").cast("int").alias("tag"))
+    whole = F.lit(chunk_id).cast("long")
+    counted = counts_before(piece.join(questions.select("question_id", "vec"), "question_id").withColumns({"tie": whole, "own": whole}), others)
+    placed = piece.join(counted, ["question_id", "tag"], "left")
+    placed = placed.select("question_id", whole.alias("chunk_id"), "sim", F.col("tag").alias("piece_index"), (F.coalesce("n", F.lit(0)) + 1).alias("place"))
+    both = base.unionByName(placed)
     order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "chunk_id", "piece_index")
-    return both.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) | F.col("piece_index").isNotNull())
+    earlier = F.count("piece_index").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = both.withColumn("rank", (F.col("place") + earlier).cast("int")).drop("place")
+    return out.where((F.col("rank") <= k) | F.col("piece_index").isNotNull())
 
 
 def between_ranks(questions: DataFrame, chunks: DataFrame, expected: DataFrame, k: int) -> DataFrame:

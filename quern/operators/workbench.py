@@ -179,14 +179,15 @@ def contaminated(holdout: DataFrame, tuned: DataFrame) -> DataFrame:
 
 
 def next_work(plan: DataFrame, states: DataFrame, covered: DataFrame) -> DataFrame:
-    """chunk_id, action: search where a question fails, rescore where one is missing or stale, else skip.
+    """chunk_id, action of the plan's chunks that are not covered: rescore where a question is stale, else search where
+    one fails, else skip.
 
     plan: chunk_id, question_id; states: question_id, state (missing, stale, passing, failing); covered: chunk_id.
+    Questions without a state are missing and no reason to visit a chunk.
     """
-    rows = plan.join(states, "question_id", "left").withColumn("state", F.coalesce("state", F.lit("missing")))
-    found = rows.groupBy("chunk_id").agg(F.bool_or(F.col("state").isin("missing", "stale")).alias("due"), F.bool_or(F.col("state") == "failing").alias("fails"))
-    found = found.join(covered.select("chunk_id").distinct().withColumn("_done", F.lit(True)), "chunk_id", "left")
-    action = F.when(F.col("_done"), "skip").when(F.col("due"), "rescore").when(F.col("fails"), "search").otherwise("skip")
+    rows = plan.join(covered, "chunk_id", "left_anti").join(states, "question_id", "left")
+    found = rows.groupBy("chunk_id").agg(F.count_if(F.col("state") == "stale").alias("stale"), F.count_if(F.col("state") == "failing").alias("failing"))
+    action = F.when(F.col("stale") > 0, "rescore").when(F.col("failing") > 0, "search").otherwise("skip")
     return found.select("chunk_id", action.alias("action"))
 
 
@@ -195,12 +196,24 @@ def batch_saving(usd: Column, kind: Column) -> Column:
     return usd * F.when(kind == "embed", BATCH_DISCOUNT["embed"]).otherwise(BATCH_DISCOUNT["llm"])
 
 
-def job_progress(jobs: DataFrame, now: Column, stall_seconds: int) -> DataFrame:
-    """job_id, percent, remaining_s, stalled. jobs: done, total, started_at, updated_at."""
-    spent = F.unix_seconds(now) - F.unix_seconds("started_at")
-    remaining = F.try_divide(spent * (F.col("total") - F.col("done")), F.col("done"))
-    percent = F.coalesce(F.round(F.least(F.lit(1.0), F.try_divide(F.col("done").cast("double"), F.col("total"))) * 100, 1), F.lit(0.0))
-    return jobs.select("job_id", percent.alias("percent"), F.round(remaining, 1).alias("remaining_s"), ((F.unix_seconds(now) - F.unix_seconds("updated_at")) > stall_seconds).alias("stalled"))
+#: States in which a job should advance.
+ADVANCING = ("queued", "running", "cancelling")
+
+
+def job_progress(jobs: DataFrame, now: Column) -> DataFrame:
+    """job_id, percent, remaining_s, stalled. jobs: status, done, total, started_at, lease_expires_at.
+
+    percent: whole, at most 100, null without a total. remaining_s: whole seconds at the pace so far, null before any unit
+    is done and when none is left. stalled: a job that should advance and has no lease, or one that has ended.
+    """
+    spent = F.unix_millis(now) - F.unix_millis("started_at")
+    left = F.col("total") - F.col("done")
+    paced = (F.col("done") > 0) & (left > 0) & (spent > 0)
+    percent = F.when(F.col("total") > 0, F.least(F.lit(100), F.floor(F.col("done") / F.col("total") * 100 + 0.5))).cast("int")
+    remaining = F.when(paced, F.floor(left * (spent / F.col("done")) / 1000 + 0.5)).cast("long")
+    held = F.coalesce(F.col("lease_expires_at") > now, F.lit(False))
+    stalled = F.col("status").isin(*ADVANCING) & ~held
+    return jobs.select("job_id", percent.alias("percent"), remaining.alias("remaining_s"), stalled.alias("stalled"))
 
 
 def overlap_for(size: Column, share: float) -> Column:

@@ -55,27 +55,24 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), 200)).join(F.broadcast(n))  # one row
 
 
-def failing_metrics(hit: Column, rr: Column, ndcg: Column, bars: dict[str, float]) -> Column:
-    """Names of the metrics below their bar; unscored values fail nothing."""
-    return F.array_compact(
+def failing_metrics(
+    hit: Column, rr: Column, ndcg: Column, bars: dict[str, float], stale: Column | None = None, ignored: Column | None = None
+) -> Column:
+    """Names of the metrics below their bar (recall, mrr, ndcg; a metric without a bar fails nothing).
+
+    Unscored (null hit), stale and ignored questions fail nothing. A bar of recall above 0 means that the question must
+    be a hit; null values are not compared.
+    """
+    no = F.lit(False)
+    skipped = hit.isNull() | F.coalesce(stale if stale is not None else no, no) | F.coalesce(ignored if ignored is not None else no, no)
+    failed = F.array_compact(
         F.array(
-            F.when((F.lit(bars.get("recall", 0.0)) > 0) & (hit == False), "recall"),  # noqa: E712
+            F.when((F.lit(bars.get("recall", 0.0)) > 0) & ~hit, "recall"),
             F.when((F.lit(bars.get("mrr", 0.0)) > 0) & (rr < bars.get("mrr", 0.0)), "mrr"),
-            F.when(ndcg < bars.get("ndcg", 0.0), "ndcg"),
+            F.when(ndcg < bars["ndcg"], "ndcg") if "ndcg" in bars else F.lit(None).cast("string"),
         )
     )
-
-
-def run_tally(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: resolved (no failing metric left), improved (a metric rose), unchanged. question_id, failing, mrr."""
-    a = after.select("question_id", F.col("failing").alias("f"), F.col("mrr").alias("m"))
-    both = before.join(a, "question_id").withColumn("resolved", (F.size("failing") > 0) & (F.size("f") == 0))
-    improved = F.coalesce(F.col("m") - F.col("mrr") > 1e-9, F.lit(False))
-    return both.agg(
-        F.count_if("resolved").alias("resolved"),
-        F.count_if(improved & ~F.col("resolved")).alias("improved"),
-        F.count_if(~improved & ~F.col("resolved")).alias("unchanged"),
-    )
+    return F.when(skipped, F.array().cast("array<string>")).otherwise(failed)
 
 
 def dirty_results(results: DataFrame, changed: DataFrame, depth: int, base_model: str, state: str) -> DataFrame:
@@ -119,10 +116,11 @@ def best_candidates(trials: DataFrame) -> DataFrame:
 def holdout_quotas(counts: DataFrame, target: int) -> DataFrame:
     """band, n, quota: a target shared over bands by largest remainder, no band above its size. One row a band."""
     whole = Window.partitionBy()
-    ideal = F.lit(float(target)) * F.col("n") / F.sum("n").over(whole)
+    wanted = F.least(F.lit(target), F.sum("n").over(whole))
+    ideal = wanted.cast("double") * F.col("n") / F.sum("n").over(whole)
     shared = counts.withColumn("base", F.floor(ideal)).withColumn("rest", F.round(ideal - F.floor(ideal), 9))
     place = F.row_number().over(Window.orderBy(F.desc("rest"), "band"))
-    left = F.lit(target) - F.sum("base").over(whole)
+    left = F.least(F.lit(target), F.sum("n").over(whole)) - F.sum("base").over(whole)
     return shared.select("band", "n", F.least(F.col("n"), F.col("base") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
 
 

@@ -35,7 +35,27 @@ def calibration_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 def calibration_select(spark: SparkSession, folder: str) -> DataFrame:
     points = calibration.curve(events(spark, folder))
-    return _rounded(calibration.select_threshold(points, 0.95, 20), "best_rate")
+    return _selected(calibration.select_threshold(points, 0.95, 20))
+
+
+def _selected(df: DataFrame) -> DataFrame:
+    return _rounded(df, "precision", "coverage", "best_rate", "best_coverage")
+
+
+def calibration_select_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Curves of each source of documents, where targets are missed, samples small or of one class, and of target 1."""
+    sources = table(spark, folder, "documents").select("doc_id", "source")
+    points = calibration.curve(events(spark, folder).join(sources, "doc_id"), ["source"])
+    out = [calibration.select_threshold(points, t, 12, ["source"]).withColumn("target", F.lit(t)) for t in (0.9, 1.0)]
+    return _selected(out[0].unionByName(out[1]))
+
+
+def prior_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Under a prior of 0.9: the threshold that reaches 0.97 over 20 events, and what 0.9 and 0.8 are worth."""
+    points = calibration.prior_curve(events(spark, folder), 0.9)
+    rows = [calibration.recommend_under_prior(points, 0.97, 20).withColumn("what", F.lit("recommended"))]
+    rows += [calibration.precision_at(points, t).withColumn("what", F.lit(f"at {t}")) for t in (0.9, 0.8)]
+    return _rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), "tpr", "fpr", "served", "precision")
 
 
 def prior_curve(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +83,8 @@ def floor_band(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def collision_floor(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions are vectors whose id is divisible by 10; their answers are the label and the id modulo 7."""
-    df = table(spark, folder, "embeddings").where("vec_id % 10 = 0")
+    """Questions are vectors; their answers are the label and the id modulo 7."""
+    df = table(spark, folder, "embeddings")
     answers = F.array(F.concat(F.lit("l"), F.col("label")), F.concat(F.lit("m"), F.col("vec_id") % 7))
     questions = df.select(F.col("vec_id").alias("question_id"), F.col("embedding").cast("array<double>").alias("vec"), answers.alias("chunk_ids"))
     names = ("distinct_max", "same_min", "same_median", "recommended")
@@ -115,30 +135,59 @@ def baseline_subset(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        calibration_curve, calibration_select, prior_curve, auc_ties, confusion_matrix, wilson_ci, floor_band, collision_floor,
+        calibration_curve, calibration_select, prior_curve, prior_choice, calibration_select_cases, auc_ties, confusion_matrix, wilson_ci, floor_band, collision_floor,
         bootstrap_ci, key_model_sweep, eval_rates, baseline_subset,
     )
 }
 
+#: The choice from `rated` (source, sim, n, accepted, rate), walked from the highest similarity down.
+_SELECT = """
+select {source}case when not one_class then found end as threshold, round(case when not one_class then found_rate end, 6) as precision,
+  round(case when not one_class and a > 0 then found_a::double / a end, 6) as coverage, round(best_rate, 6) as best_rate, best_sim,
+  best_n::bigint as best_n, round(case when a > 0 then best_a::double / a end, 6) as best_coverage, coalesce(best_n - best_a, 0)::bigint as best_rejected,
+  case when best_n - best_a > 0 and {target} < 1 then ceil((best_n - best_a) / (1.0::double - {target}::double))::bigint end as required,
+  case when one_class then 'one-class-sample' when found is not null then null when best_n is null then 'below-min-samples' else 'target-unreachable' end as blocker
+from (
+  select *, found is not null and (a = 0 or r = 0) as one_class from (
+    select source, max(accepted) as a, max(n - accepted) as r,
+      min(sim) filter (where n >= {least} and rate >= {target}::double) as found,
+      arg_min(rate, sim) filter (where n >= {least} and rate >= {target}::double) as found_rate,
+      arg_min(accepted, sim) filter (where n >= {least} and rate >= {target}::double) as found_a,
+      max(rate) filter (where n >= {least}) as best_rate, arg_max(sim, (rate, sim)) filter (where n >= {least}) as best_sim,
+      arg_max(n, (rate, sim)) filter (where n >= {least}) as best_n, arg_max(accepted, (rate, sim)) filter (where n >= {least}) as best_a
+    from rated group by 1))"""
+
 SQL = {
     "calibration_curve": f"with {EVENTS} select sim, n::bigint as n, accepted::bigint as accepted, round(accepted::double / n, 6) as rate from points",
-    "calibration_select": f"""
+    "calibration_select": f"with {EVENTS}, rated as (select 0 as source, *, accepted::double / n as rate from points) " + _SELECT.format(target=0.95, least=20, source=""),
+    "calibration_select_cases": f"""
 with {EVENTS},
-rated as (select *, accepted::double / n as rate from points),
+rated as (
+  select source, sim, sum(c) over w as n, sum(a) over w as accepted, (sum(a) over w)::double / sum(c) over w as rate
+  from (select source, sim, count(*) as c, count(*) filter (where accept) as a from events_ join documents using (doc_id) group by 1, 2)
+  window w as (partition by source order by sim desc rows unbounded preceding)) """
+    + " union all ".join("(" + _SELECT.format(target=t, least=12, source="source, {}::double as target, ".format(t)) + ")" for t in (0.9, 1.0)),
+    "prior_choice": f"""
+with {EVENTS},
+shares as (
+  select sim, accepted::double / max(accepted) over () as tpr, (n - accepted)::double / max(n - accepted) over () as fpr,
+    accepted as accepts, n - accepted as rejects from points),
+rated as (
+  select *, 0.9::double * tpr + (1 - 0.9::double) * fpr as served, 0.9::double * tpr / nullif(0.9::double * tpr + (1 - 0.9::double) * fpr, 0) as precision from shares),
 chosen as (
-  select min(sim) filter (where n >= 20 and rate >= 0.95) as found, max(rate) filter (where n >= 20) as best_rate,
-    arg_max(sim, (rate, -sim)) filter (where n >= 20) as best_sim, max(n)::bigint as events,
-    max(n - accepted)::bigint as rejected, max(accepted) as a from rated)
-select case when rejected > 0 and a > 0 then found end as threshold, round(best_rate, 6) as best_rate, best_sim, events, rejected,
-  ceil(round(rejected / (1.0::double - 0.95::double), 9))::bigint as required,
-  case when events < 20 then 'samples' when rejected = 0 or a = 0 then 'one class' when found is null then 'rate' else 'none' end as blocker
-from chosen""",
+  select 'recommended' as what, min(sim) as sim from rated where accepts + rejects >= 20 and precision >= 0.97::double
+  union all select 'at 0.9', min(sim) from rated where sim >= 0.9::double
+  union all select 'at 0.8', min(sim) from rated where sim >= 0.8::double)
+select what, sim, round(tpr, 6) as tpr, round(fpr, 6) as fpr, round(served, 6) as served, round(precision, 6) as precision,
+  accepts::bigint as accepts, rejects::bigint as rejects from chosen join rated using (sim)""",
     "prior_curve": f"""
 with {EVENTS},
 shares as (
-  select sim, accepted::double / max(accepted) over () as tpr, (n - accepted)::double / max(n - accepted) over () as fpr from points)
+  select sim, accepted::double / max(accepted) over () as tpr, (n - accepted)::double / max(n - accepted) over () as fpr,
+    accepted as accepts, n - accepted as rejects from points)
 select sim, round(tpr, 6) as tpr, round(fpr, 6) as fpr, round(0.9::double * tpr + (1 - 0.9::double) * fpr, 6) as served,
-  round(0.9::double * tpr / nullif(0.9::double * tpr + (1 - 0.9::double) * fpr, 0), 6) as precision from shares""",
+  round(0.9::double * tpr / nullif(0.9::double * tpr + (1 - 0.9::double) * fpr, 0), 6) as precision,
+  accepts::bigint as accepts, rejects::bigint as rejects from shares""",
     "auc_ties": f"""
 with {EVENTS}
 select count(*) filter (where a.accept) as positives, (select count(*) from events_ where not accept) as negatives,
@@ -162,7 +211,7 @@ select f::double as floor, count(*) as rows, count(*) as judged, count(*) filter
 from events_, (values (0.75), (0.8), (0.85), (0.9), (0.95)) v(f) where sim >= f::double group by 1""",
     "collision_floor": """
 with q as (
-  select vec_id, embedding::double[] as v, ['l' || label, 'm' || vec_id % 7] as answers from embeddings where vec_id % 10 = 0),
+  select vec_id, embedding::double[] as v, ['l' || label, 'm' || vec_id % 7] as answers from embeddings),
 p as (
   select round(list_cosine_similarity(a.v, b.v), 9) as sim, list_has_any(a.answers, b.answers) as same
   from q a join q b on a.vec_id < b.vec_id),
@@ -205,8 +254,8 @@ s as (
   select *, case when held_out then 'holdout' else 'train' end as side, hit is not null and not edit_stale as scored
   from r where held_out or not ignored)
 select side, count(*) filter (where scored) as scored, count(*) filter (where not scored) as pending,
-  round(avg(hit::int::double) filter (where scored), 6) as recall, round(avg(coalesce(rr, 0)) filter (where scored), 6) as mrr,
-  round(avg(ndcg) filter (where scored), 6) as ndcg from s group by 1""",
+  count(*) filter (where scored and hit) as hits, round(avg(hit::int::double) filter (where scored), 6) as recall,
+  round(avg(coalesce(rr, 0)) filter (where scored), 6) as mrr, round(avg(ndcg), 6) as ndcg, count(ndcg) as ndcg_covered from s group by 1""",
     "baseline_subset": """
 with both_runs as (select * from labels where doc_id % 11 <> 0 and doc_id % 7 <> 0)
 select 'current' as run, count(*) as n, round(avg((quality = 1)::int::double), 6) as recall from both_runs

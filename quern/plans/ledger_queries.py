@@ -6,8 +6,6 @@ customers' questions; line items are runs, pieces and trials.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +113,7 @@ def chunk_page(spark: SparkSession, folder: str) -> DataFrame:
     return workspace.page(rows, ["source", "doc_id"], 40, 25)
 
 
-def dirty_screen(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def dirty_screen(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     k = F.col("o_orderkey")
     cutoffs = F.create_map(F.lit("base"), F.lit(0.8), F.lit("m1"), F.lit(0.75))
@@ -124,8 +122,7 @@ def dirty_screen(spark: SparkSession, folder: str, whole: bool = False) -> DataF
         (k % 13 == 0).alias("edit_stale"), F.array(k % 7, k % 5).alias("retrieved_ids"), F.when(k % 6 == 0, 5).otherwise(10).alias("cutoff_depth"),
         F.when(k % 8 != 0, 0.4).cast("double").alias("deep"), cutoffs.alias("models"),
     )
-    lines = table(spark, folder, "lineitem").where(F.lit(whole) | (F.col("l_linenumber") <= 2))
-    changed = lines.select(
+    changed = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("question_id"), (F.col("l_partkey") % 11).alias("chunk_id"),
         F.when(F.col("l_suppkey") % 3 == 0, "m1").when(F.col("l_suppkey") % 3 == 1, "m9").alias("final_model"),
         (F.col("l_suppkey") % 2 == 0).alias("was_overridden"), (F.col("l_discount") * 4).alias("base_sim"), (F.col("l_tax") * 10).alias("best_piece_sim"),
@@ -208,8 +205,6 @@ QUERIES = {
         stream_dedupe, stream_ema,
     )
 }
-#: With every change of a result; its namesake shows what its SQL covers.
-QUERIES["dirty_screen_whole"] = partial(dirty_screen, whole=True)
 
 SQL = {
     "costs_report": """
@@ -273,7 +268,7 @@ with r as (
     case when o_orderkey % 8 <> 0 then 0.4::double end as deep from orders),
 c as (
   select l_orderkey as k, l_partkey % 11 as chunk, case when l_suppkey % 3 = 0 then 'm1' end as m, l_suppkey % 2 = 0 as was,
-    l_discount * 4 as b, l_tax * 10 as p from lineitem where l_linenumber <= 2),
+    l_discount * 4 as b, l_tax * 10 as p from lineitem),
 j as (
   select r.*, r.k % 13 = 0 or state is distinct from 's1' or r.k % 6 = 0 as unfit,
     case when chunk is null then false when chunk in (r.k % 7, r.k % 5) then true

@@ -81,9 +81,8 @@ def explain_between(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_rank_recall(spark: SparkSession, folder: str) -> DataFrame:
     questions, chunks = sides(spark, folder)
-    pairs = similarity.similarities(questions.drop("label"), chunks.drop("label"))
     gold = questions.select("question_id", (F.col("question_id") + 1).alias("gold_id"))
-    out = ranking.rank_summary(ranking.gold_ranks(pairs, gold))
+    out = ranking.rank_summary(similarity.gold_ranks(questions.drop("label"), chunks.drop("label"), gold))
     return out.select("n", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
@@ -100,14 +99,12 @@ def _pool_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Ranks of each question's 30 nearest chunks under three models."""
     questions, chunks = sides(spark, folder)
     pool = similarity.top_k(questions.drop("label"), chunks.drop("label"), 30).select("question_id", "chunk_id")
-    sims = None
-    for model in ("whole", "front", "back"):
-        questions, chunks = sides(spark, folder, model)
-        joined = pool.join(questions.select("question_id", F.col("vec").alias("q")), "question_id")
-        joined = joined.join(chunks.select("chunk_id", F.col("vec").alias("c")), "chunk_id")
-        made = joined.select("question_id", "chunk_id", F.lit(model).alias("model"), F.round(similarity.cosine("q", "c"), 9).alias("sim"))
-        sims = made if sims is None else sims.unionByName(made)
-    return ranking.model_ranks(sims)
+    joined = pool.join(questions.select("question_id", F.col("vec").alias("q")), "question_id").join(chunks.select("chunk_id", F.col("vec").alias("c")), "chunk_id")
+    for name, at in (("front", 1), ("back", 33)):
+        joined = joined.withColumns({f"q_{name}": F.slice("q", at, 32), f"c_{name}": F.slice("c", at, 32)})
+    sides_of = {"whole": ("q", "c"), "front": ("q_front", "c_front"), "back": ("q_back", "c_back")}
+    each = [F.struct(F.lit(m).alias("model"), F.round(similarity.cosine(*pair), 9).alias("sim")) for m, pair in sides_of.items()]
+    return ranking.model_ranks(joined.select("question_id", "chunk_id", F.inline(F.array(*each))))
 
 
 def rank_consensus(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,8 +22,7 @@ def chunk_stitch(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_remap(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    spans = ["doc_id", "position", "start", "end"]
-    return chunking.remap(chunking.chunk(docs, 64, 8).select(*spans), chunking.chunk(docs, 48, 4).select(*spans))
+    return chunking.remap(chunking.chunk_places(docs, 64, 8), chunking.chunk_places(docs, 48, 4))
 
 
 def coverage_gap(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +40,7 @@ def doc_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_signature(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy("source").agg(caches.signature(F.col("doc_id")).alias("signature"))
+    return caches.signatures(table(spark, folder, "documents"), ["source"], "doc_id")
 
 
 def text_preview(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +113,7 @@ def cache_prune(spark: SparkSession, folder: str) -> DataFrame:
 
 def age_prune(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    kept = caches.prune_age(events, "event_type", "ts", F.lit("2024-01-25").cast("timestamp"), 7, 50)
+    kept = caches.prune_age(events, "event_type", "ts", F.lit("2024-01-25").cast("timestamp"), 7, 50, "event_id")
     return kept.select("event_type", "event_id")
 
 
@@ -159,7 +158,10 @@ f as (select chunk_id, bool_or(s > reach) as hole, max(e) as covered from m grou
 select o_orderkey as chunk_id, coalesce(covered, 0) as covered, coalesce(hole, false) or coalesce(covered, 0) < 20 as gap
 from orders left join f on chunk_id = o_orderkey""",
     "doc_dedup": "select sha256(text) as content_hash, min(doc_id) as kept_id, count(*) as copies from documents group by 1",
-    "doc_signature": "select source, md5(array_to_string(list_sort(list(distinct doc_id::varchar)), ',')) as signature from documents group by 1",
+    "doc_signature": """
+with p as (select distinct source, doc_id::varchar as i, md5(doc_id::varchar)[1:3] as part from documents),
+s as (select source, part, md5(string_agg(i, ',' order by i)) as s from p group by 1, 2)
+select source, md5(string_agg(part || s, ',' order by part)) as signature from s group by 1""",
     "text_preview": r"""
 select doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')[1:160] as preview,
   ceil(length(text) / 4.0::double)::bigint as tokens from documents""",
@@ -203,5 +205,5 @@ select user_id, event_id, value from events
 qualify row_number() over (partition by user_id order by value desc, event_id desc) <= 20""",
     "age_prune": """
 select event_type, event_id from events where ts >= timestamp '2024-01-25' - interval 7 days
-qualify row_number() over (partition by event_type order by ts desc) <= 50""",
+qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 50""",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +20,6 @@ def chunk_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("n_chars < 3000")
-    return docs.select("doc_id", F.md5(F.array_join(workbench.token_offsets(chunking.words_of(F.col("text"))).cast("array<string>"), ",")).alias("offsets_md5"))
-
-
-def token_offsets_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Of every document; token_offsets shows those that its SQL covers."""
     offsets = workbench.token_offsets(chunking.words_of(F.col("text")))
     return table(spark, folder, "documents").select("doc_id", F.md5(F.array_join(offsets.cast("array<string>"), ",")).alias("offsets_md5"))
 
@@ -86,9 +78,9 @@ def time_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return workbench.time_estimates(work, timings, {"click": 1.0, "error": 700.0})
 
 
-def pair_building(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def pair_building(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").where("role = 'user'")
-    text = F.col("text") if whole else F.substring("text", 1, 20)
+    text = F.col("text")
     origins = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), text.alias("question"),
         F.array(F.concat(F.lit(" "), text), F.concat(text, F.lit(" again"))).alias("paraphrases"),
@@ -109,9 +101,8 @@ def complete_documents(spark: SparkSession, folder: str) -> DataFrame:
     return workbench.complete_documents(lines.select("doc_id", "position"), lines.where("l_shipdate < timestamp '1998-01-01'"))
 
 
-def prompt_context(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    text = F.col("text") if whole else F.substring("text", 1, 30)
-    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), text.alias("text"))
+def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), "text")
     return workbench.prompt_contexts(turns)
 
 
@@ -150,15 +141,21 @@ def batch_savings(spark: SparkSession, folder: str) -> DataFrame:
     return _round(e.groupBy("event_type").agg(F.sum(workbench.batch_saving(F.col("value"), kind)).alias("saved")), 4, "saved")
 
 
-def job_progress(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    e = table(spark, folder, "events").where(F.lit(whole) | (F.col("event_id") % 50 == 0))
-    jobs = e.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 90 + 1).alias("done"), F.lit(100).alias("total"), F.col("ts").alias("started_at"), F.col("ts").alias("updated_at"))
-    return workbench.job_progress(jobs, F.lit("2024-02-01").cast("timestamp"), 86400 * 10)
+def job_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as jobs, some without units, some done, some with a lease that ends with January."""
+    e = F.col("event_id")
+    status = F.when(e % 5 == 0, "succeeded").when(e % 5 == 1, "queued").otherwise("running")
+    lease = F.when(e % 4 != 0, F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * 10))
+    jobs = table(spark, folder, "events").select(
+        e.alias("job_id"), status.alias("status"), (e % 130).alias("done"), F.when(e % 17 == 0, 0).otherwise(120).alias("total"),
+        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("started_at"), lease.alias("lease_expires_at"),
+    )
+    return workbench.job_progress(jobs, F.lit("2024-02-01").cast("timestamp"))
 
 
-def trial_pools(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def trial_pools(spark: SparkSession, folder: str) -> DataFrame:
     base = table(spark, folder, "embeddings").select("vec_id", "label")
-    trials = base.where(F.lit(whole) | (F.col("vec_id") % 30 == 0)).select(F.col("vec_id").alias("trial_id"), F.array(F.col("vec_id") + 3, F.lit(-1).cast("long"), F.col("vec_id") + 1).alias("pool_ids"))
+    trials = base.select(F.col("vec_id").alias("trial_id"), F.array(F.col("vec_id") + 3, F.lit(-1).cast("long"), F.col("vec_id") + 1).alias("pool_ids"))
     out = workbench.hydrated(trials, base.withColumnRenamed("vec_id", "chunk_id"))
     return out.select("trial_id", F.array_join(F.col("pool").cast("array<string>"), ",").alias("pool"))
 
@@ -166,14 +163,12 @@ def trial_pools(spark: SparkSession, folder: str, whole: bool = False) -> DataFr
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_spans, token_offsets, token_offsets_whole, edit_windows, rechunk_outcome, replay_metrics, restamp_latest, settle_batch, threshold_stats,
+        chunk_spans, token_offsets, edit_windows, rechunk_outcome, replay_metrics, restamp_latest, settle_batch, threshold_stats,
         override_fingerprints, guard_delta, best_of_group, time_estimates, pair_building, judge_selection, complete_documents,
         prompt_context, scope_tree, round_robin_draw, shadow_spaces, holdout_contamination, next_work, batch_savings,
         job_progress, trial_pools,
     )
 }
-#: Over whole tables and texts; their namesakes show what their SQL covers.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (pair_building, prompt_context, job_progress, trial_pools)}
 
 SQL = {
     "chunk_spans": f"""
@@ -189,9 +184,10 @@ r as (
 select doc_id, position, case when p > 0 then p - 1 else -1 end::int as start, case when p > 0 then p - 1 + n else -1 end::int as "end" from r""",
     "token_offsets": r"""
 with w as (
-  select doc_id, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') as w from documents where n_chars < 3000)
-select doc_id, md5(array_to_string(list_transform(range(len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: length(x) + 1)).coalesce(0)::bigint), ',')) as offsets_md5
-from w""",
+  select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i
+  from (select doc_id, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') as w from documents)),
+s as (select doc_id, i, x, sum(length(x) + 1) over (partition by doc_id order by i) as s from w)
+select doc_id, md5('0' || coalesce(string_agg(',' || s::bigint, '' order by i) filter (where x <> ''), '')) as offsets_md5 from s group by 1""",
     "edit_windows": f"""
 with {_chunks("c", 64, 8)},
 o as (
@@ -233,7 +229,7 @@ select s_suppkey, s_nationkey, s_acctbal, s_acctbal = max(s_acctbal) over (parti
 select event_type as kind, count(*) as units,
   count(*) * case event_type when 'click' then 12.5::double when 'view' then 3.25 when 'error' then 700 else 0 end as ms from events group by 1""",
     "pair_building": """
-with q as (select conv_id * 1000 + turn as question_id, text[1:20] as q from conversations where role = 'user'),
+with q as (select conv_id * 1000 + turn as question_id, text as q from conversations where role = 'user'),
 p as (
   select question_id, q, ' ' || q as text, 'same' as label from q union all
   select question_id, q, q || ' again', 'same' from q union all select question_id, q, 'not ' || q, 'different' from q)
@@ -245,7 +241,7 @@ where round(value / 500, 6) between 0.02 and 0.4 and (event_id % 2 <> 0 or event
 with c as (select l_orderkey, l_linenumber, bool_or(l_shipdate < timestamp '1998-01-01') as got from lineitem group by 1, 2)
 select l_orderkey as doc_id from c group by 1 having bool_and(got)""",
     "prompt_context": """
-select conv_id as question_id, string_agg('[' || turn || '] ' || text[1:30], chr(10) || chr(10) order by turn) as context from conversations group by 1""",
+select conv_id as question_id, string_agg('[' || turn || '] ' || text, chr(10) || chr(10) order by turn) as context from conversations group by 1""",
     "scope_tree": "select l_suppkey as doc_id, count(distinct l_partkey) as chunks, count(*) as questions from lineitem group by 1",
     "round_robin_draw": """
 select o_orderkey as question_id, o_custkey % 40 as doc_id, row_number() over (partition by o_custkey % 40 order by o_orderkey)::int as turn
@@ -259,15 +255,19 @@ select o_custkey % 20 as run_id, count(*) as seen from orders where o_orderprior
 with p as (
   select l_partkey % 700 as chunk_id, case when o_orderkey % 503 = 0 then 'missing' when o_orderkey % 401 = 0 then 'stale'
     when o_orderkey % 97 = 0 then 'failing' else 'passing' end as s from lineitem join orders on o_orderkey = l_orderkey)
-select chunk_id, case when chunk_id < 50 then 'skip' when bool_or(s in ('missing', 'stale')) then 'rescore'
-  when bool_or(s = 'failing') then 'search' else 'skip' end as action from p group by 1""",
+select chunk_id, case when bool_or(s = 'stale') then 'rescore' when bool_or(s = 'failing') then 'search' else 'skip' end as action
+from p where chunk_id >= 50 group by 1""",
     "batch_savings": """
 select event_type, round(sum(value * case when event_type = 'view' then 0.33::double else 0.5::double end), 4) as saved from events group by 1""",
     "job_progress": """
-select event_id as job_id, round(least(1, (event_id % 90 + 1)::double / 100) * 100, 1) as percent,
-  round((epoch(timestamp '2024-02-01')::bigint - epoch(date_trunc('second', ts))::bigint) * (100 - (event_id % 90 + 1))::double / (event_id % 90 + 1), 1) as remaining_s,
-  epoch(timestamp '2024-02-01')::bigint - epoch(date_trunc('second', ts))::bigint > 864000 as stalled from events where event_id % 50 = 0""",
+with j as (
+  select event_id as job_id, event_id % 5 as kind, event_id % 130 as done, case when event_id % 17 = 0 then 0 else 120 end as total,
+    epoch(timestamp '2024-02-01')::bigint - epoch(date_trunc('second', ts))::bigint as spent,
+    case when event_id % 4 <> 0 then epoch(date_trunc('second', ts))::bigint + 864000 end as lease from events)
+select job_id, case when total > 0 then least(100, floor(done::double / total * 100 + 0.5))::int end as percent,
+  case when done > 0 and total > done and spent > 0 then floor((total - done) * (spent * 1000::double / done) / 1000 + 0.5)::bigint end as remaining_s,
+  kind <> 0 and (lease is null or lease <= epoch(timestamp '2024-02-01')::bigint) as stalled from j""",
     "trial_pools": """
 select t.vec_id as trial_id, coalesce(string_agg(c.vec_id::varchar, ',' order by c.vec_id desc), '') as pool
-from embeddings t left join embeddings c on c.vec_id in (t.vec_id + 3, t.vec_id + 1) where t.vec_id % 30 = 0 group by 1""",
+from embeddings t left join embeddings c on c.vec_id in (t.vec_id + 3, t.vec_id + 1) group by 1""",
 }

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The incoming rows to append: of keys not there yet, one a key."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """The incoming rows to append: of keys not there yet, the first a key by `order` (by default by all other columns)."""
+    by = order or [c for c in incoming.columns if c not in keys] or keys
+    first = incoming.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_n = 1").drop("_n")
+    return first.join(existing.select(*keys), keys, "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], newest: str) -> DataFrame:

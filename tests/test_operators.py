@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import caches, calibration, chunking, clustering, ledger, ranking, similarity, workbench, workspace
+from quern.operators import caches, calibration, chunking, clustering, ledger, ranking, running, similarity, workbench, workspace
 from quern.sources import files, sinks
 
 
@@ -48,15 +49,35 @@ def test_rates(spark):
     ]
     df = spark.createDataFrame(rows, "hit boolean, edit_stale boolean, rr double, ndcg double, ignored boolean, held_out boolean")
     train, held = one(ranking.rates(df, False)), one(ranking.rates(df, True))
-    assert (train["scored"], train["pending"], train["recall"], train["mrr"], train["ndcg"]) == (2, 2, 0.5, 0.5, 0.5)
+    assert (train["scored"], train["pending"], train["recall"], train["mrr"], train["ndcg"]) == (2, 2, 0.5, 0.5, 0.75)
+    assert (train["hits"], train["ndcg_covered"]) == (1, 2)
     assert (held["scored"], held["recall"], held["mrr"]) == (1, 1.0, 0.5)
     assert one(ranking.rates(df.where("held_out = false and ignored"), True))["recall"] is None
 
 
 def test_gold_rank_favours_gold(spark):
-    pairs = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.9), (1, 12, 0.5)], "question_id long, chunk_id long, sim double")
-    gold = spark.createDataFrame([(1, 11), (2, 10)], "question_id long, gold_id long")
-    assert {r["question_id"]: r["gold_rank"] for r in ranking.gold_ranks(pairs, gold).collect()} == {1: 1, 2: None}
+    questions = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "question_id long, vec array<double>")
+    chunks = spark.createDataFrame([(10, [2.0, 0.0]), (11, [1.0, 0.0]), (12, [1.0, 1.0])], "chunk_id long, vec array<double>")
+    gold = spark.createDataFrame([(1, 11), (2, 99), (3, 10)], "question_id long, gold_id long")
+    got = {r["question_id"]: r["gold_rank"] for r in similarity.gold_ranks(questions, chunks, gold).collect()}
+    assert got == {1: 1, 2: None, 3: 2}
+
+
+def test_substituted_rank(spark):
+    r = random.Random(4)
+    vec = lambda: [r.choice([-1.0, 0.5, 1.0]) for _ in range(3)]
+    chunks, questions = [(i, vec()) for i in range(40)], [(i, vec()) for i in range(5)]
+    pieces = [(0, vec()), (1, vec()), (2, vec())]
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9) + 0.0
+    got = similarity.substituted_rank(
+        spark.createDataFrame(questions, "question_id long, vec array<double>"), spark.createDataFrame(chunks, "chunk_id long, vec array<double>"),
+        7, spark.createDataFrame(pieces, "piece_index int, vec array<double>"), 4,
+    ).collect()
+    expected = set()
+    for q, v in questions:
+        rows = [(-cos(v, c), i, -1) for i, c in chunks if i != 7] + [(-cos(v, c), 7, i) for i, c in pieces]
+        expected |= {(q, i, None if p < 0 else p, n) for n, (_, i, p) in enumerate(sorted(rows), 1) if n <= 4 or p >= 0}
+    assert {(x["question_id"], x["chunk_id"], x["piece_index"], x["rank"]) for x in got} == expected
 
 
 def test_leave_one_out_flips(spark):
@@ -78,18 +99,53 @@ def events(spark, rows):
     return spark.createDataFrame(rows, "sim double, accept boolean")
 
 
+def chosen(spark, rows, target, least=1):
+    return one(calibration.select_threshold(calibration.curve(events(spark, rows)), target, least))
+
+
 def test_threshold_selection(spark):
     rows = [(0.98, True), (0.95, True), (0.90, True), (0.85, False), (0.82, False)]
-    got = one(calibration.select_threshold(calibration.curve(events(spark, rows)), 1.0 - 1e-9, 1))
-    assert got["threshold"] == 0.90 and got["blocker"] == "none"
-    only = one(calibration.select_threshold(calibration.curve(events(spark, rows[:3])), 0.9, 1))
-    assert only["threshold"] is None and only["blocker"] == "one class"
-    few = one(calibration.select_threshold(calibration.curve(events(spark, rows)), 0.9, 20))
-    assert few["threshold"] is None and few["blocker"] == "samples"
+    got = chosen(spark, rows, 1.0)
+    assert (got["threshold"], got["precision"], got["coverage"], got["blocker"], got["required"]) == (0.90, 1.0, 1.0, None, None)
+    only = chosen(spark, rows[:3], 0.9)
+    assert only["threshold"] is None and only["precision"] is None and only["blocker"] == "one-class-sample" and only["best_rate"] == 1.0
+    few = chosen(spark, rows, 0.9, 20)
+    assert few["threshold"] is None and few["best_rate"] is None and few["blocker"] == "below-min-samples" and few["required"] is None
+    assert chosen(spark, [], 0.9)["blocker"] == "no-events"
     tied = calibration.curve(events(spark, [(0.9, True), (0.9, False), (0.8, True)])).collect()
     assert sorted((r["sim"], r["n"]) for r in tied) == [(0.8, 3), (0.9, 2)]
 
 
+def test_unreachable_targets(spark):
+    rows = [(0.9, True), (0.9, False), (0.8, True), (0.8, False), (0.7, False)]
+    got = chosen(spark, rows, 0.95)
+    assert (got["threshold"], got["blocker"], got["best_sim"], got["best_n"], got["best_rejected"], got["required"]) == (None, "target-unreachable", 0.9, 2, 1, 20)
+    assert chosen(spark, rows, 1.0)["required"] is None
+    rejected = chosen(spark, [(0.9, False), (0.8, False)], 0.5)
+    assert (rejected["blocker"], rejected["best_coverage"], rejected["required"]) == ("target-unreachable", None, 2)
+    assert chosen(spark, [(0.9, False)], 0.0)["blocker"] == "one-class-sample"
+
+
+def test_prior_choice(spark):
+    rows = [(0.9, True), (0.8, True), (0.8, False), (0.7, True), (0.6, False)]
+    points = calibration.prior_curve(events(spark, rows), 0.9)
+    assert one(calibration.recommend_under_prior(points, 0.9, 3))["sim"] == 0.6
+    assert one(calibration.recommend_under_prior(points, 0.93, 3))["sim"] == 0.7
+    assert calibration.recommend_under_prior(points, 0.93, 5).isEmpty()
+    assert one(calibration.precision_at(points, 0.75))["sim"] == 0.8
+    assert calibration.precision_at(points, 0.95).isEmpty()
+    assert calibration.prior_curve(events(spark, rows[:2]), 0.9).isEmpty() and calibration.prior_curve(events(spark, rows), 1.0).isEmpty()
+
+
+def test_running_sums_over_many_stretches(spark):
+    rows = [(i % 3 if i % 7 else None, round(((i * 37) % 1000) / 999 - 0.3, 6), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, v double, x long")
+    for down, inclusive in ((True, True), (False, False)):
+        for r in running.running_sums(df, ["g"], "v", {"s": "x"}, down, inclusive, 50).collect():
+            before = [x for g, v, x in rows if g == r["g"] and (v > r["v"] if down else v < r["v"])]
+            assert r["s"] == sum(before) + (r["x"] if inclusive else 0)
+
+
 @pytest.mark.parametrize(
     "rows,expected",
     [([(0.9, True), (0.1, False)], 1.0), ([(0.1, True), (0.9, False)], 0.0), ([(0.5, True), (0.5, False)], 0.5), ([(0.5, True)], None)],
@@ -106,9 +162,61 @@ def test_prior_at_its_own_rate(spark):
 
 def test_collision_floor(spark):
     rows = [(1, [1.0, 0.0], ["a"]), (2, [0.99, 0.14], ["a"]), (3, [0.0, 1.0], ["b"]), (4, None, ["c"])]
-    got = one(calibration.collision_floor(spark.createDataFrame(rows, "question_id long, vec array<double>, chunk_ids array<string>")))
+    layout = "question_id long, vec array<double>, chunk_ids array<string>"
+    got = one(calibration.collision_floor(spark.createDataFrame(rows, layout)))
     assert (got["distinct_pairs"], got["same_pairs"], got["overlap"]) == (2, 1, False)
-    assert got["recommended"] <= got["same_min"]
+    assert got["recommended"] <= got["same_min"] and got["same_median"] == got["same_min"]
+    empty = one(calibration.collision_floor(spark.createDataFrame(rows, layout).limit(0)))
+    assert empty["recommended"] is None and empty["same_pairs"] == 0
+    apart = one(calibration.collision_floor(spark.createDataFrame([(1, [1.0, 0.0], ["a"]), (2, [-1.0, 0.0], None)], layout)))
+    assert (apart["distinct_max"], apart["recommended"]) == (-1.0, 0.0)
+
+
+def test_collision_floor_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "BLOCK", 16)
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], [f"a{i % 5}", f"b{i % 9}"]) for i in range(70)]
+    got = one(calibration.collision_floor(spark.createDataFrame(rows, "question_id long, vec array<double>, chunk_ids array<string>")))
+    sims = {True: [], False: []}
+    for i, a, x in rows:
+        for j, b, y in rows[:i]:
+            sims[bool(set(x) & set(y))].append(round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9))
+    assert (got["distinct_pairs"], got["same_pairs"]) == (len(sims[False]), len(sims[True]))
+    assert got["same_median"] == pytest.approx(float(np.median(sims[True])), abs=2e-9)
+    assert (got["distinct_max"], got["same_min"]) == pytest.approx((max(sims[False]), min(sims[True])), abs=2e-9)
+
+
+def test_ndcg_without_retrieval(spark):
+    ideal = spark.createDataFrame([("p", "a", 1), ("q", "a", 1)], "question_id string, chunk_id string, rank int")
+    got = spark.createDataFrame([("q", "a", 1), ("r", "a", 1)], "question_id string, chunk_id string, rank int")
+    assert {r["question_id"]: r["ndcg"] for r in ranking.ndcg(ideal, got, 5).collect()} == {"p": 0.0, "q": 1.0, "r": None}
+
+
+def test_failing_metrics(spark):
+    rows = [(1, True, 0.2, 0.9, False, False), (2, False, 0.0, None, False, False), (3, None, 0.0, 0.1, False, False), (4, False, 0.0, 0.1, True, False), (5, False, 0.0, 0.1, False, True), (6, True, 1.0, 0.1, False, None)]
+    df = spark.createDataFrame(rows, "i int, hit boolean, rr double, ndcg double, stale boolean, ignored boolean")
+    failing = workspace.failing_metrics(F.col("hit"), F.col("rr"), F.col("ndcg"), {"recall": 0.9, "mrr": 0.5, "ndcg": 0.8}, F.col("stale"), F.col("ignored"))
+    got = {r["i"]: r["f"] for r in df.select("i", failing.alias("f")).collect()}
+    assert got == {1: ["mrr"], 2: ["recall", "mrr"], 3: [], 4: [], 5: [], 6: ["ndcg"]}
+    none = df.select(workspace.failing_metrics(F.col("hit"), F.col("rr"), F.col("ndcg"), {}).alias("f")).collect()
+    assert all(r["f"] == [] for r in none)
+
+
+def test_job_progress(spark):
+    rows = [(1, "running", 1, 3, 10, 90), (2, "running", 0, 0, 10, None), (3, "queued", 5, 4, 10, None), (4, "succeeded", 4, 4, 10, None), (5, "cancelling", 2, 3, 10, 100)]
+    stamp = "2024-01-01 00:00:00"
+    df = spark.createDataFrame(rows, "job_id int, status string, done int, total int, begun int, lease int")
+    at = lambda c: F.timestamp_seconds(F.unix_seconds(F.lit(stamp).cast("timestamp")) + F.col(c))
+    jobs = df.withColumns({"started_at": at("begun"), "lease_expires_at": at("lease")})
+    got = workbench.job_progress(jobs, F.timestamp_seconds(F.unix_seconds(F.lit(stamp).cast("timestamp")) + 70)).orderBy("job_id").collect()
+    assert [tuple(r)[1:] for r in got] == [(33, 120, False), (None, None, True), (100, None, True), (100, None, False), (67, 30, False)]
+
+
+def test_next_work_leaves_covered_chunks_out(spark):
+    plan = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (3, 4), (4, 5)], "chunk_id int, question_id int")
+    states = spark.createDataFrame([(1, "stale"), (2, "failing"), (3, "failing"), (5, "failing")], "question_id int, state string")
+    got = workbench.next_work(plan, states, spark.createDataFrame([(4,)], "chunk_id int")).collect()
+    assert {r["chunk_id"]: r["action"] for r in got} == {1: "rescore", 2: "search", 3: "skip"}
 
 
 @pytest.mark.parametrize(
@@ -235,6 +343,9 @@ def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([(1, 1, 10.0), (2, 1, 20.0)], "k int, t int, v double")
     new = spark.createDataFrame([(2, 2, 5.0), (3, 1, 7.0), (3, 1, 7.0)], "k int, t int, v double")
     assert {r["k"] for r in sinks.insert_missing(old, new, ["k"]).collect()} == {3}
+    clash = spark.createDataFrame([(4, 1, 2.0), (4, 2, 1.0)], "k int, t int, v double")
+    assert one(sinks.insert_missing(old, clash, ["k"]))["t"] == 1
+    assert one(sinks.insert_missing(old, clash, ["k"], [F.desc("t")]))["t"] == 2
     assert {(r["k"], r["v"]) for r in sinks.upsert(old, new, ["k"], "t").collect()} == {(1, 10.0), (2, 5.0), (3, 7.0)}
     assert {(r["k"], r["v"]) for r in sinks.accumulate(old, new, ["k"], ["v"]).collect()} == {(1, 10.0), (2, 25.0), (3, 14.0)}
     path = str(tmp_path / "t")

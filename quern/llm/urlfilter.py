@@ -13,8 +13,12 @@ from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, scratch_path, table
+
+#: A cascade shrinks by `rate` a level, so it ends long before this unless two keys share every hash.
+MAX_LEVELS = 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,8 +60,8 @@ def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    """Bit positions of a key: one independent hash each, seeded by level and number."""
-    return [F.pmod(F.xxhash64(key, F.lit(1000 * level + i)), F.lit(bits).cast("long")) for i in range(hashes)]
+    """Bit positions of a key: one independent hash each, whose seed is made of level and number before the key is read."""
+    return [F.pmod(F.xxhash64(F.lit(1000 * level + i), key), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
 class BloomCascade:
@@ -65,8 +69,8 @@ class BloomCascade:
 
     keys: DataFrame with `key` (string) and `listed` (boolean), distinct keys without null. rate: share of false
     positives of a level. A filter is one row of at most `max_bits` bits, read as a scalar subquery. More keys than that
-    allows are split by hash into parts of their own cascade, so a filter's size never depends on the corpus; `verdict`
-    then chooses the part's filters in the same pass over the rows.
+    allows are split by hash into parts of their own cascade, so a filter's size never depends on the corpus; rows are
+    then judged part by part, so that a task holds one part's filters.
     """
 
     def __init__(self, keys: DataFrame, rate: float = 0.05, max_bits: int = 1 << 26):
@@ -77,18 +81,18 @@ class BloomCascade:
         sides = {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
         largest = max([1, *sides.values()])
         self.parts = max(1, ceil(1.25 * largest * self.per_key / max_bits))
-        self.levels: list[list[tuple[int, DataFrame]]] = [
-            self._build(keys.where(self._part(F.col("key")) == p) if self.parts > 1 else keys)
-            for p in range(self.parts)
-        ]
+        in_parts = by_part(keys, self.part(F.col("key")), self.parts, "cascade-keys")
+        self.levels: list[list[tuple[int, DataFrame]]] = [self._build(part) for part in in_parts]
 
-    def _part(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts).cast("long"))
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.parts).cast("long")).cast("int")
 
     def _build(self, keys: DataFrame) -> list[tuple[int, DataFrame]]:
         levels: list[tuple[int, DataFrame]] = []
         inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
         while n := inside.count():
+            if len(levels) == MAX_LEVELS:
+                raise RuntimeError(f"a listed and another key pass all {MAX_LEVELS} levels: they cannot be told apart")
             bits = 64 * max(1, ceil(n * self.per_key / 64))
             k = len(levels) + 1
             levels.append((bits, self._filter(inside, k, bits)))
@@ -117,16 +121,34 @@ class BloomCascade:
             ],
         )
 
-    def listed(self, key: Column) -> Column:
-        """True for listed keys, false for the corpus's other keys. Null: false."""
-        out = F.lit(False)
-        for p, levels in enumerate(self.levels):
-            inner = F.lit(len(levels) % 2 == 1)
-            for k in range(len(levels), 0, -1):
-                inner = F.when(~self._passes(key, k, *levels[k - 1]), F.lit(k % 2 == 0)).otherwise(inner)
-            out = F.when(self._part(key) == p, inner).otherwise(out) if self.parts > 1 else inner
+    def listed(self, key: Column, part: int = 0) -> Column:
+        """True for listed keys, false for the corpus's other keys, of keys of one part. Null: false."""
+        levels = self.levels[part]
+        out = F.lit(len(levels) % 2 == 1)
+        for k in range(len(levels), 0, -1):
+            out = F.when(~self._passes(key, k, *levels[k - 1]), F.lit(k % 2 == 0)).otherwise(out)
         return F.coalesce(out, F.lit(False))
 
+    def with_side(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with `name`: whether `key` is listed. Several parts are judged one after another into the shared folder."""
+        judged = [df.withColumn(name, self.listed(F.col(key), p)) for p, df in enumerate(by_part(rows, self.part(F.col(key)), self.parts, "cascade-rows"))]
+        if self.parts == 1:
+            return judged[0]
+        path = scratch_path(self.spark, "cascade-judged")
+        for p, df in enumerate(judged):
+            df.write.parquet(f"{path}/_part={p}")
+        return self.spark.read.option("basePath", path).parquet(f"{path}/_part=*").select(*rows.columns, name)
+
+
+def by_part(rows: DataFrame, part: Column, parts: int, name: str) -> list[DataFrame]:
+    """rows of each part: the rows themselves for one part, else written once, a folder a part."""
+    if parts == 1:
+        return [rows]
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    rows.withColumn("_part", F.coalesce(part, F.lit(0))).write.partitionBy("_part").parquet(path)
+    whole = spark.read.schema(StructType([*rows.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    return [whole.where(F.col("_part") == p).select(*rows.columns) for p in range(parts)]
+
 
 def listed_hosts(hosts: DataFrame, share: float) -> DataFrame:
     """(key, listed) of every host: listed where more than `share` of its urls are plain http."""
@@ -149,8 +171,8 @@ def judge_urls(pages: DataFrame, rules=RULES, share: float = 0.5, id_col: str =
     )
     cascade = BloomCascade(listed_hosts(parts, share))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    method = F.when(cascade.listed(F.col("host")), "block").otherwise("allow")
-    return parts.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
+    method = F.when(F.col("_listed"), "block").otherwise("allow")
+    return cascade.with_side(parts, "host", "_listed").select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
 
 
 def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,41 +113,67 @@ def fingerprint_documents(
 RUNS = 4
 
 
+def _run_bounds(ids: DataFrame, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of runs of nearly equal size, as pairs of key and tie in ascending order. ids: key, tie.
+
+    Keys are cut at their quantiles; a key that holds more than a run (null ids, repeated ids) is cut at those of its ties.
+    """
+    n = ids.count()
+    marks = [i / runs for i in range(1, runs)]
+    cuts = ids.agg(F.percentile_approx("key", marks, 10 * runs).alias("b")).first()["b"] or []
+    hot = ids.groupBy("key").count().where(F.col("count") > max(1, 2 * n / runs)).select("key")  # runs / 2 keys at most
+    inner = ids.join(F.broadcast(hot), "key").groupBy("key").agg(F.percentile_approx("tie", marks, 10 * runs).alias("b")).collect()
+    least = -(1 << 63)
+    bounds = {(int(k), least) for k in cuts} | {(r["key"], int(t)) for r in inner for t in r["b"]}
+    pairs = np.array(sorted(bounds), np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _run_of(keys: np.ndarray, ties: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many bounds lie at or below each pair of key and tie."""
+    first = np.searchsorted(bounds[0], keys, "left")
+    out = np.searchsorted(bounds[0], keys, "right")
+    for k in np.unique(keys[out > first]):
+        own = keys == k
+        at = first[own][0]
+        out[own] = at + np.searchsorted(bounds[1][at : out[own][0]], ties[own], "right")
+    return out.astype(np.int32)
+
+
 def with_heirs(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text) in runs of descending ids, each run followed by the row that comes next in the corpus.
 
     Adds `chunk` (the run) and `heir` (true for the row that only follows). Partitions hold whole runs, sorted. Runs
-    are cut at quantiles of the ids, so only one row a run is sent twice; no task sees the whole order. Bounds and first
-    ids of the runs, a few numbers a partition, are sent to every task. Null ids are the smallest; equal ids are ordered
-    by a hash of their text.
+    are cut by id and, within an id that many rows share, by a hash of the text; so only the first row of a run is sent
+    twice (with rows that repeat its id and text) and no task sees the whole order. Bounds and first rows of the runs, a few
+    numbers a partition, are sent to every task. Null ids are the smallest; equal ids are ordered by a hash of their text.
     """
     partitions = shuffle_partitions(rows.sparkSession)
     runs = RUNS * partitions
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ids = rows.select(key.alias("key"))
-    marks = [i / runs for i in range(1, runs)]
-    cuts = ids.agg(F.percentile_approx("key", marks, 10 * runs).alias("b")).first()["b"]
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    key, tie = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.bitwise_not(F.xxhash64("text"))  # the last of the order first
+    ids = rows.select(key.alias("key"), tie.alias("tie"))
+    bounds = _run_bounds(ids, runs)
 
     @F.pandas_udf("int")
-    def run_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "right").astype(np.int32))
+    def run_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(_run_of(keys.to_numpy(), ties.to_numpy(), bounds))
 
-    tops = {r["chunk"]: r["top"] for r in ids.groupBy(run_of("key").alias("chunk")).agg(F.max("key").alias("top")).collect()}
+    found = ids.groupBy(run_of("key", "tie").alias("chunk")).agg(F.max(F.struct("key", "tie")).alias("top")).collect()
+    tops = {r["chunk"]: tuple(r["top"]) for r in found}
     full = sorted(tops)
-    above = dict(zip((tops[lower] for lower in full), full[1:] + full[:1]))  # the first id of a run follows the run above
+    above = dict(zip((tops[lower] for lower in full), full[1:] + full[:1]))  # the first row of a run follows the run above
 
     @F.pandas_udf("int")
-    def followed(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: above.get(k, -1)).astype("int32")
+    def followed(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([above.get(pair, -1) for pair in zip(keys, ties)], dtype="int32")
 
-    rows = rows.withColumn("key", key).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("own", run_of("key")).withColumn("also", followed("key"))
+    rows = rows.withColumn("key", key).withColumn("tie", tie)
+    rows = rows.withColumn("own", run_of("key", "tie")).withColumn("also", followed("key", "tie"))
     own = F.struct(F.col("own").alias("chunk"), F.lit(False).alias("heir"))
     also = F.when(F.col("also") >= 0, F.struct(F.col("also").alias("chunk"), F.lit(True).alias("heir")))
     dealt = rows.withColumn("to", F.explode(F.array_compact(F.array(own, also))))
     dealt = dealt.select("doc_id", "text", "key", "tie", "to.chunk", "to.heir").repartition(partitions, "chunk")
-    return dealt.sortWithinPartitions("chunk", "heir", F.desc("key"), "tie")
+    return dealt.sortWithinPartitions("chunk", "heir", F.desc("key"), F.desc("tie"))
 
 
 EDITED = (
@@ -181,7 +207,11 @@ def _compare(frames: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
 
 def compare_edited(docs: DataFrame, low: float = 2.0, high: float = 7.0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of the text with its last third replaced by the start of the next document's, and
-    how alike they are. The next document is the one of the next smaller id; the last is followed by the first."""
+    how alike they are. The next document is the one of the next smaller id; the last is followed by the first.
+
+    One row per row of docs. Null texts are empty; null ids are the smallest; rows of equal id follow in the order of a hash
+    of their text, and rows that repeat both follow each other; a lone row follows itself; other columns are not read.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(term_lexicon(spread(rows), low, high))
     return with_heirs(rows).mapInPandas(partial(_compare, lexicon=held), EDITED)

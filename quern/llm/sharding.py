@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ def jump_shard(key: Column, shards: int) -> Column:
     """Shard 0 .. shards-1 of a 64-bit key (Lamping and Veach, 2014), as an int column.
 
     Each step draws the next jump from a linear congruential generator seeded by the key; the bucket before the jump
-    that leaves the range is the answer. Jumps only grow, so `shards` steps always suffice; each costs a few decimal
-    operations (decimals, since a 64-bit product overflows). A null key gets a null shard.
+    that leaves the range is the answer. About ln(shards) jumps are needed, so few steps are made at first and all that
+    can be needed, `shards`, only for a key that has not left by then. Each costs a few decimal operations (decimals, since
+    a 64-bit product overflows). A null key gets a null shard.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -34,7 +37,13 @@ def jump_shard(key: Column, shards: int) -> Column:
         moved = F.struct(drawn.alias("k"), s["j"].alias("b"), jumped.alias("j"))
         return F.when(s["j"] < shards, moved).otherwise(s)
 
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step)
+    def after(state: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step)
+
+    few = min(shards + 1, 8 + ceil(3 * log(shards)))
+    if few == shards + 1:
+        return F.when(key.isNotNull(), after(start, few)["b"].cast("int"))
+    last = F.transform(F.array(after(start, few)), lambda s: F.when(s["j"] < shards, after(s, shards + 1)).otherwise(s))[0]
     return F.when(key.isNotNull(), last["b"].cast("int"))
 
 

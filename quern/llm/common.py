@@ -86,7 +86,7 @@ class PartCache(dict):
     What is frequent is met early, so the first parts stay and later new ones are encoded each time.
     """
 
-    def __init__(self, encode: Callable, limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable, limit: int = 250_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
@@ -103,32 +103,35 @@ class UnitEncoder:
     Letters and a tail of ASCII marks are separate pre-tokens in the public patterns, and so is a line end between two
     other characters. So a word's ids are kept once for all its tails, at line ends too, and with `folds` (a tokenizer
     that lower-cases) once for both cases of ASCII words. `word` may give a shorter way for a word of Latin letters,
-    after a space or not.
+    after a space or not. Texts that hold one of the tokens `apart` are encoded whole, as are words whose lower case holds
+    marks (a dotted capital I), beside other marks.
     """
 
     MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
     LINES = re.compile(r"\S+(?:\n\S+)+")
 
-    def __init__(self, encode: Callable[[str], bytes], folds: bool = False, word: Callable[[str, bool], bytes] | None = None):
-        self.encode, self.folds, self.word = encode, folds, word
+    def __init__(self, encode: Callable[[str], bytes], folds: bool = False, word: Callable[[str, bool], bytes] | None = None, apart: tuple = ()):
+        self.encode, self.folds, self.word, self.apart = encode, folds, word, apart
         self.first = PartCache(lambda part: self._part(part, self.first, ""), 100_000)
         self.later = PartCache(lambda part: self._part(part, self.later, " "))
         self.line_end = encode("\n")
 
     def _part(self, part: str, same: PartCache, space: str) -> bytes:
         core = part.rstrip(self.MARKS)
-        if core != part and core.isalpha():
+        if core != part and core.isalpha() and "\u0130" not in core:
             return same[core] + self.first[part[len(core) :]]
         if "\n" in part and self.LINES.fullmatch(part):
             line, *others = part.split("\n")
             return same[line] + b"".join([self.line_end + self.first[x] for x in others])
-        if self.folds and part.isascii() and (low := part.lower()) != part:
+        if self.folds and part.isascii() and (low := part.lower()) != part and not any(token in low for token in self.apart):
             return same[low]
         if self.word and part.isalpha() and max(part) <= "\u017e" and "\u0130" not in part:
             return self.word(part, bool(space))
         return self.encode(space + part)
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.apart):
+            return self.encode(text)
         parts = space_units(text)
         return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
 

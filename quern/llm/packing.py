@@ -38,7 +38,12 @@ def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: in
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text's ids and the end id, cut into pieces of `capacity` where longer; the first piece takes the rest."""
+    """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut into pieces of `capacity` where longer;
+    the first piece takes the rest.
+
+    Null and empty texts are the end id alone; null ids are kept; rows that repeat have their own pieces; an empty table
+    gives none; other columns are not read.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return spread(rows).mapInPandas(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES)
 
@@ -124,9 +129,9 @@ def pack(
     lengths, of `attention` (default: tokens squared). Both rules are planned, sequences chosen by the smallest weighted
     norm of what is left and by the largest weighted dot product of what is left with the piece, and the plan of fewer
     sequences is used. Sequences hold their pieces without gaps. Empty input gives no rows; repeated rows keep a place
-    each; null ids are kept.
+    each; null ids are kept; other columns of pieces are not.
     """
-    pieces = cut(pieces)
+    pieces = cut(pieces.select(*[c.split()[0] for c in PIECES.split(", ")]))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     capacities = (tokens, documents or tokens, attention or tokens * tokens)
     plan = min((Plan(counts, capacities, weights, rule) for rule in ("norm", "dot")), key=lambda p: p.sequences)

@@ -57,28 +57,26 @@ class EliasFano:
         )
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(self.low, bitorder="little")
-        at = np.asarray(i)[:, None] * self.low_bits + np.arange(self.low_bits)
-        return (bits[at].astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
-    def select(self, i: int) -> int:
-        """The place of the i-th set high bit, searched from the sample before it."""
-        place, seen = int(self.samples[i // SAMPLE]), i // SAMPLE * SAMPLE
-        byte, bits = place // 8, np.uint8(0xFF << place % 8 & 0xFF)
-        while True:
-            word = self.high[byte] & bits
-            count = int(np.bitwise_count(word))
-            if seen + count > i:
-                return byte * 8 + int(np.flatnonzero(np.unpackbits(word, bitorder="little"))[i - seen])
-            seen, byte, bits = seen + count, byte + 1, np.uint8(0xFF)
-
-    def __getitem__(self, i: int) -> int:
-        return self.select(i) - i << self.low_bits | int(self._low(np.array([i]))[0])
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        return (high << np.uint64(self.low_bits) | self._low(np.arange(self.n))) if self.n else high
+        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = self.low[at >> 3] >> (at & 7).astype(np.uint8) & 1 if self.low_bits else np.empty((len(i), 0))
+        return (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The places of the set high bits of numbers i (from 0): each is searched from the sample before it to the next."""
+        i, out = np.asarray(i, np.int64), np.empty(len(i), np.int64)
+        for s in np.unique(i // SAMPLE):
+            first = int(self.samples[s]) // 8
+            end = int(self.samples[s + 1]) // 8 + 1 if s + 1 < len(self.samples) else len(self.high)
+            bits = np.unpackbits(self.high[first:end], bitorder="little")
+            bits[: int(self.samples[s]) - 8 * first] = 0
+            own = i // SAMPLE == s
+            out[own] = np.flatnonzero(bits)[i[own] - s * SAMPLE] + 8 * first
+        return out
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places i, from select and their low bits."""
+        i = np.asarray(i, np.int64)
+        return (self.select(i) - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
 
 
 BLOCK = "shard int, block int, n_docs long, n_null long, n_tokens long, least long, doc_ids binary, ends binary, width int, ids binary"
@@ -147,9 +145,10 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for r in f.itertuples(index=False):
             ids = np.frombuffer(r.ids, f"<u{r.width}").astype("<u4")
-            ends = EliasFano(r.ends).values().astype(np.int64)
+            of_end, of_id = EliasFano(r.ends), EliasFano(r.doc_ids)
+            ends = of_end[np.arange(of_end.n)].astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            known = (EliasFano(r.doc_ids).values() + np.uint64(r.least % 2**64)).view(np.int64)
+            known = (of_id[np.arange(of_id.n)] + np.uint64(r.least % 2**64)).view(np.int64)
             names = pd.array([None] * r.n_null + known.tolist(), "Int64")
             crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
             yield pd.DataFrame({"doc_id": names, "start": r.begin + starts, "n_tokens": ends - starts, "ids_crc32": crcs})

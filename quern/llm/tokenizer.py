@@ -30,7 +30,6 @@ def _load(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     model, symbols = tokenizer.model, byte_symbols()
     folds = "Lowercase" in str(json.loads(tokenizer.to_str()).get("normalizer"))
     normal = tokenizer.normalizer.normalize_str(" a") if tokenizer.normalizer else " a"
@@ -41,9 +40,14 @@ def _load(path: str) -> UnitEncoder:
         data = (letters.lower() if folds else letters).encode()
         return array("I", [t.id for t in model.tokenize((lead if spaced else "") + "".join(map(symbols.__getitem__, data)))]).tobytes()
 
-    return UnitEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), folds, word)
+    added = tokenizer.get_added_tokens_decoder().values()
+    apart = tuple("" if t.normalized else t.content for t in added)  # "": any text may hold one
+    return UnitEncoder(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), folds, word, apart)
 
 
 def encoder(path: str) -> UnitEncoder:
-    """The tokenizers library's ids of a text as little-endian 32-bit bytes; one instance per Python worker."""
+    """The tokenizers library's ids of a text as little-endian 32-bit bytes; one instance per Python worker.
+
+    As the plain call without added special tokens: a text that spells out a special token gets that token's id there.
+    """
     return once(partial(_load, path))

@@ -4,13 +4,15 @@ A value is written in symbols of small classes (digits, letters of one case and
 gender and script); a keyed permutation of all values of that form gives its surrogate. So equal values get equal
 surrogates in every document, different ones different surrogates, and no table of values is needed. What a permutation
 cannot see is whether a surrogate is itself somebody's value in this corpus: the distinct values are checked against all
-surrogates, and the few that clash are drawn again until none is left.
+surrogates, and the few that clash are drawn again until none is left. Where a corpus fills a form, draws grow longer.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -46,13 +48,29 @@ CLASSES = [
 ]
 CLASS_OF = {c: group for group in CLASSES for c in group}
 
-_WORD = r"[^\W\d_]"
+
+@lru_cache(1 << 14)
+def symbol_class(c: str) -> str | None:
+    """The symbols that may stand for a letter or digit: its class above, else those of its script, category and stretch of
+    256 code points whose case maps to one symbol. None for marks, spaces and what is alone."""
+    if c in CLASS_OF or not (c.isalpha() or c.isdecimal()):
+        return CLASS_OF.get(c)
+
+    def kind(x: str) -> tuple:
+        return unicodedata.name(x, "").split(" ")[0], unicodedata.category(x), len(x.lower()) == 1 == len(x.upper())
+
+    first, own = ord(c) & ~0xFF, kind(c)
+    alike = "".join(x for x in map(chr, range(first, first + 256)) if kind(x) == own and x not in CLASS_OF)
+    return alike if len(alike) > 1 else None
+
+_WORD, _HEX = r"[^\W\d_]", r"[0-9A-Fa-f]{1,4}"
 _PATTERN = re.compile(
     rf"""
     (?P<email>[\w%+](?:[\w.%+-]*[\w%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)
   | (?P<secret>\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9_-]{{20,}}|[0-9a-f]{{32,}}|[0-9A-F]{{32,}})\b)
   | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
-  | (?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))
+  | (?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.\d))
+  | (?P<ip6>(?<![\w:.])(?:{_HEX}(?::{_HEX}){{7}}|{_HEX}(?::{_HEX}){{1,5}}::{_HEX}(?::{_HEX}){{0,5}}|{_HEX}::{_HEX}(?::{_HEX}){{1,5}})(?![\w:]|\.\d))
   | (?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}(?!\w)
       |(?<![\w+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,5}}(?!\w)|(?<![\w-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-]))
   | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
@@ -60,10 +78,19 @@ _PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-_MARK = re.compile(r"[@\d]|\b[0-9A-Fa-f]{32}|sk-|AKIA|gh[pousr]_")
+_MARK = re.compile(r"[@\d]|\b[0-9A-Fa-f]{32}|sk-|AKIA|gh[pousr]_|[0-9A-Fa-f]:[0-9A-Fa-f:]")
+#: Words that may follow a given name with a capital and are no family name, and particles of family names.
+NO_FAMILY = (
+    "The This That These Those And Or But If When While As At By For From In Into Of On Onto Over To Under With Without Is Was Are "
+    "Were Be Been Has Had Have Will Would Can Could Did Does Do Not He She It They We You His Her Its Their Our My Your Who What "
+    "Und Oder Aber Der Die Das Ein Eine Im Am Auf Aus Bei Mit Nach Von Vor Zu Ist War Hat Er Sie Es Wir Nicht "
+    "Et Ou Mais Le Les Un Une Dans En Sur Avec Pour Par Est Il Elle Ils Nous Vous Ne Y O Pero El Los Las Con Por Para Que Se Su"
+).split()
+PARTICLES = "de De del Del della Della di Di da Da du Du des Des la La le Le van Van von Von der Der den Den ter Ter"
+_CAPITAL = rf"(?=[^\W\d_a-zа-яα-ω])(?!(?:{'|'.join(NO_FAMILY)})\b){_WORD}{{2,}}(?:-{_WORD}{{2,}})?"
 _NAME = re.compile(
-    rf"\b(?P<given>{'|'.join(sorted(KIND_OF, key=len, reverse=True))}) (?P<family>(?:{_WORD}\. )?(?=[^\W\d_a-zа-яα-ω])(?!The\b){_WORD}{{2,}}(?:-{_WORD}{{2,}})?)"
-    rf"|\b(?P<title>{'|'.join(TITLES.split())})\.? (?P<called>(?=[^\W\d_a-zа-яα-ω]){_WORD}{{2,}}(?:-{_WORD}{{2,}})?)"
+    rf"\b(?P<given>{'|'.join(sorted(KIND_OF, key=len, reverse=True))}) (?:{_WORD}\. )?(?:(?:{PARTICLES.replace(' ', '|')}) )*(?P<family>{_CAPITAL})"
+    rf"|\b(?P<title>{'|'.join(TITLES.split())})\.? (?:(?:{PARTICLES.replace(' ', '|')}) )*(?P<called>{_CAPITAL})"
 )
 #: A word that the names' pattern begins with, wherever it allows one: what lacks it holds no name.
 _NAME_WORDS = KIND_OF.keys() | set(TITLES.split())
@@ -86,7 +113,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
-def permute_symbols(text: str, key: bytes, tweak: str, classes: Callable[[str], str | None] = CLASS_OF.get) -> str:
+def permute_symbols(text: str, key: bytes, tweak: str, classes: Callable[[str], str | None] = symbol_class) -> str:
     """Each symbol of a known class changes within it, all of them together as one number; the others stay."""
     groups = [classes(c) for c in text]
     value, size = 0, 1
@@ -120,6 +147,8 @@ def _ip_kind(n: int) -> str:
 def canonical(kind: str, text: str) -> str:
     """What two spellings of one value share."""
     if kind == "email":
+        return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if kind == "ip6":
         return text.lower()
     if kind in ("phone", "card", "ssn"):
         return ("+" if text.startswith("+") else "") + re.sub(r"\D", "", text)
@@ -128,11 +157,23 @@ def canonical(kind: str, text: str) -> str:
     return text
 
 
+#: From this attempt on draws get a symbol more every STEP attempts: types of free length soon, others where all else fails.
+FREE, LAST, STEP = 4, 12, 4
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a canonical value. Per type and form a permutation, for each attempt another one."""
+    """The surrogate of a canonical value. Per type and form a permutation, for each attempt another one.
+
+    Attempts from FREE on (LAST for types of fixed length) permute longer forms, since the value's own may be full.
+    """
     tweak = f"{kind}|{attempt}"
+    from_here = FREE if kind in ("family", "email", "secret") else LAST
+    more = 0 if attempt < from_here or kind.startswith("given ") else 1 + (attempt - from_here) // STEP
+    if more and kind not in ("email", "secret"):
+        return permute_symbols(value + value[-1] * more, key, tweak)
     if kind == "email":
         local, _, domain = value.rpartition("@")
+        local += "a" * more
         labels = domain.split(".")
         named = ".".join(permute_symbols(x, key, f"domain|{attempt}") for x in labels[:-1])
         return f"{permute_symbols(local, key, tweak)}@{named}.{labels[-1]}"
@@ -149,6 +190,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             out = permute(out, 1 << 32, key, tweak)
             if _ip_kind(out) == _ip_kind(number):
                 return ".".join(map(str, out.to_bytes(4, "big")))
+    if kind == "ip6":
+        head, colon, rest = value.partition(":")
+        return head + colon + permute_symbols(rest, key, tweak + head, lambda c: None if c == ":" else "0123456789abcdef")
     if kind == "phone" and value.startswith("+"):
         country = 1 if value[1] in "17" else 2
         return value[: 1 + country] + permute_symbols(value[1 + country :], key, tweak + value[: 1 + country])
@@ -158,6 +202,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         check = f"{98 - _iban_rest(body + value[:2] + '00'):02d}" if ok else value[2:4]
         return value[:2] + check + body
     if kind == "secret":
+        value += "a" * more
         if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
             letters = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
             return permute_symbols(value, key, tweak, lambda c: letters)
@@ -175,27 +220,35 @@ def _iban_rest(text: str) -> int:
 
 def reshaped(kind: str, text: str, new: str) -> str:
     """A canonical surrogate in the spelling of the text that it replaces."""
-    if kind == "email":
+    if kind == "ip6" and not any(c.islower() for c in text):
+        return new.upper()
+    if kind == "email" and len(text) == len(new):
         return "".join(n.upper() if t.isupper() and len(n.upper()) == 1 else n for t, n in zip(text, new))
     if kind in ("phone", "card", "ssn", "iban"):
         letters = iter(new.removeprefix("+"))
-        return "".join(next(letters) if c.isalnum() else c for c in text)
+        return "".join(next(letters) if c.isalnum() else c for c in text) + "".join(letters)
     return new
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical value) of each entity, in order and without overlap."""
+    """(start, end, type, canonical value) of each entity, in order and without overlap.
+
+    Names of persons are a listed given name and a capitalised family name, or a title and a family name; once a text has
+    such a name, its parts count wherever they stand alone in that text.
+    """
     found = []
     if _MARK.search(text):
         for m in _PATTERN.finditer(text):
             found.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
     if not _NAME_WORDS.isdisjoint(_PARTS.findall(text)):
+        parts: dict[str, str] = {}
         for m in _NAME.finditer(text):
             if m["given"]:
-                found.append((*m.span("given"), "given " + KIND_OF[m["given"]], m["given"]))
-                found.append((*m.span("family"), "family", m["family"]))
-            else:
-                found.append((*m.span("called"), "family", m["called"]))
+                parts[m["given"]] = "given " + KIND_OF[m["given"]]
+            parts.setdefault(m["family"] or m["called"], "family")
+        if parts:
+            alone = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b")
+            found += [(*m.span(), parts[m[0]], m[0]) for m in alone.finditer(text)]
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found):
         if not out or x[0] >= out[-1][1]:
@@ -237,12 +290,12 @@ def _again(frames: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=["kind", "value", "new", "attempt"])
 
 
-def settled_entities(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
+def settled_entities(docs: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     """kind, value, new, attempt of every distinct value of the corpus, with no clash left.
 
     A clash is a surrogate that is another value's surrogate or itself a value of its type. A value keeps its draw if
     it came before the others of its clash in byte order and is no value itself. Names of a closed list are exempt from
-    the second rule, since the list may be used up; they stay distinct.
+    the second rule, since the list may be used up; they stay distinct. Raises if clashes are left after all rounds.
     """
     entities = spread(docs.select(F.col("text").cast("string").alias("text"))).mapInPandas(partial(_entities, key=key), ENTITIES)
     entities = cut(entities.dropDuplicates(["kind", "value"]))
@@ -261,6 +314,8 @@ def settled_entities(docs: DataFrame, key: bytes, rounds: int = 20) -> DataFrame
         kept = marked.where("not clash").select("kind", "value", "new", "attempt")
         redrawn = marked.where("clash").select("kind", "value", "new", "attempt").mapInPandas(partial(_again, key=key), ENTITIES)
         entities = cut(kept.unionByName(redrawn))
+    else:
+        raise RuntimeError(f"surrogates still clash after {rounds} rounds")
     return entities
 
 
@@ -294,8 +349,9 @@ def _mentions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def replace_entities(docs: DataFrame, key: bytes, text: str = "text", spans: str = "_spans") -> DataFrame:
     """docs with surrogates in `text` and a new column `spans` (kind, start, end in the old text, surrogate).
 
-    Detects e-mail addresses, telephone, card, account and social security numbers, IPv4 addresses, access keys and
-    names of persons. Other text, all other columns and null texts stay as they are; a text without entities has no
+    Detects e-mail addresses, telephone, card, account and social security numbers, IP addresses, access keys and
+    names of persons. Letters and digits of every script change within it. key: a secret of the caller, up to 64 bytes,
+    which undoes the surrogates for whoever has it. Other text, all other columns and null texts stay as they are; a text without entities has no
     spans; repeated rows get equal results. One key gives one mapping for all documents; a value that clashed is drawn
     again alike everywhere. `spans` must not be a column of docs.
     """
@@ -317,9 +373,15 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text", spans: str
     return out.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(f"{made}.spans").alias(spans))
 
 
-KEY = b"quern surrogate key"
+_DRAWN = secrets.token_bytes(32)
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key in spark.quern.surrogates.key; without it one drawn for this driver alone, which nobody keeps."""
+    given = spark.conf.get("spark.quern.surrogates.key", "")
+    return hashlib.blake2b(given.encode()).digest() if given else _DRAWN
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_entities(docs, KEY).select("doc_id", "text", F.size("_spans").alias("n_entities"), F.col("_spans").alias("entities"))
+    return replace_entities(docs, surrogate_key(spark)).select("doc_id", "text", F.size("_spans").alias("n_entities"), F.col("_spans").alias("entities"))

@@ -1,0 +1,103 @@
+"""Surrogates against brute force: distinct, of the same form, alike everywhere, and none of them a value of the corpus."""
+
+import random
+import unicodedata
+
+import pytest
+
+from quern.llm import surrogates
+
+KEY = b"a key of the test"
+
+
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in surrogates.replace_entities(docs, KEY).collect()}
+
+
+def test_every_script_changes_within_itself():
+    for kind, text in (("family", "王小明"), ("family", "Иванов"), ("family", "محمد"), ("family", "ქართველი"), ("phone", "+٩٦٦ ٥٥٥ ١٢٣٤"), ("family", "Ωμέγα"), ("family", "हिमालय")):
+        value = surrogates.canonical(kind, text)
+        new = surrogates.reshaped(kind, text, surrogates.surrogate(kind, value, KEY))
+        assert new != text and len(new) == len(text)
+        for a, b in zip(text, new):
+            assert unicodedata.category(a) == unicodedata.category(b)
+            assert not a.isalpha() or unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+
+
+@pytest.mark.parametrize("text", ["İx@mail.com", "ẞtraße@mail.com", "ŉa@mail.com", "ǅa.B@Mail.Com"])
+def test_symbols_whose_case_is_longer(text):
+    new = surrogates.reshaped("email", text, surrogates.surrogate("email", surrogates.canonical("email", text), KEY))
+    assert len(new) == len(text) and new != text and new.lower().endswith(".com")
+
+
+def test_names_stay_one_person(spark):
+    text = 'Anna Schmidt came. Anna smiled; "Schmidt" was Anna\'s name. Paul In Rome. Maria De Luca. Hannah stayed.'
+    got = replaced(spark, [text, "Mr. Schmidt, (Anna Berg), -Anna Schmidt", "王: Dr. 王小明 and Anna at rest"])
+    spans = [(s["kind"], text[s["start"] : s["end"]], s["surrogate"]) for s in got[0]["_spans"]]
+    assert [s[1] for s in spans] == ["Anna", "Schmidt", "Anna", "Schmidt", "Anna", "Maria", "Luca"]
+    assert len({s[2] for s in spans}) == 4 and all(s[1] != s[2] for s in spans if s[0] == "family")
+    assert spans[1][2] in got[1]["text"].split(",")[0] and "Paul In Rome" in got[0]["text"] and "De " in got[0]["text"]
+    assert "Schmidt" not in got[1]["text"] and "王小明" not in got[2]["text"] and "Anna at rest" in got[2]["text"]
+
+
+def test_addresses(spark):
+    got = replaced(spark, ["at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a, not 12:30:45 or a::b std::x", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334"])
+    kinds = [s["kind"] for s in got[0]["_spans"]]
+    assert kinds[:2] == ["ip6", "ip6"] and "12:30:45" in got[0]["text"] and "std::x" in got[0]["text"]
+    assert got[0]["_spans"][0]["surrogate"].upper() == got[1]["_spans"][0]["surrogate"] and got[0]["_spans"][0]["surrogate"].startswith("2001:")
+
+
+def test_full_forms_grow(spark):
+    """All two-letter family names of one form: no surrogate may be a value, so they must leave the form."""
+    values = sorted({a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"} - set(surrogates.NO_FAMILY) - set(surrogates.PARTICLES.split()))
+    entities = surrogates.settled_entities(spark.createDataFrame([(f"Mr. {v}",) for v in values], "text string"), KEY).collect()
+    new = [r["new"] for r in entities]
+    assert len(entities) == len(set(new)) == len(values) and not set(new) & set(values)
+
+
+def test_full_fixed_forms_grow_last(spark):
+    values = [f"{a}{b}@{c}.org" for a in "0123456789" for b in "0123456789" for c in "0123456789"]
+    entities = surrogates.settled_entities(spark.createDataFrame([(" ".join(values),)], "text string"), KEY).collect()
+    assert len({r["new"] for r in entities}) == len(values) and not {r["new"] for r in entities} & set(values)
+
+
+def test_rounds_that_do_not_suffice_raise(spark):
+    values = sorted({a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"} - set(surrogates.NO_FAMILY) - set(surrogates.PARTICLES.split()))
+    with pytest.raises(RuntimeError):
+        surrogates.settled_entities(spark.createDataFrame([(f"Mr. {v}",) for v in values], "text string"), KEY, rounds=2)
+
+
+def test_one_mapping_for_the_corpus(spark):
+    """Brute force over a corpus of all types: equal values have one surrogate everywhere, different ones different ones."""
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    pool = [f"{a}{digits(2)}@{b}.example" for a in ("ann", "Bo", "c.d") for b in ("mail", "post")]
+    pool += [f"+49 {digits(3)} {digits(4)}" for _ in range(30)] + [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(30)]
+    pool += [f"10.0.{i}.{j}" for i in range(6) for j in range(6)] + [f"{g} {f}" for g in ("Anna", "John", "Мария") for f in ("Weber", "Stone", "Lund")]
+    pool += ["AKIA" + digits(16), "ghp_" + digits(10) + "abcdefghijk", digits(32), "DE89370400440532013000", "4111 1111 1111 1111", "4111111111111111"]
+    texts = [". ".join(r.sample(pool, 5)) + "." for _ in range(120)] + [None, "", "no one here"]
+    got = replaced(spark, texts + texts[:1])
+    mapping, back = {}, {}
+    for i, t in enumerate(texts):
+        for start, end, kind, value in surrogates.detect(t or ""):
+            own = [s for s in got[i]["_spans"] if s["start"] == start]
+            assert len(own) == 1 and (own[0]["kind"], own[0]["end"]) == (kind, end)
+            new = surrogates.canonical(kind, own[0]["surrogate"])
+            assert mapping.setdefault((kind, value), new) == new
+            assert back.setdefault((kind, new), value) == value
+    values = {k for k in mapping if not k[0].startswith("given")}
+    assert len({k for k, _ in mapping}) >= 9 and not {(k, n) for (k, _), n in mapping.items() if not k.startswith("given")} & values
+    assert got[0]["text"] == got[len(texts)]["text"] and got[120]["text"] is None and got[122]["text"] == "no one here"
+    for (kind, value), new in mapping.items():
+        if kind in ("phone", "ssn", "ip", "card", "iban"):
+            assert [c.isdigit() for c in value if c.isalnum()][:2] == [c.isdigit() for c in new if c.isalnum()][:2]
+
+
+def test_the_key_comes_from_the_session(spark):
+    assert surrogates.surrogate_key(spark) == surrogates.surrogate_key(spark)
+    spark.conf.set("spark.quern.surrogates.key", "ours")
+    try:
+        assert surrogates.surrogate_key(spark) != surrogates._DRAWN
+    finally:
+        spark.conf.unset("spark.quern.surrogates.key")

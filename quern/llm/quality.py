@@ -1,14 +1,15 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 The raw model counts the words and word pairs of every document in hashed buckets, the target model those of documents
-labelled good. A document's log weight is the mean log ratio of the two over its n-grams, times LENGTH: as if every
-document had that many, so that length alone decides nothing. Adding Gumbel noise to log weights and keeping the k
-largest draws k documents without replacement, by weight.
+labelled good. A document's log weight is the log ratio of its probabilities under the two: the sum of the log ratios of
+its n-grams. Adding standard Gumbel noise to log weights and keeping the k largest draws k documents without replacement,
+by weight.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -22,7 +23,6 @@ from quern.llm.common import PartCache, cut, spread, table, texts_of
 
 BITS, CHUNK = 18, 4096
 BUCKETS = 1 << BITS
-LENGTH = 1000.0
 #: Pseudo-count of a bucket, so that rare n-grams say little.
 PRIOR = 20.0
 #: At most so many labelled rows are used: a fixed bound on what the driver and each task hold.
@@ -37,7 +37,7 @@ def _word_hashes(unit: str) -> bytes:
     return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], "<u4").tobytes()
 
 
-_CACHE = PartCache(_word_hashes, 200_000)
+_CACHE = PartCache(_word_hashes, 100_000)
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -102,7 +102,7 @@ def log_weight(text: Column, ratios) -> Column:
     @F.pandas_udf("double")
     def weight(texts: pd.Series) -> pd.Series:
         at = (ngram_buckets(t) for t in texts_of(texts))
-        return pd.Series([LENGTH * float(ratios.value[i].mean()) if len(i) else 0.0 for i in at], dtype="float64")
+        return pd.Series([float(ratios.value[i].sum(dtype=np.float64)) for i in at], dtype="float64")
 
     return weight(text)
 
@@ -161,6 +161,7 @@ class Sampler:
         pairs = sorted((r["w"], r["good"]) for r in seen.collect())
         n_good, n_bad = sum(g for _, g in pairs), sum(not g for _, g in pairs)
         if not n_good or not n_bad:
+            warnings.warn("labels of both kinds are missing: all documents are kept", stacklevel=3)
             return float("-inf")
         best, at, lost, kept = 1.0, float("-inf"), 0, n_bad
         for i, (w, is_good) in enumerate(pairs):
@@ -185,8 +186,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     labels: doc_id, quality (1 good), toxic. Repeated labels of a document count as its worst. Half of the good labelled
     documents fit the target model, the other half and the bad ones the cut, from at most MAX_LABELS labelled rows; raw
     counts, weights and the selection cover all documents. k: how many to draw; by default as many as have a log weight
-    above the cut. Equal keys at the end are all kept. Null texts are empty and weigh 0, as do texts without words; null
-    ids take part like any other; without labels of both kinds all rows are kept.
+    above the cut. The noise follows from the seed, the id and the text, so rows that repeat both have equal keys; equal keys
+    at the end are all kept. Null texts are empty and weigh 0, as do texts without words; null ids take part like any other;
+    without labels of both kinds and without k all rows are kept, with a warning; an empty table gives no rows. Other
+    columns are not read.
     """
     sampler = Sampler(docs, labels, seed, k)
     kept = F.lit(bool(sampler.k)) if sampler.least is None else F.col("key") >= sampler.least
@@ -194,7 +197,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of docs that `resample` keeps, with all their columns."""
+    """The rows of docs that `resample` keeps, with all their columns.
+
+    Texts are weighed a second time where they lie, since a join with the kept weights would shuffle all of them.
+    """
     return docs.where(Sampler(docs, labels, seed).keeps())
 
 

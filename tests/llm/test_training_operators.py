@@ -5,12 +5,14 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, imatch, packing, quality, sharding, similar, simhash, surrogates, tokenfile, urlfilter, vafile
-from quern.llm.tokenizer import vocabulary_path
+from quern.llm.tokenizer import encoder, vocabulary_path
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 WORDS = "the of and stone river maker signal amber crossing valley lantern harvest copper meadow winter".split()
@@ -25,6 +27,7 @@ LONG = prose(99, 30_000)
 TEXTS = [
     (1, prose(1, 80)), (2, prose(1, 80)), (3, prose(1, 79) + " other"), (4, None), (5, ""), (6, " \n\t "), (7, LONG),
     (8, "Éa 日本 😀  x\n\ny"), (9, "one"), (10, "one two"), (-3, prose(2, 200)), (None, prose(3, 40)), (10, "one two"), (11, "don't  stop 12²"),
+    (12, "a <|endoftext|> b"), (13, "İ- İstanbul. <|startoftext|>"),
 ]
 CLASH = "_bucket long, rank string, length string, _made string, _own long, id string, key string, path string, n string"
 
@@ -44,7 +47,6 @@ def ids_of(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + end, "<u4")
 
 
@@ -110,10 +112,24 @@ def test_cascade_is_exact(spark, max_bits):
     rows = [(f"host{i}.example", i % 7 == 0) for i in range(4000)]
     cascade = urlfilter.BloomCascade(spark.createDataFrame(rows, "key string, listed boolean"), 0.1, max_bits)
     assert (cascade.parts > 1) == (max_bits == 4096)
-    from pyspark.sql import functions as F
+    df = spark.createDataFrame([*rows, (None, False), rows[0]], "key string, listed boolean").withColumn("_part", F.lit("x"))
+    got = cascade.with_side(df.drop("_part"), "key", "found")
+    assert got.where("found <> listed").count() == 0 and got.count() == 4002
 
-    df = spark.createDataFrame(rows, "key string, listed boolean")
-    assert df.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
+
+def test_cascade_of_keys_that_no_hash_tells_apart(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "_positions", lambda key, level, bits, hashes: [F.lit(0).cast("long")])
+    keys = spark.createDataFrame([("a", True), ("b", False)], "key string, listed boolean")
+    with pytest.raises(RuntimeError):
+        urlfilter.BloomCascade(keys)
+
+
+def test_pages_judged_in_parts(spark, monkeypatch):
+    rows = [(i, f"http{'s' if i % 3 else ''}://h{i % 700}.net/p{i}") for i in range(2100)] + [(None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    whole = {tuple(r) for r in urlfilter.judge_urls(pages).collect()}
+    monkeypatch.setattr(urlfilter.BloomCascade.__init__, "__defaults__", (0.05, 1024))
+    assert {tuple(r) for r in urlfilter.judge_urls(pages).collect()} == whole and len(whole) == 2101
 
 
 def test_token_file(spark, docs, none, tmp_path):
@@ -137,8 +153,21 @@ def test_token_file(spark, docs, none, tmp_path):
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5, 5, 9], list(range(1000)), [2**40, 2**41, 2**62], sorted(random.Random(1).choices(range(10**9), k=3000))])
 def test_elias_fano(values):
     ef = tokenfile.EliasFano(tokenfile.EliasFano.encode(np.array(values, np.uint64)))
-    assert ef.values().tolist() == values
-    assert all(ef[i] == values[i] for i in range(0, len(values), 37))
+    assert ef[np.arange(ef.n)].tolist() == values
+    some = random.Random(2).sample(range(len(values)), len(values) // 3)
+    assert ef[np.array(some, int)].tolist() == [values[i] for i in some]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_equal_the_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    oracle, ours, r = Tokenizer.from_file(vocabulary_path(name)), encoder(vocabulary_path(name)), random.Random(8)
+    symbols = [chr(i) for i in range(32, 127)] + list("éüñ  \n\n\t日本語😀ß'İıǅΣςẞﬁ\u0307\u0301\u00a0\u3000\u200b٣Ⅷ")
+    symbols += ["the", "ing", " The", "  ", "'s", "'LL", "123", "²", "İ-", "İ.", "i̇!", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|ENDOFTEXT|>"]
+    for _ in range(6000):
+        s = "".join(r.choice(symbols) for _ in range(r.randint(0, 30)))
+        assert np.frombuffer(ours(s), "<u4").tolist() == oracle.encode(s, add_special_tokens=False).ids, s
 
 
 def test_surrogates(spark, docs, none):
@@ -189,6 +218,46 @@ def test_quality(spark, docs, none):
     assert quality.resample(none, labels).count() == 0 and quality.keep_good(none, labels).count() == 0
 
 
+def test_quality_by_brute_force(spark, monkeypatch):
+    """Counts, weights, noise and the draw, on rows that repeat, with null ids and texts of no words."""
+    rows = [(i, prose(i, 5 + i % 40)) for i in range(120)] + [(200 + i, "??? " * (i % 7) + "junk $ word " * (i % 9)) for i in range(60)]
+    rows += [(None, prose(3, 30)), (3, prose(3, 8)), (3, prose(3, 8)), (500, None), (501, "\n"), (502, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)] + [(200 + i, 0, 0) for i in range(40)] + [(502, 1, 1)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(80) if zlib.crc32(str(i).encode()) % 2}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        grams = Counter(quality.ngram_buckets(t or "").tolist())
+        raw += grams
+        target += grams if i in good else Counter()
+    share, weights = sum(target.values()) / sum(raw.values()), []
+    for _, t in rows:
+        ratio = lambda b: np.log((target[b] + quality.PRIOR) / (raw[b] * share + quality.PRIOR))
+        weights.append(sum(ratio(b) for b in quality.ngram_buckets(t or "").tolist()))
+    for k in (1, 40, 170):
+        got = quality.resample(docs, labels, k, seed=9).collect()
+        assert sorted(round(r["log_weight"], 2) for r in got) == pytest.approx(sorted(weights), abs=2e-2)
+        noise = [r["key"] - r["log_weight"] for r in got]
+        assert -3 < min(noise) and max(noise) < 20 and abs(np.mean(noise) - 0.577) < 0.4
+        least = sorted((r["key"] for r in got), reverse=True)[k - 1]
+        assert {r["kept"] for r in got if r["key"] >= least} == {True} and sum(r["kept"] for r in got) - k in (0, 1)
+    by_weight = {r["doc_id"] for r in sorted(got, key=lambda r: -r["log_weight"])[:100]}
+    drawn = {r["doc_id"] for r in quality.resample(docs, labels, 100, seed=4).where("kept").collect()}
+    assert drawn != by_weight  # the noise decides near the end
+
+
+def test_gumbel_top_k_draws_by_weight(spark):
+    """Over many seeds a row of twice the weight comes first twice as often."""
+    first = Counter()
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "id long, w double")
+    drawn = rows.crossJoin(spark.range(4000).withColumnRenamed("id", "seed"))
+    noise = F.shiftrightunsigned(F.xxhash64("seed", "id", "id"), 11).cast("double")
+    key = F.log("w") - F.log(-F.log((noise + 0.5) / float(1 << 53)))
+    for r in drawn.groupBy("seed").agg(F.max_by("id", key).alias("id")).collect():
+        first[r["id"]] += 1
+    assert [first[i] / 4000 for i in range(3)] == pytest.approx([1 / 7, 2 / 7, 4 / 7], abs=0.03)
+
+
 def test_kth_largest(spark):
     values = [random.Random(3).choice([1.5, 2.5, -1e9, 7.25]) + i % 5 for i in range(500)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -215,6 +284,54 @@ def test_imatch(spark, docs, none):
     assert imatch.compare_edited(one).count() == 1
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "some"])
+def test_imatch_where_ids_repeat(spark, ids):
+    """All rows of one id meet in several runs, in the order of a hash of their text."""
+    own = {"null": lambda i: None, "equal": lambda i: 4, "some": lambda i: i if i % 3 else 90}[ids]
+    rows = [(own(i), prose(i, 6)) for i in range(240)] + [(own(0), prose(0, 6))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ties = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), ties[r[1]]))
+    expected = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        c = len(t) // 3
+        expected.append((i, len(t), hashlib.sha256((t[: len(t) - c] + nxt[:c]).encode()).hexdigest()))
+    got = imatch.compare_edited(docs, 0.0, 20.0)
+    assert sorted((tuple(r[:3]) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+    runs = imatch.with_heirs(docs).where("not heir").groupBy("chunk").count().collect()
+    assert len(runs) >= 8 and max(r["count"] for r in runs) < 60
+
+
+def test_imatch_likeness_by_brute_force(spark):
+    rows = [(i, prose(i, 40) + f" own{i} rare{i % 7}") for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = Counter(t for _, text in rows for t in imatch.terms(text or ""))
+    lexicon = sorted(t for t, n in held.items() if 0.5 <= np.log(len(rows) / n) <= 4)
+    digest = {t: hashlib.shake_128(t).digest(8 + 2 * imatch.N_SETS) for t in lexicon}
+    chances = [c for c in imatch.CHANCES for _ in range(imatch.SETS)]
+
+    def parts(text):
+        own = [t for t in lexicon if t in imatch.terms(text)]
+        sets = [[t for t in own if int.from_bytes(digest[t][8 + 2 * s : 10 + 2 * s], "little") % c == 0] for s, c in enumerate(chances)]
+        if not any(sets):
+            return ("all:" + hashlib.blake2b(b"\n".join(sorted(imatch.terms(text))), digest_size=8).hexdigest(),)
+        return tuple(hashlib.blake2b(b"".join(digest[t][:8] for t in x), digest_size=4).hexdigest() if x else "" for x in sets)
+
+    def alike(a, b):
+        if len(a) != len(b):
+            return 0.0
+        used = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+    texts = {i: t or "" for i, t in rows}
+    for r in imatch.compare_edited(docs, 0.5, 4.0).collect():
+        t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % 62]
+        c = len(t) // 3
+        edited = t[: len(t) - c] + nxt[:c]
+        assert r["fingerprint"] == ".".join(parts(t)) and r["edited_fingerprint"] == ".".join(parts(edited))
+        assert (r["near_edited"], r["near_next"]) == (alike(parts(t), parts(edited)), alike(parts(t), parts(nxt)))
+
+
 def jump(key, n):
     b, j, key = -1, 0, key % 2**64
     while j < n:
@@ -236,6 +353,13 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none, 8).count() == 0
 
 
+def test_many_shards(spark):
+    keys = [random.Random(i).getrandbits(63) for i in range(300)] + [0, -1, -(1 << 63)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    for n in (1, 2, 40, 3000):
+        assert {r["k"]: r["s"] for r in df.select("k", sharding.jump_shard(F.col("k"), n).alias("s")).collect()} == {k: jump(k, n) for k in keys} | {None: None}
+
+
 def test_tree_bpe(docs, none, monkeypatch):
     import tiktoken
     from public_tokenizers import PATTERN
@@ -331,7 +455,7 @@ def test_similar_groups(spark, docs, none):
     assert got == expected
     kept = similar.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 4, 7, 8, 9, 10, -3, None, 11], key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 4, 7, 8, 9, 10, -3, None, 11, 12, 13], key=repr)
     assert similar.drop_near_duplicates(none).count() == 0
 
 
@@ -340,8 +464,6 @@ def test_exact_topk(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
     rows += [(1000 + i, rows[5][1]) for i in range(40)] + [(2000, None), (2001, [None] * 8), (2002, [float("nan")] * 8), (2003, []), (2004, [0.5, 0.25]), (None, [0.1] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
-    from pyspark.sql import functions as F
-
     got = sorted(tuple(x) for x in vafile.exact_topk(df, F.col("vec_id") % 10 == 0, 5).collect())
     whole = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     expected = []

@@ -233,13 +233,15 @@ def reshaped(kind: str, text: str, new: str) -> str:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of each entity, in order and without overlap.
 
-    Names of persons are a listed given name and a capitalised family name, or a title and a family name; once a text has
+    A run of 13 to 19 digits is a card only if its check digit holds. Names of persons are a listed given name and a capitalised family name, or a title and a family name; once a text has
     such a name, its parts count wherever they stand alone in that text.
     """
     found = []
     if _MARK.search(text):
         for m in _PATTERN.finditer(text):
-            found.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m[0])))
+            value = canonical(m.lastgroup, m[0])
+            if m.lastgroup != "card" or _luhn(value):
+                found.append((m.start(), m.end(), m.lastgroup, value))
     if not _NAME_WORDS.isdisjoint(_PARTS.findall(text)):
         parts: dict[str, str] = {}
         for m in _NAME.finditer(text):

@@ -48,6 +48,12 @@ def test_addresses(spark):
     assert got[0]["_spans"][0]["surrogate"].upper() == got[1]["_spans"][0]["surrogate"] and got[0]["_spans"][0]["surrogate"].startswith("2001:")
 
 
+def test_numbers_without_a_check_digit_stay(spark):
+    got = replaced(spark, ["order 7536784127813051, card 4845168114407329 or 4845 1681 1440 7329"])
+    cards = [d for d in surrogates.detect("7536784127813051 4111-1111-1111-1111") if d[2] == "card"]
+    assert len(cards) == 1 and "7536784127813051" in got[0]["text"]
+
+
 def test_full_forms_grow(spark):
     """All two-letter family names of one form: no surrogate may be a value, so they must leave the form."""
     values = sorted({a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"} - set(surrogates.NO_FAMILY) - set(surrogates.PARTICLES.split()))

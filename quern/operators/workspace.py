@@ -129,7 +129,7 @@ def draw_holdout(questions: DataFrame, quotas: DataFrame, seed: int, held: DataF
 
     The order inside a band is a hash of (seed, id), so the draw depends neither on partitions nor on row order.
     """
-    rows = questions.withColumn("_h", F.xxhash64(F.lit(seed), "question_id"))
+    rows = questions.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "question_id")))
     kept = held.select("question_id").withColumn("_held", F.lit(0)) if held is not None else None
     rows = rows.join(kept, "question_id", "left") if kept is not None else rows.withColumn("_held", F.lit(None).cast("int"))
     order = Window.partitionBy("band").orderBy(F.coalesce("_held", F.lit(1)), "_h", "question_id")

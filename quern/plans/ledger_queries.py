@@ -290,6 +290,14 @@ i as (select *, 1001.0::double * n / sum(n) over () as x from c),
 s as (select *, floor(x)::bigint as base, round(x - floor(x), 9) as rest from i),
 p as (select *, row_number() over (order by rest desc, band) as place, 1001 - sum(base) over () as spare from s)
 select band, n, least(n, base + case when place <= spare then 1 else 0 end)::bigint as quota from p""",
+    "holdout_draw": """
+with c as (select o_orderpriority as band, count(*) as n from orders group by 1),
+i as (select *, 1001.0::double * n / sum(n) over () as x from c),
+s as (select *, floor(x)::bigint as base, round(x - floor(x), 9) as rest from i),
+p as (select *, row_number() over (order by rest desc, band) as place, 1001 - sum(base) over () as spare from s),
+q as (select band, least(n, base + case when place <= spare then 1 else 0 end)::bigint as quota from p)
+select o_orderkey as question_id, band from orders join q on band = o_orderpriority
+qualify row_number() over (partition by band order by md5('1:' || o_orderkey), o_orderkey) <= quota""",
     "efficacy_gate": """
 with s as (
   select event_id, case event_type when 'error' then 0 else least(1, (value % 1) / 0.75::double)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where an ASCII word begins or ends, whatever letters stand beside it.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: Patterns of numerals, acronyms, quoted spans, proper nouns and words that give a direction.
 NUMERAL = r"(?i)\$?\d[\d,]*(?:\.\d+)?(?:%|[kmbt](?![a-z]))?"
-ACRONYM = r"\b[A-Z][A-Z0-9]+\b"
+ACRONYM = rf"{EDGE}[A-Z][A-Z0-9]+{EDGE}"
 QUOTED = r'"([^"]{1,120})"|“([^”]{1,120})”'
-PROPER = r"\b[A-Z][a-z]{2,}(?:['’]s)?\b"
-DIRECTION = r"(?i)\b(compared to|compared with|versus|vs\.?|than|relative to|per|out of|by)\b"
+PROPER = rf"{EDGE}[A-Z][a-z]{{2,}}(?:['’]s)?{EDGE}"
+DIRECTION = rf"(?i){EDGE}(compared to|compared with|versus|vs\.?|than|relative to|per|out of|by){EDGE}"
 #: Capitalised words that name nothing.
 NOT_AN_ENTITY = (
     "what which when where who whom whose why how the this that these those there their they does did was were are can "

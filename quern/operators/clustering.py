@@ -112,6 +112,26 @@ def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int =
         points.unpersist()
 
 
+def restart_seeds(seed: int, restarts: int) -> list[int]:
+    """A seed for each restart, from the public generator."""
+    return [int(u * (1 << 31)) for u in seeded_uniforms(seed, restarts)]
+
+
+def best_of_restarts(points: DataFrame, k: int, seed: int, restarts: int = 3) -> list[list[float]]:
+    """The centroids of least inertia among fits from several seeds; k is cut to the number of points with a vector."""
+    k = min(k, points.where("vec is not null").limit(k).count())
+    if k < 1:
+        return []
+    fits = [fit_spherical_kmeans(points, k, s) for s in restart_seeds(seed, restarts)]
+    inertia = [silhouette(assigned(points.where("vec is not null"), c)).first()["inertia"] for c in fits]
+    return fits[int(np.argmin(inertia))]
+
+
+def chunks_per_bucket(k: int, chunk_size: int, tokens: int = 50_000) -> int:
+    """How many representatives of each of k clusters fit a budget of tokens: two to five."""
+    return max(2, min(5, int(tokens / (k * chunk_size) + 0.5)))
+
+
 def cluster_stats(points: DataFrame) -> DataFrame:
     """cluster, size, cohesion (mean similarity to the centroid). points: cluster, sim."""
     return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("sim").alias("cohesion"))

@@ -48,24 +48,37 @@ def daily_usage(events: DataFrame, ts: str, start: str, end: str, value: str) ->
     return spine.join(daily, "day", "left").select("day", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
+#: Weights of runs further back than this are too small for a double and count as 0.
+REACH = 2100
+
+
 def moving_average(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys, ms_per_unit, samples: 0.3 x new + 0.7 x old over a key's runs in order; runs under 10 units do not count.
 
-    runs: units, elapsed_ms. The fold is a sum: run i of n weighs 0.3 x 0.7^(n - i), the first 0.7^(n - 1), so it needs
-    each run's place only, no list of runs.
+    runs: units, elapsed_ms. The fold is a sum: run i of n weighs 0.3 x 0.7^(n - i), the first 0.7^(n - 1). Only a key's
+    last REACH runs can weigh anything, so tasks keep that many of a key before they shuffle, however many it has.
     """
     counted = runs.where(F.col("units") >= LEAST_UNITS).withColumn("ms", F.col("elapsed_ms") / F.col("units"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    weight = F.when(i == 1, 1.0).otherwise(ALPHA) * F.pow(F.lit(1 - ALPHA), (n - i).cast("double"))
-    weighed = counted.withColumn("weight", weight)
-    return weighed.groupBy(*keys).agg(F.sum(F.col("ms") * F.col("weight")).alias("ms_per_unit"), F.count(F.lit(1)).alias("samples"))
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    last = counted.withColumn("back", F.row_number().over(back)).where(F.col("back") <= REACH)
+    joined = last.select(*keys, "ms", "back").join(sizes, keys)
+    weight = F.when(F.col("back") == F.col("samples"), 1.0).otherwise(ALPHA) * F.pow(F.lit(1 - ALPHA), (F.col("back") - 1).cast("double"))
+    return joined.groupBy(*keys).agg(F.sum(F.col("ms") * weight).alias("ms_per_unit"), F.max("samples").alias("samples"))
 
 
 def over_limit(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """Events with `recent`, the key's events in the seconds up to and with it, and whether that passes the limit."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(ts)).rangeBetween(-seconds + 1, 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("over", F.col("recent") > limit)
+    """Events with `recent`, the key's events in the seconds up to and with it, and whether that passes the limit.
+
+    A key's time is dealt to stretches of that length; each event also goes to the stretch after its own, as one that only
+    counts there, so a busy key is many tasks' work.
+    """
+    at = F.unix_seconds(ts)
+    own = F.floor(at / seconds)
+    dealt = events.withColumns({"_at": at, "_own": own}).withColumn("_stretch", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(-seconds + 1, 0)
+    counted = dealt.withColumn("recent", F.count(F.lit(1)).over(w)).where("_stretch = _own")
+    return counted.select(*events.columns, "recent", (F.col("recent") > limit).alias("over"))
 
 
 def ledger_delta(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -196,13 +196,27 @@ def stream_ema(spark: SparkSession, folder: str) -> DataFrame:
     return _round(out, 6, "average")
 
 
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of a user's events with pauses below two days."""
+    found = streams.sessions(_stream(spark, folder), "user_id", "48 hours")
+    shown = found.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("begins"), "n")
+    return _run(shown, "complete", "sessions")
+
+
+def stream_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of each type in windows of a day that begin every twelve hours."""
+    found = streams.recent_counts(_stream(spark, folder), "event_type", "1 day", "12 hours", "400 days")
+    out = _run(found.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH").alias("begins"), "n"), "update", "rates", ["event_type", "begins"])
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         costs_report, usage_daily, usage_totals, cascade_savings, timing_ema, rate_limit_window, ledger_delta, tenancy_semi,
         latest_result, needs_scoring, difficulty_gaps, config_latest_run, missing_documents, chunk_page, dirty_screen,
         autotune_candidates, holdout_quota, holdout_draw, efficacy_gate, workspace_clone, upsert_replace, stream_usage,
-        stream_dedupe, stream_ema,
+        stream_dedupe, stream_ema, stream_sessions, stream_rates,
     )
 }
 
@@ -316,4 +330,14 @@ f as (
   select event_type, i, value as a from r where i = 1
   union all select r.event_type, r.i, 0.3::double * r.value + 0.7::double * f.a from f join r on r.event_type = f.event_type and r.i = f.i + 1)
 select event_type, round(arg_max(a, i), 6) as average, max(i) as samples from f group by 1""",
+    "stream_sessions": """
+with g as (
+  select user_id, ts, coalesce(date_trunc('microsecond', ts) - lag(ts) over w >= interval 48 hour, true) as opens from events
+  window w as (partition by user_id order by ts)),
+s as (select *, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as i from g)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as begins, count(*) as n from s group by user_id, i""",
+    "stream_rates": """
+with w as (
+  select event_type, unnest([time_bucket(interval 12 hour, ts, timestamp '2000-01-01'), time_bucket(interval 12 hour, ts, timestamp '2000-01-01') - interval 12 hour]) as b from events)
+select event_type, strftime(b, '%Y-%m-%d %H') as begins, count(*) as n from w group by 1, 2""",
 }

@@ -94,12 +94,13 @@ def entity_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors divisible by 25 ask; the others are cached. Texts are chosen so that the guard passes but for two ids in nine."""
+    """Vectors divisible by 25 ask; the others are cached. The guard passes where item and group are the same."""
     df = table(spark, folder, "embeddings")
     vec, asks = F.col("embedding").cast("array<double>").alias("vec"), F.col("vec_id") % 25 == 0
     limit = F.when(F.col("vec_id") % 50 == 0, 0.3)
-    questions = df.where(asks).select(F.col("vec_id").alias("question_id"), vec, F.concat(F.lit("what about item "), F.lit(1)).alias("text"), F.concat(F.lit("s"), F.col("label") % 2).alias("space"), limit.cast("double").alias("override"))
-    entries = df.where(~asks).select(F.col("vec_id").alias("entry_id"), vec, F.concat(F.lit("what about item "), F.when(F.col("vec_id") % 9 < 2, 2).otherwise(1)).alias("text"))
+    text = F.concat(F.lit("what about item "), F.col("vec_id") % 3, F.lit(" of group "), F.col("label") % 2 + 5).alias("text")
+    questions = df.where(asks).select(F.col("vec_id").alias("question_id"), vec, text, F.concat(F.lit("s"), F.col("label") % 2).alias("space"), limit.cast("double").alias("override"))
+    entries = df.where(~asks).select(F.col("vec_id").alias("entry_id"), vec, text)
     thresholds = spark.createDataFrame([("s0", 0.35)], "space string, threshold double")
     out = caches.lookup(questions, entries, thresholds, 0.5, 0.0)
     return out.withColumn("sim", F.round(F.col("sim") + 1e-10, 6))
@@ -192,13 +193,13 @@ g as (
 select pair_key, best[2] as label, best[3] as origin from g where best is not null and not (best[3] = 'probe' and held)""",
     "semantic_cache_lookup": """
 with p as (
-  select q.vec_id as question_id, c.vec_id as entry_id, q.label % 2 as space,
+  select q.vec_id as question_id, c.vec_id as entry_id, q.label % 2 as space, q.vec_id % 3 = c.vec_id % 3 and q.label % 2 = c.label % 2 as passes,
     round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as sim
   from embeddings q join embeddings c on q.vec_id % 25 = 0 and c.vec_id % 25 <> 0
   qualify row_number() over (partition by q.vec_id order by sim desc, c.vec_id desc) = 1),
 t as (select *, case when question_id % 50 = 0 then 0.3 when space = 0 then 0.35 else 0.5 end as l from p)
 select question_id, entry_id, round(sim + 1e-10::double, 6) as sim,
-  case when sim >= l then case when entry_id % 9 < 2 then 'guarded' else 'hit' end when sim >= 0 then 'shadow' else 'miss' end as decision
+  case when sim >= l then case when passes then 'hit' else 'guarded' end when sim >= 0 then 'shadow' else 'miss' end as decision
 from t""",
     "cache_prune": """
 select user_id, event_id, value from events

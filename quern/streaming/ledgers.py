@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,25 +37,34 @@ def first_of(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def moving_average(events: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """key, average, samples after each micro-batch: alpha x new + (1 - alpha) x old, in order of ts within it."""
+def moving_average(events: DataFrame, key: str, alpha: float = 0.3, forget_ms: int | None = None) -> DataFrame:
+    """key, average, samples after each micro-batch: alpha x new + (1 - alpha) x old, in order of ts within it.
+
+    A key's state is dropped after forget_ms without events (None: kept for ever).
+    """
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         average, samples = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for value in rows["value"]:
-            average = value if average is None else alpha * value + (1 - alpha) * average
-            samples += 1
-        state.update((average, samples))
-        yield pd.DataFrame({key: [group[0]], "average": [average], "samples": [samples]})
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])["value"].to_numpy(float)
+        if average is None:
+            average, rows, samples = rows[0], rows[1:], 1
+        n = len(rows)
+        average = float(average * (1 - alpha) ** n + (alpha * (1 - alpha) ** np.arange(n - 1, -1, -1)) @ rows)
+        state.update((average, samples + n))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame({key: [group[0]], "average": [average], "samples": [samples + n]})
 
-    return events.groupBy(key).applyInPandasWithState(
-        fold, f"{key} string, average double, samples long", "average double, samples long", "update", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(fold, f"{key} string, average double, samples long", "average double, samples long", "update", timeout)
 
 
 def run_to_table(stream: DataFrame, mode: str, out: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
-    """Runs a stream over what is there and returns its result; with keys, the last row of each (update mode).
+    """Runs a stream over what is there and returns its result: in update mode the last row of each of keys, in complete
+    mode the last micro-batch.
 
     Each micro-batch is written under its number, so a batch that is run again replaces itself.
     """
@@ -66,6 +76,9 @@ def run_to_table(stream: DataFrame, mode: str, out: str, checkpoint: str, keys:
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
-    if keys:
+    if mode == "complete":
+        last = rows.agg(F.max("_batch").alias("_last"))
+        rows = rows.join(F.broadcast(last)).where("_batch = _last").drop("_last")  # one row
+    elif keys:
         rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "_batch").alias("m")).select(*keys, "m.*")
     return rows.drop("_batch")

@@ -58,6 +58,12 @@ def fill_cache(cache: DataFrame, texts: DataFrame, embed) -> DataFrame:
     return missing.join(cache.select("text_hash"), "text_hash", "left_anti").select("text_hash", embed(F.col("text")).alias("vector"))
 
 
+def cached_vectors(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """texts with the vector of their text, null where the cache lacks it. cache: text_hash, vector."""
+    keyed = texts.withColumn("text_hash", F.sha2("text", 256))
+    return keyed.join(cache.select("text_hash", "vector"), "text_hash", "left").select(*texts.columns, "vector")
+
+
 def new_questions(banked: DataFrame, existing: DataFrame) -> DataFrame:
     """id, question: banked questions whose normal form is new; of equal ones the smallest id; blanks never."""
     rows = banked.withColumn("_n", normal_question(F.col("question"))).where("_n <> ''")

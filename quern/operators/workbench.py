@@ -16,20 +16,24 @@ def chunk_spans(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> Data
     """key, position, start, end: where each chunk stands in its document's text, searched from the one before.
 
     Places count from 0; -1, -1 where a chunk is not found, which does not move the cursor. A document's chunks meet in
-    one row. docs: key, text; chunks: key, position, text.
+    one row, which is searched once from its start to its end. docs: key, text; chunks: key, position, text.
     """
     parts = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("parts"))
-    rows = docs.select(key, F.col("text").alias("whole")).join(parts, key)
-    start = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<struct<position:int,start:int,end:int>>").alias("found"))
-
-    def step(state: Column, part: Column) -> Column:
-        at = F.call_function("locate", part["text"], F.col("whole"), state["cursor"])
-        begin = F.when(at > 0, at - 1).otherwise(-1)
-        end = F.when(at > 0, at - 1 + F.length(part["text"])).otherwise(-1)
-        span = F.struct(part["position"].alias("position"), begin.alias("start"), end.alias("end"))
-        return F.struct(F.when(at > 0, at + 1).otherwise(state["cursor"]).alias("cursor"), F.concat(state["found"], F.array(span)).alias("found"))
-
-    return rows.select(key, F.inline(F.aggregate("parts", start, step)["found"]))
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("whole")).join(parts, key)
+
+    @F.pandas_udf("array<struct<position:int,start:int,end:int>>")
+    def found(wholes: pd.Series, listed: pd.Series) -> pd.Series:
+        out = []
+        for whole, pieces in zip(wholes, listed):
+            cursor, spans = 0, []
+            for p in pieces:
+                at = -1 if p["text"] is None else whole.find(p["text"], cursor)
+                cursor = cursor if at < 0 else at + 1
+                spans.append({"position": p["position"], "start": at, "end": -1 if at < 0 else at + len(p["text"])})
+            out.append(spans)
+        return pd.Series(out)
+
+    return rows.select(key, F.inline(found("whole", "parts")))
 
 
 def token_offsets(words: Column) -> Column:

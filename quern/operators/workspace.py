@@ -14,6 +14,11 @@ def owned(rows: DataFrame, configs: DataFrame, user_id) -> DataFrame:
     return rows.join(configs.where(F.col("user_id") == user_id).select("config_id"), "config_id", "left_semi")
 
 
+def in_subset(rows: DataFrame, key: str, ids: list | None) -> DataFrame:
+    """The rows of a few ids; None stands for all of them, an empty list for none."""
+    return rows if ids is None else rows.where(F.col(key).isin(ids)) if ids else rows.limit(0)
+
+
 def latest_results(results: DataFrame, state: str) -> DataFrame:
     """One result a label: of the current retrieval state if there is one, else the newest. results: label_id,
     result_id, state, scored_at."""

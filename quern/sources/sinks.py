@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,3 +36,19 @@ def set_single(rows: DataFrame, keys: list[str], chosen: Column, flag: str) -> D
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Writes df's partitions of `by` in place of theirs, leaving the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def append_run_chunks(chunks: DataFrame, path: str, run_id: int) -> None:
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks/run_id={run_id}")
+
+
+def append_run(header: DataFrame, chunks: DataFrame, path: str, run_id: int) -> None:
+    """Writes a run's rows, then its header, each in place of what an earlier try left: readers see whole runs only."""
+    append_run_chunks(chunks, path, run_id)
+    header.write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, chunks) of the runs whose header was written, each with run_id."""
+    headers = spark.read.parquet(f"{path}/runs")
+    return headers, spark.read.parquet(f"{path}/chunks").join(headers.select("run_id"), "run_id", "left_semi")

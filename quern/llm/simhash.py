@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, spread, table, texts_of
-from quern.llm.components import star_roots
+from quern.llm.components import least_of, star_roots
 
 SEED = 42
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -125,9 +125,9 @@ def _links_of_group(group: pd.DataFrame, radius: int) -> pd.DataFrame:
     roots = np.arange(len(index.values))
     for i in range(0, len(roots), 256):
         merge(roots, *index.near(i, min(i + 256, len(roots)), radius))
-    linked = np.flatnonzero(roots != np.arange(len(roots)))
     signed = index.values.view(np.int64)
-    return pd.DataFrame({"a": signed[linked], "b": signed[roots[linked]]})
+    out = pd.DataFrame({"a": signed, "b": least_of(signed, roots)})
+    return out[out["a"] != out["b"]]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -9,11 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where that is unset, as on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, else the context's checkpoint folder; a temporary one where neither is set
+    and driver and executors are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="quern-")
     spark.conf.set("spark.checkpoint.dir", path)

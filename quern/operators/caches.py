@@ -26,6 +26,12 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     return grouped.select("content_hash", F.col("best.doc_id").alias("kept_id"), "copies")
 
 
+def dropped_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, kept_id of every row that `dedup_documents` leaves out. docs: as there."""
+    kept = dedup_documents(docs).where("copies > 1").select("content_hash", "kept_id")
+    return docs.join(kept, "content_hash").where("doc_id <> kept_id").select("doc_id", "kept_id")
+
+
 def signature(ids: Column) -> Column:
     """md5 of distinct ids in order; 'empty' without ids. An aggregate, for sets of ids that fit in a row."""
     joined = F.array_join(F.array_sort(F.collect_set(ids.cast("string"))), ",")

@@ -112,6 +112,12 @@ def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int =
         points.unpersist()
 
 
+def topped_up(held: DataFrame, points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """id, cluster, sim of the points that have no cluster yet, by frozen centroids: what to append to held (id)."""
+    new = points.join(held.select("id"), "id", "left_anti")
+    return assigned(new, centroids).select("id", "cluster", "sim")
+
+
 def restart_seeds(seed: int, restarts: int) -> list[int]:
     """A seed for each restart, from the public generator."""
     return [int(u * (1 << 31)) for u in seeded_uniforms(seed, restarts)]

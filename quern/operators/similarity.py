@@ -153,6 +153,11 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def squared_chord(sim: Column) -> Column:
+    """Squared distance of two unit vectors of a cosine similarity; from 0 to 4."""
+    return F.greatest(F.lit(0.0), 2.0 - 2.0 * sim)
+
+
 def cosine(a: str, b: str) -> Column:
     """Cosine similarity of two array columns of doubles; 0 where either is a zero vector."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -46,6 +46,18 @@ def token_offsets(words: Column) -> Column:
     return summed(F.transform(words, F.length))
 
 
+def first_token(offsets: Column, char: Column) -> Column:
+    """The first token that begins at or after a character: how many offsets are below it, the end's not counted."""
+    starts = F.slice(offsets, F.lit(1), F.size(offsets) - 1)
+    return F.size(F.filter(starts, lambda x: x < char))
+
+
+def token_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, position, token_start, token_end of spans of characters. docs: key, offsets; spans: key, position, start, end."""
+    rows = spans.join(docs.select(key, "offsets"), key)
+    return rows.select(key, "position", first_token(F.col("offsets"), F.col("start")).alias("token_start"), first_token(F.col("offsets"), F.col("end")).alias("token_end"))
+
+
 def edit_windows(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, position, own_start, own_end: the words of a chunk that neither neighbour covers."""
     w = Window.partitionBy(key).orderBy("position")
@@ -195,6 +207,21 @@ def next_work(plan: DataFrame, states: DataFrame, covered: DataFrame) -> DataFra
     return found.select("chunk_id", action.alias("action"))
 
 
+def pass_size(scored: Column, size: Column, last: Column) -> Column:
+    """The size of the last whole pass over a set that re-screens itself: this one's if it reached the end."""
+    return F.when(scored >= size, size).otherwise(last)
+
+
+def drain_stuck(size: Column, last: Column) -> Column:
+    """Whether such a set has stopped shrinking; never before a whole pass."""
+    return F.coalesce(size >= last, F.lit(False))
+
+
+def left_work(searched: Column, total: Column, reason: Column) -> Column:
+    """Whether a run that did not end early left chunks unsearched."""
+    return F.coalesce(reason != "early", F.lit(True)) & (searched < total)
+
+
 def batch_saving(usd: Column, kind: Column) -> Column:
     """What sending a call in a batch saves of its price."""
     return usd * F.when(kind == "embed", BATCH_DISCOUNT["embed"]).otherwise(BATCH_DISCOUNT["llm"])

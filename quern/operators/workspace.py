@@ -60,6 +60,12 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), 200)).join(F.broadcast(n))  # one row
 
 
+def next_offset(total: Column, offset: int, limit: int) -> Column:
+    """Where the next page begins; null on the last one. Offset and limit as `page` takes them."""
+    end = max(0, offset) + min(max(1, limit), 200)
+    return F.when(total > end, F.lit(end))
+
+
 def failing_metrics(
     hit: Column, rr: Column, ndcg: Column, bars: dict[str, float], stale: Column | None = None, ignored: Column | None = None
 ) -> Column:
@@ -142,6 +148,13 @@ def draw_holdout(questions: DataFrame, quotas: DataFrame, seed: int, held: DataF
     return placed.where("_place <= quota").select("question_id", "band")
 
 
+def synced_holdout(held: DataFrame, drawn: DataFrame) -> DataFrame:
+    """question_id, change of the questions whose standing a new draw changes: released or added."""
+    gone = held.join(drawn.select("question_id"), "question_id", "left_anti").select("question_id", F.lit("released").alias("change"))
+    new = drawn.join(held.select("question_id"), "question_id", "left_anti").select("question_id", F.lit("added").alias("change"))
+    return gone.unionByName(new)
+
+
 def cloned(rows: DataFrame, id_maps: dict[str, DataFrame]) -> DataFrame:
     """rows with each column of id_maps (old, new) rewritten; rows whose id has no new one drop out."""
     for column, ids in id_maps.items():

@@ -40,7 +40,8 @@ def first_of(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFra
 def moving_average(events: DataFrame, key: str, alpha: float = 0.3, forget_ms: int | None = None) -> DataFrame:
     """key, average, samples after each micro-batch: alpha x new + (1 - alpha) x old, in order of ts within it.
 
-    A key's state is dropped after forget_ms without events (None: kept for ever).
+    With forget_ms, a key's state is dropped once the watermark (an hour behind the newest event) is that far past its
+    last event; None keeps it for ever.
     """
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,17 +49,21 @@ def moving_average(events: DataFrame, key: str, alpha: float = 0.3, forget_ms: i
             state.remove()
             return
         average, samples = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])["value"].to_numpy(float)
+        ordered = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = ordered["value"].to_numpy(float)
         if average is None:
             average, rows, samples = rows[0], rows[1:], 1
         n = len(rows)
         average = float(average * (1 - alpha) ** n + (alpha * (1 - alpha) ** np.arange(n - 1, -1, -1)) @ rows)
         state.update((average, samples + n))
         if forget_ms:
-            state.setTimeoutDuration(forget_ms)
+            last = int(ordered["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last + forget_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]], "average": [average], "samples": [samples + n]})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    if forget_ms:
+        events = events.withWatermark("ts", "1 hour")
     return events.groupBy(key).applyInPandasWithState(fold, f"{key} string, average double, samples long", "average double, samples long", "update", timeout)
 
 

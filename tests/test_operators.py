@@ -371,3 +371,39 @@ def test_spans_move_forward(spark):
     chunks = spark.createDataFrame([(1, 0, "ab"), (1, 1, "zz"), (1, 2, "ab"), (1, 3, "cd")], "doc_id long, position int, text string")
     got = workbench.chunk_spans(docs, chunks).orderBy("position").collect()
     assert [(r["start"], r["end"]) for r in got] == [(0, 2), (-1, -1), (3, 5), (6, 8)]
+
+
+def test_binary_files_and_vectors(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%bytes of a")
+    (tmp_path / "b.docx").write_bytes(b"x")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    got = files.load_binary(spark, str(tmp_path), lambda c: F.substring(F.decode(c, "utf-8"), 2, 5)).collect()
+    assert sorted((r["file_name"], r["text"]) for r in got) == [("a.pdf", "bytes"), ("b.docx", "")]
+    df = spark.createDataFrame([("[0.5, 2]",), ("[]",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(files.vector_from_text("t")).collect()] == [[0.5, 2.0], [], None, None]
+    back = spark.createDataFrame([([0.5, 2.0],)], "v array<double>").select(files.vector_to_text("v")).first()[0]
+    assert back == "[0.5,2.0]"
+
+
+def test_overlaps(spark):
+    df = spark.createDataFrame([(500, 0.1), (5, 0.5), (1, 0.9), (10, 5.0), (10, -1.0)], "size int, share double")
+    assert [r[0] for r in df.select(workbench.overlap_for(F.col("size"), F.col("share"))).collect()] == [50, 3, 0, 9, 0]
+
+
+def test_streamed_average_folds_like_a_loop_and_forgets(spark, tmp_path):
+    from quern.streaming import ledgers
+
+    rows = [(i, float(i * 7 % 11), "a" if i % 3 else "b") for i in range(40)]
+    for part in range(2):
+        own = [r for r in rows if r[0] // 20 == part]
+        df = spark.createDataFrame(own, "event_id long, value double, event_type string").withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_000_000))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = ledgers.moving_average(ledgers.read_events(spark, str(tmp_path / "in"), schema, 2), "event_type", forget_ms=3_600_000)
+    got = ledgers.run_to_table(stream, "update", str(tmp_path / "out"), str(tmp_path / "state"), ["event_type"])
+    for r in got.collect():
+        average = None
+        for _, value, kind in rows:
+            if kind == r["event_type"]:
+                average = value if average is None else 0.3 * value + 0.7 * average
+        assert r["average"] == pytest.approx(average) and r["samples"] == sum(k == r["event_type"] for _, _, k in rows)

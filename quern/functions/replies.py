@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A provider's states in the common spelling; what is not listed keeps being polled.
-STATUSES = {
-    "anthropic": {"in_progress": "in_progress", "canceling": "cancelling", "ended": "completed"},
-    "others": {s: s for s in ("completed", "cancelling", "cancelled", "expired", "failed")},
-}
+#: States of a batch in which an eight-state provider no longer runs it; the common spelling is the same.
+SETTLED = ("completed", "cancelling", "cancelled", "expired", "failed")
 #: Kinds of job, each with the leg whose older setting it falls back to.
 JOB_LEGS = {"question_generation": "llm", "ndcg_ranking": "llm", "cluster_labeling": "llm", "ingest_embedding": "embedding", "cache_pair_generation": "llm"}
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
-def batch_status(provider: Column, status: Column) -> Column:
-    """A provider's state of a batch in the common spelling; anthropic's unknown states are ended ones, others' still run."""
-    own = F.when(status == "in_progress", "in_progress").when(status == "canceling", "cancelling").otherwise("completed")
-    known = F.create_map(*[F.lit(x) for pair in STATUSES["others"].items() for x in pair])
-    return F.when(provider == "anthropic", own).otherwise(F.coalesce(F.try_element_at(known, status), F.lit("in_progress")))
+def batch_status(machine: Column, status: Column) -> Column:
+    """A provider's state of a batch in the common spelling.
+
+    machine: `three` for providers that tell in_progress, canceling and ended, where what is neither of the first two has
+    ended; else those of eight states, where what is not settled still runs and is polled again.
+    """
+    three = F.when(status == "in_progress", "in_progress").when(status == "canceling", "cancelling").otherwise("completed")
+    eight = F.when(status.isin(*SETTLED), status).otherwise("in_progress")
+    return F.when(machine == "three", three).otherwise(eight)
 
 
 def strip_fences(text: Column) -> Column:

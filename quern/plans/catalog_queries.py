@@ -141,9 +141,9 @@ STATES = ("validating", "in_progress", "finalizing", "completed", "cancelling",
 def provider_statuses(spark: SparkSession, folder: str) -> DataFrame:
     e = F.col("event_id")
     state = F.get(F.array(*map(F.lit, STATES)), (e % len(STATES)).cast("int"))
-    provider = F.when(e % 3 == 0, "anthropic").when(e % 3 == 1, "voyage").otherwise("openai")
-    rows = table(spark, folder, "events").select(provider.alias("provider"), state.alias("state"))
-    return rows.groupBy("provider", "state").agg(F.count(F.lit(1)).alias("n")).withColumn("status", replies.batch_status(F.col("provider"), F.col("state")))
+    machine = F.when(e % 3 == 0, "three").otherwise("eight")
+    rows = table(spark, folder, "events").select(machine.alias("machine"), state.alias("state"))
+    return rows.groupBy("machine", "state").agg(F.count(F.lit(1)).alias("n")).withColumn("status", replies.batch_status(F.col("machine"), F.col("state")))
 
 
 def reply_parsing(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,10 +276,10 @@ select k as chunk_id, case when n > 2 then 'was re-split + ' || m when n > 0 the
 from w left join o using (k)""",
     "provider_statuses": f"""
 with s as (
-  select case event_id % 3 when 0 then 'anthropic' when 1 then 'voyage' else 'openai' end as provider,
+  select case event_id % 3 when 0 then 'three' else 'eight' end as machine,
     {list(STATES)}[event_id % {len(STATES)} + 1] as state from events)
-select provider, state, count(*) as n, case
-  when provider = 'anthropic' then case state when 'in_progress' then 'in_progress' when 'canceling' then 'cancelling' else 'completed' end
+select machine, state, count(*) as n, case
+  when machine = 'three' then case state when 'in_progress' then 'in_progress' when 'canceling' then 'cancelling' else 'completed' end
   when state in ('completed', 'cancelling', 'cancelled', 'expired', 'failed') then state else 'in_progress' end as status from s group by 1, 2""",
     "reply_parsing": """
 with l as (

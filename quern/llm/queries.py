@@ -16,6 +16,7 @@ MODULES = {
     "op10_va_file": "vafile",
     "op2_bloom_cascade": "urlfilter",
     "op7_jump_hash": "sharding",
+    "op11_jaccard_regions": "jaccard",
     "op12_filter_audit": "audit",
     "op13_target_resampling": "target",
 }

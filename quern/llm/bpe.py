@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import PartCache, UnitEncoder, once, spread, table, texts_of
+from quern.llm.common import PartCache, UnitEncoder, known_ids, once, restored, spread, table, texts_of
 from quern.llm.tokenizer import vocabulary_path
 
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1 << 16, 4, 1 << 12
@@ -147,39 +147,41 @@ def _digests(frames: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterato
     names = [str(i) for i in range(len(bpe.bytes_of))]
     for f in frames:
         rows = []
-        for doc_id, text in zip(f["doc_id"], texts_of(f["text"])):
+        for doc_id, no_id, text in zip(f["doc_id"], f["_no_id"], texts_of(f["text"])):
             ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
             shown = hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest()
-            rows.append((doc_id, len(ids), shown, hashlib.sha256(bpe.decode(ids)).hexdigest()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, no_id, len(ids), shown, hashlib.sha256(bpe.decode(ids)).hexdigest()))
+        yield pd.DataFrame(rows, columns=["doc_id", "_no_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _ids(frames: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     bpe = once(partial(_load, path, pattern))
     for f in frames:
         ids = [np.frombuffer(bpe.encode(t), "<u4").astype(np.int32) for t in texts_of(f["text"])]
-        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "ids": ids})
+        yield f[["doc_id", "_no_id"]].assign(ids=ids)
 
 
 def _texts(frames: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
     bpe = once(partial(_load, path, pattern))
     for f in frames:
         data = [bpe.decode(list(i)) if i is not None else b"" for i in f["ids"]]
-        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text": [d.decode("utf-8", "replace") for d in data]})
+        yield f[["doc_id", "_no_id"]].assign(text=[d.decode("utf-8", "replace") for d in data])
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    return spread(docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text")))
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row. Null and empty texts have no ids; rows of null id and repeated rows stay."""
-    return _rows(docs, id_col, text).mapInPandas(partial(_ids, path=path, pattern=pattern), "doc_id long, ids array<int>")
+    made = _rows(docs, id_col, text).mapInPandas(partial(_ids, path=path, pattern=pattern), "doc_id long, _no_id boolean, ids array<int>")
+    return restored(made)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give the empty text."""
-    return encoded.select("doc_id", "ids").mapInPandas(partial(_texts, path=path, pattern=pattern), "doc_id long, text string")
+    rows = encoded.select(*known_ids("doc_id"), "ids")
+    return restored(rows.mapInPandas(partial(_texts, path=path, pattern=pattern), "doc_id long, _no_id boolean, text string"))
 
 
 def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +189,4 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = partial(_digests, path=vocabulary_path("byte_bpe_50k.tiktoken"), pattern=PATTERN)
     rows = _rows(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return rows.mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return restored(rows.mapInPandas(work, "doc_id long, _no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"))

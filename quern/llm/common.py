@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +38,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def known_ids(id_col: str) -> list[Column]:
+    """The id as a long without nulls, doc_id, and whether there is none, _no_id: pandas keeps longs exact only without nulls."""
+    doc_id = F.col(id_col).cast("long")
+    return [F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), doc_id.isNull().alias("_no_id")]
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """df with doc_id null again where _no_id says so."""
+    doc_id = F.when(~F.col("_no_id"), F.col("doc_id")).alias("doc_id")
+    return df.select(*[doc_id if c == "doc_id" else F.col(c) for c in df.columns if c != "_no_id"])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

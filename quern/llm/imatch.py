@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import shuffle_partitions, spread, table, texts_of
+from quern.llm.common import known_ids, restored, shuffle_partitions, spread, table, texts_of
 
 #: ASCII marks and white space part terms.
 MARKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -96,7 +96,7 @@ def shown(parts: tuple) -> str:
 def _prints(frames: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
     make = Fingerprinter(lexicon.value)
     for f in frames:
-        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "fingerprint": [shown(make(t)) for t in texts_of(f["text"])]})
+        yield f[["doc_id", "_no_id"]].assign(fingerprint=[shown(make(t)) for t in texts_of(f["text"])])
 
 
 def fingerprint_documents(
@@ -104,9 +104,9 @@ def fingerprint_documents(
 ) -> DataFrame:
     """(doc_id, fingerprint) of every row. Null texts are empty; equal texts have equal fingerprints; texts without a
     term in any sub-lexicon hash all their terms; null ids and repeated rows stay; other columns are not read."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(term_lexicon(spread(rows), low, high))
-    return spread(rows).mapInPandas(partial(_prints, lexicon=held), "doc_id long, fingerprint string")
+    return restored(spread(rows).mapInPandas(partial(_prints, lexicon=held), "doc_id long, _no_id boolean, fingerprint string"))
 
 
 #: Runs a partition: many short runs even out what a hash deals to each.
@@ -177,17 +177,17 @@ def with_heirs(rows: DataFrame) -> DataFrame:
 
 
 EDITED = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, _no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
 
 
 def _compare(frames: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
     make = Fingerprinter(lexicon.value)
-    before = None  # the row that waits for the one after it: (chunk, doc_id, text, fingerprint)
+    before = None  # the row that waits for the one after it: (chunk, (doc_id, no_id), text, fingerprint)
     for f in frames:
         out = []
-        for doc_id, text, chunk, heir in zip(f["doc_id"], texts_of(f["text"]), f["chunk"], f["heir"]):
+        for doc_id, no_id, text, chunk, heir in zip(f["doc_id"], f["_no_id"], texts_of(f["text"]), f["chunk"], f["heir"]):
             if heir and (before is None or before[0] != chunk):
                 continue  # the run has had its follower
             own = make(text)
@@ -198,11 +198,10 @@ def _compare(frames: Iterator[pd.DataFrame], lexicon) -> Iterator[pd.DataFrame]:
                 changed = make(edited)
                 sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append(
-                    (before[1], len(last), sha, shown(before[3]), shown(changed), likeness(before[3], changed), likeness(before[3], own))
+                    (*before[1], len(last), sha, shown(before[3]), shown(changed), likeness(before[3], changed), likeness(before[3], own))
                 )
-            before = None if heir else (chunk, doc_id, text, own)
-        names = [c.split()[0] for c in EDITED.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            before = None if heir else (chunk, (doc_id, no_id), text, own)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")])
 
 
 def compare_edited(docs: DataFrame, low: float = 2.0, high: float = 7.0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,7 +213,8 @@ def compare_edited(docs: DataFrame, low: float = 2.0, high: float = 7.0, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(term_lexicon(spread(rows), low, high))
-    return with_heirs(rows).mapInPandas(partial(_compare, lexicon=held), EDITED)
+    runs = with_heirs(rows).select(*known_ids("doc_id"), "text", "chunk", "heir")
+    return restored(runs.mapInPandas(partial(_compare, lexicon=held), EDITED))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

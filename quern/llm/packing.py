@@ -17,24 +17,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, gapless_rank, spread, table, texts_of
+from quern.llm.common import cut, gapless_rank, known_ids, restored, spread, table, texts_of
 from quern.llm.tokenizer import encoder, vocabulary_path
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, _no_id boolean, piece int, start long, length long, ids_crc32 long"
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: int) -> Iterator[pd.DataFrame]:
     encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
     for f in frames:
         rows = []
-        for doc_id, text in zip(f["doc_id"], texts_of(f["text"])):
+        for doc_id, no_id, text in zip(f["doc_id"], f["_no_id"], texts_of(f["text"])):
             ids = encode(text) + end
             n, start, piece = len(ids) // 4, 0, 0
             length = n % capacity or capacity
             while start < n:
-                rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                rows.append((doc_id, no_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 start, piece, length = start + length, piece + 1, capacity
-        yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "_no_id", *COLUMNS[1:]])
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,8 +45,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col:
     Null and empty texts are the end id alone; null ids are kept; rows that repeat have their own pieces; an empty table
     gives none; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return spread(rows).mapInPandas(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES)
+    rows = docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text"))
+    return restored(spread(rows).mapInPandas(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES))
 
 
 class Plan:
@@ -111,9 +112,7 @@ def _assign(frames: Iterator[pd.DataFrame], runs) -> Iterator[pd.DataFrame]:
         of, rank = f["length"].to_numpy(), f["rank"].to_numpy()
         i = np.searchsorted(order, of << 44 | rank, "right") - 1
         nth = rank - first[i]
-        yield f.drop(columns="rank").assign(
-            sequence_id=at[i] + nth // each[i], offset=used[i] + nth % each[i] * of, doc_id=f["doc_id"].astype("Int64")
-        )
+        yield f.drop(columns="rank").assign(sequence_id=at[i] + nth // each[i], offset=used[i] + nth % each[i] * of)
 
 
 def pack(
@@ -131,14 +130,15 @@ def pack(
     sequences is used. Sequences hold their pieces without gaps. Empty input gives no rows; repeated rows keep a place
     each; null ids are kept; other columns of pieces are not.
     """
-    pieces = cut(pieces.select(*[c.split()[0] for c in PIECES.split(", ")]))
+    pieces = cut(pieces.select(*COLUMNS))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     capacities = (tokens, documents or tokens, attention or tokens * tokens)
     plan = min((Plan(counts, capacities, weights, rule) for rule in ("norm", "dot")), key=lambda p: p.sequences)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6).T
-    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank").select(*pieces.columns, "rank")
+    ranked = gapless_rank(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank")
+    ranked = ranked.select(*known_ids("doc_id"), *COLUMNS[1:], "rank")
     held = pieces.sparkSession.sparkContext.broadcast(runs)
-    return ranked.mapInPandas(partial(_assign, runs=held), PIECES + ", sequence_id long, offset long")
+    return restored(ranked.mapInPandas(partial(_assign, runs=held), PIECES + ", sequence_id long, offset long"))
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import PartCache, cut, spread, table, texts_of
+from quern.llm.common import PartCache, cut, known_ids, spread, table, texts_of
 
 BITS, CHUNK = 18, 4096
 BUCKETS = 1 << BITS
@@ -53,10 +53,10 @@ def _count(frames: Iterator[pd.DataFrame], good) -> Iterator[pd.DataFrame]:
     """Counts of a partition, as chunks of the two models' vectors."""
     sums, target = np.zeros((2, BUCKETS), np.int64), good.value
     for f in frames:
-        for doc_id, text in zip(f["doc_id"], texts_of(f["text"])):
+        for doc_id, no_id, text in zip(f["doc_id"], f["_no_id"], texts_of(f["text"])):
             at = ngram_buckets(text)
             np.add.at(sums[0], at, 1)
-            if doc_id in target:
+            if doc_id in target and not no_id:
                 np.add.at(sums[1], at, 1)
     chunks = sums.reshape(2 * BUCKETS // CHUNK, CHUNK)
     full = np.flatnonzero(chunks.any(axis=1))
@@ -81,7 +81,7 @@ def log_ratios(docs: DataFrame, good: set[int]) -> np.ndarray:
     """
     held = docs.sparkSession.sparkContext.broadcast(good)
     left = docs.rdd.getNumPartitions()
-    made = docs.mapInPandas(partial(_count, good=held), "chunk int, counts binary")
+    made = docs.select(*known_ids("doc_id"), "text").mapInPandas(partial(_count, good=held), "chunk int, counts binary")
     made = made.withColumn("part", F.spark_partition_id())
     while True:
         made = made.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part", "chunk").applyInPandas(_add, PARTS)

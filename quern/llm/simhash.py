@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, spread, table, texts_of
+from quern.llm.common import cut, known_ids, restored, spread, table, texts_of
 from quern.llm.components import least_of, star_roots
 
 SEED = 42
@@ -56,13 +56,13 @@ def majority_bits(hashes: np.ndarray) -> int:
 def _fingerprints(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for f in frames:
         found = [majority_bits(shingle_hashes(t, words)) for t in texts_of(f["text"])]
-        yield pd.DataFrame({"doc_id": f["doc_id"], "fp": np.array(found, np.uint64).view(np.int64)})
+        yield f[["doc_id", "_no_id"]].assign(fp=np.array(found, np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp holds 64 bits in a long. Null and wordless texts: 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return spread(rows).mapInPandas(partial(_fingerprints, words=words), "doc_id long, fp long")
+    rows = docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text"))
+    return restored(spread(rows).mapInPandas(partial(_fingerprints, words=words), "doc_id long, _no_id boolean, fp long"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, fresh, shuffle_partitions, spread, texts_of
+from quern.llm.common import cut, fresh, known_ids, restored, shuffle_partitions, spread, texts_of
 from quern.llm.components import least_of, star_roots
 from quern.llm.simhash import _mix, gray_rank, merge, shingle_hashes
 
@@ -64,7 +64,7 @@ def _sketches(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFra
         found = [np.unique(shingle_hashes(t, words)) for t in texts_of(f["text"])]
         names = np.array([_name(h) for h in found], np.int64)
         made = {"name": names, "sketch": [sketch(h) for h in found], "n": [len(h) for h in found]}
-        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "tie": f["tie"], **made})
+        yield f[["doc_id", "_no_id", "tie"]].assign(**made)
 
 
 def bands(similarity: float, bits: int, recall: float) -> int:
@@ -279,8 +279,9 @@ def _in_blocks(sets: DataFrame, found: DataFrame, similarity: float) -> DataFram
 
 def _grouped(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, tie, name) of each row, (name, root) of each name, (root, keeper) of each root. rows: doc_id, text, tie."""
-    sketched = spread(rows).mapInPandas(partial(_sketches, words=words), "doc_id long, tie long, name long, sketch binary, n long")
-    sketched = cut(sketched)
+    layout = "doc_id long, _no_id boolean, tie long, name long, sketch binary, n long"
+    known = spread(rows).select(*known_ids("doc_id"), "tie", "text")
+    sketched = cut(restored(known.mapInPandas(partial(_sketches, words=words), layout)))
     classes = cut(sketched.groupBy("name", "sketch", "n").agg(F.min(F.struct("doc_id", "tie")).alias("keeper")))
     count = classes.count()
     bits = min(20, max(8, ceil(log2(max(count, 1) / MEAN_GROUP))))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import scratch_path, shuffle_partitions, table, texts_of
+from quern.llm.common import known_ids, scratch_path, shuffle_partitions, table, texts_of
 from quern.llm.tokenizer import encoder, vocabulary_path
 
 BLOCK_TOKENS, SAMPLE, MAX_BROADCAST = 1 << 18, 256, 1_000_000
@@ -109,8 +109,8 @@ def _write(frames: Iterator[pd.DataFrame], path: str, end_id: int, width: int) -
     encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
     shard, block, ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
     for f in frames:
-        for doc_id, text in zip(f["doc_id"], texts_of(f["text"])):
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+        for doc_id, no_id, text in zip(f["doc_id"], f["_no_id"], texts_of(f["text"])):
+            ids.append(None if no_id else doc_id)
             tokens.append(encode(text) + end)
             held += len(tokens[-1]) // 4
             if held >= BLOCK_TOKENS:
@@ -129,8 +129,8 @@ def write_token_file(
     for a vocabulary of up to 65,536 ids, else four.
     """
     width = 2 if max(vocabulary, end_id + 1) <= 65536 else 4
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = ["doc_id", F.xxhash64("text")]
+    rows = docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text"))
+    order = [F.desc("_no_id"), "doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     blocks = rows.mapInPandas(partial(_write, path=path, end_id=end_id, width=width), BLOCK)
     blocks.write.mode("overwrite").parquet(f"{out}/blocks")

@@ -1,62 +1,123 @@
-"""Exact cosine similarity of a set of questions against all chunks, in blocks."""
+"""Exact cosine similarity of a set of questions against all chunks.
+
+Chunks stay where they are: questions are sent to them in lots of a bounded size, and every task meets its own chunks slice
+by slice, as matrix products. What leaves a task is each question's best rows or counts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUESTIONS, CHUNKS = 512, 4096
+#: A lot of questions: at most so many, of so many numbers together (32 MB). Numbers of a slice's matrix of similarities.
+LOT, LOT_NUMBERS, SLICE = 16_384, 1 << 22, 1 << 21
 #: Similarities are rounded before ranking, so that summation order decides no tie.
 PLACES = 9
 
 
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(float)
+def matrix(vectors: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """The vectors of an Arrow list column as rows of doubles; all have one length."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1) if rows else np.empty((0, 0))
+
+
+def unit(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _block(questions: pd.DataFrame, chunks: pd.DataFrame, k: int | None) -> pd.DataFrame:
-    if not len(questions) or not len(chunks):
-        return pd.DataFrame({"question_id": [], "chunk_id": [], "sim": []})
-    chunks = chunks.sort_values("chunk_id", kind="stable")
-    sim = np.round(unit_rows(questions["vec"]) @ unit_rows(chunks["vec"]).T, PLACES) + 0.0
-    asked, ids = questions["question_id"].to_numpy(), chunks["chunk_id"].to_numpy()
-    if k is not None:
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sim, at, axis=1)
-        return pd.DataFrame({"question_id": np.repeat(asked, at.shape[1]), "chunk_id": ids[at].ravel(), "sim": best.ravel()})
-    floor = questions["floor"].to_numpy(float) if "floor" in questions else np.full(len(asked), -2.0)
-    q, c = np.nonzero(sim > floor[:, None])
-    return pd.DataFrame({"question_id": asked[q], "chunk_id": ids[c], "sim": sim[q, c]})
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    return unit(np.stack(vectors.to_numpy()).astype(float))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(a @ b.T, PLACES) + 0.0
+
+
+def lots(questions: DataFrame, columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Questions in lots that may be sent to every task: `columns` and the unit vectors `vec`, as arrays."""
+    known = questions.where("vec is not null").select("question_id", *columns, "vec")
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim")).first()
+    n = max(1, ceil(size["n"] / LOT), ceil(size["n"] * size["dim"] / LOT_NUMBERS))
+    for lot in range(n):
+        part = known.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == lot).toArrow() if n > 1 else known.toArrow()
+        if part.num_rows:
+            made = {c: part.column(c).to_numpy() for c in ("question_id", *columns)}
+            yield {**made, "vec": unit(matrix(part.column("vec"), part.num_rows))}
+
 
+def _slices(batches: Iterator[pa.RecordBatch], questions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of a task's chunks, so few at a time that their similarities to all questions fit."""
+    step = max(1, SLICE // max(1, questions))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield part.column("chunk_id").to_numpy(), unit(matrix(part.column("vec"), part.num_rows))
 
-def _dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int):
-    """Rows grouped by their block of n and by each block of the other side's m."""
-    fresh = [F.col(c).alias(c) for c in df.columns]  # both sides may stem from one table
-    df = df.select(*fresh, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own))
-    return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("qblock", "block")
+
+def _pairs(question: np.ndarray, chunk: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(question), pa.array(chunk), pa.array(sim)], ["question_id", "chunk_id", "sim"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], held: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
+    """Each question's k best chunks of a task; ties go to the smaller id."""
+    asked = held.value["vec"]
+    n = len(asked)
+    best, names = np.full((n, 0), -3.0), np.empty((n, 0), np.int64)
+    for ids, vectors in _slices(batches, n):
+        sim = np.concatenate([best, similar(asked, vectors)], axis=1)
+        all_ids = np.concatenate([names, np.broadcast_to(ids, (n, len(ids)))], axis=1)
+        if sim.shape[1] > 4 * k:  # all that could be among the k best, ties at the end included, by one cut a question
+            least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+            width = int((sim >= least[:, None]).sum(axis=1).max())
+            at = np.argpartition(-sim, min(width, sim.shape[1] - 1), axis=1)[:, :width]
+            sim, all_ids = np.take_along_axis(sim, at, axis=1), np.take_along_axis(all_ids, at, axis=1)
+        order = np.lexsort((all_ids, -sim), axis=1)[:, :k]
+        best, names = np.take_along_axis(sim, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
+    yield _pairs(np.repeat(held.value["question_id"], best.shape[1]), names.ravel(), best.ravel())
+
+
+def _above(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """All pairs of a task above the question's floor."""
+    asked, names = held.value["vec"], held.value["question_id"]
+    floor = held.value.get("floor", np.full(len(asked), -2.0)).astype(float)
+    for ids, vectors in _slices(batches, len(asked)):
+        sim = similar(asked, vectors)
+        q, c = np.nonzero(sim > floor[:, None])
+        yield _pairs(names[q], ids[c], sim[q, c])
+
+
+def _sent(questions: DataFrame, columns: list[str], chunks: DataFrame, task, layout: str) -> DataFrame:
+    """Rows that `task` makes of the chunks, beside each lot of questions."""
+    kept = chunks.where("vec is not null").select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+    context, out = chunks.sparkSession.sparkContext, None
+    for lot in lots(questions, columns):
+        more = kept.mapInArrow(partial(task, held=context.broadcast(lot)), layout)
+        out = more if out is None else out.unionByName(more)
+    return kept.limit(0).mapInArrow(_nothing, layout) if out is None else out
+
+
+def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return iter(())
 
 
 def similarities(questions: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
-    """(question_id, chunk_id, sim): of each question, each block's k best chunks, or all chunks above its `floor`.
+    """(question_id, chunk_id, sim): of each question, each task's k best chunks, or all chunks above its `floor`.
 
-    questions: question_id long, vec array<double>[, floor double]; chunks: chunk_id long, vec. Both sides are dealt into
-    blocks by a hash of the id; every block of questions meets every block of chunks in a task of its own, as one matrix
-    product. Null vectors take no part; a zero vector has similarity 0 to all.
+    questions: question_id long, vec array<double>[, floor double]; chunks: chunk_id long, vec. Chunks are not shuffled; a
+    lot of LOT questions reads them once. Null vectors take no part; a zero vector has similarity 0 to all.
     """
-    questions, chunks = questions.where("vec is not null"), chunks.where("vec is not null")
-    qblocks = max(1, ceil(questions.count() / QUESTIONS))
-    blocks = max(1, ceil(chunks.count() / CHUNKS))
-
-    left = _dealt(questions, "question_id", "qblock", qblocks, "block", blocks)
-    right = _dealt(chunks, "chunk_id", "block", blocks, "qblock", qblocks)
-    return left.cogroup(right).applyInPandas(lambda a, b: _block(a, b, k), "question_id long, chunk_id long, sim double")
+    columns = ["floor"] if k is None and "floor" in questions.columns else []
+    return _sent(questions, columns, chunks, _above if k is None else partial(_best, k=k), "question_id long, chunk_id long, sim double")
 
 
 def ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
@@ -76,28 +137,28 @@ def top_k_excluding(questions: DataFrame, chunks: DataFrame, excluded: DataFrame
     return top_k(questions, chunks.join(excluded, "chunk_id", "left_anti"), k)
 
 
-def _before(asked: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-    if not len(asked) or not len(chunks):
-        return pd.DataFrame({"question_id": [], "tag": [], "n": []})
-    sim = np.round(unit_rows(asked["vec"]) @ unit_rows(chunks["vec"]).T, PLACES) + 0.0
-    least, tie, own = (asked[c].to_numpy()[:, None] for c in ("sim", "tie", "own"))
-    ids = chunks["chunk_id"].to_numpy()[None, :]
-    n = (((sim > least) | (sim == least) & (ids < tie)) & (ids != own)).sum(axis=1)
-    return pd.DataFrame({"question_id": asked["question_id"], "tag": asked["tag"], "n": n})
+def _before(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    lot = held.value
+    least, tie, own = (lot[c][:, None] for c in ("sim", "tie", "own"))
+    n = np.zeros(len(lot["vec"]), np.int64)
+    for ids, vectors in _slices(batches, len(n)):
+        sim, ids = similar(lot["vec"], vectors), ids[None, :]
+        n += (((sim > least) | (sim == least) & (ids < tie)) & (ids != own)).sum(axis=1)
+    some = np.flatnonzero(n)
+    columns = [pa.array(lot["question_id"][some]), pa.array(lot["tag"][some].astype(np.int32)), pa.array(n[some])]
+    yield pa.RecordBatch.from_arrays(columns, ["question_id", "tag", "n"])
 
 
 def counts_before(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id, tag, n: how many chunks are more similar to a question than `sim`, or as similar with an id below `tie`.
 
-    asked: question_id long, tag int, vec, sim, tie long, own long (a chunk that does not count). Each block of chunks is
-    counted in its task; only counts leave it.
+    asked: question_id long, tag int, vec, sim, tie long, own long (a chunk that does not count). Each task counts its own
+    chunks; only counts leave it. A count of 0 has a row, too, unless the vector is null.
     """
-    asked, chunks = asked.where("vec is not null"), chunks.where("vec is not null")
-    qblocks, blocks = max(1, ceil(asked.count() / QUESTIONS)), max(1, ceil(chunks.count() / CHUNKS))
-    left = _dealt(asked, "question_id", "qblock", qblocks, "block", blocks)
-    right = _dealt(chunks.select("chunk_id", "vec"), "chunk_id", "block", blocks, "qblock", qblocks)
-    made = left.cogroup(right).applyInPandas(_before, "question_id long, tag int, n long")
-    return made.groupBy("question_id", "tag").agg(F.sum("n").alias("n"))
+    rows = asked.where("vec is not null")
+    made = _sent(rows, ["tag", "sim", "tie", "own"], chunks, _before, "question_id long, tag int, n long")
+    zero = rows.select("question_id", F.col("tag").cast("int").alias("tag"), F.lit(0).cast("long").alias("n"))
+    return made.unionByName(zero).groupBy("question_id", "tag").agg(F.sum("n").alias("n"))
 
 
 def gold_ranks(questions: DataFrame, chunks: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators.similarity import PLACES
+from quern.operators import chunking
+from quern.operators.similarity import PLACES, cosine, counts_before
 
 FAMILIES = ("size", "model", "size+model")
 
@@ -23,6 +26,55 @@ def clears(failing: Column, rank: Column, before: Column, bars: dict[str, float]
     return F.coalesce(rank.isNotNull() & ~missed, F.lit(False))
 
 
+def ladder(sizes: list[int], models: list[str]) -> list[tuple[str, str, int, int | None, str | None]]:
+    """(family, candidate, rung, size, model) of all candidates: sizes under the base model (model None), models for the whole
+    chunk (size None), and both together."""
+    found = [("size", f"size {s}", i, s, None) for i, s in enumerate(sizes)]
+    found += [("model", m, i, None, m) for i, m in enumerate(models)]
+    both = [(s, m) for s in sizes for m in models]
+    return found + [("size+model", f"size {s}, {m}", i, s, m) for i, (s, m) in enumerate(both)]
+
+
+def pieces_of(chunks: DataFrame, sizes: list[int], overlap_share: float) -> DataFrame:
+    """chunk_id, size, text of the pieces of chunks (chunk_id, text) at each size; size is null for the whole text."""
+    rows = chunks.select("chunk_id", F.lit(None).cast("int").alias("size"), "text")
+    for s in sizes:
+        overlap = min(max(round(s * overlap_share), 0), s - 1)
+        rows = rows.unionByName(chunking.chunk(chunks, s, overlap, "chunk_id").select("chunk_id", F.lit(s).alias("size"), "text"))
+    return rows
+
+
+def search_trials(
+    chunks: DataFrame, targets: DataFrame, spaces: dict[str, tuple[DataFrame, DataFrame, Callable[[Column], Column]]], base: str,
+    sizes: list[int], overlap_share: float = 0.1,
+) -> DataFrame:
+    """chunk_id, family, candidate, rung, question_id, rank: where each target question would find its chunk, were the chunk
+    replaced by a candidate's pieces. All chunks, sizes and questions of a model are ranked in one pass over its vectors.
+
+    chunks: chunk_id, text; targets: question_id (one row each), chunk_id; spaces: model -> (question_id, vec), (chunk_id, vec)
+    and what embeds a piece. A chunk ranks as its best piece does: after the other chunks that are nearer, or as near with a
+    smaller id; the question's own chunk does not count. rank is null where there is no piece or no vector.
+    """
+    texts = chunks.join(targets.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "text")
+    found = []
+    for model, (questions, vectors, embed) in spaces.items():
+        own = [(i, c) for i, c in enumerate(ladder(sizes, [m for m in spaces if m != base])) if (c[4] or base) == model]
+        kinds = F.inline(F.array(*[F.struct(F.lit(i).alias("tag"), F.lit(c[3]).cast("int").alias("_size")) for i, c in own]))
+        pieces = pieces_of(texts, sizes, overlap_share).select("chunk_id", "size", embed(F.col("text")).alias("piece"))
+        asked = targets.select("question_id", "chunk_id").join(questions.select("question_id", "vec"), "question_id")
+        met = asked.join(pieces.where("piece is not null"), "chunk_id")
+        best = met.groupBy("question_id", "chunk_id", "size").agg(F.max(F.round(cosine("vec", "piece"), PLACES)).alias("sim"))
+        best = best.select("*", kinds).where(F.col("size").eqNullSafe(F.col("_size"))).drop("size", "_size")
+        rows = best.join(questions.select("question_id", "vec"), "question_id").withColumns({"tie": F.col("chunk_id"), "own": F.col("chunk_id")})
+        found.append(counts_before(rows, vectors.select("chunk_id", "vec")).select("question_id", "tag", (F.col("n") + 1).cast("int").alias("rank")))
+    ranks = found[0]
+    for more in found[1:]:
+        ranks = ranks.unionByName(more)
+    names = [F.struct(F.lit(i).alias("tag"), F.lit(f).alias("family"), F.lit(c).alias("candidate"), F.lit(r).alias("rung")) for i, (f, c, r, _, _) in enumerate(ladder(sizes, [m for m in spaces if m != base]))]
+    every = targets.select("question_id", "chunk_id", F.inline(F.array(*names)))
+    return every.join(ranks, ["question_id", "tag"], "left").select("chunk_id", "family", "candidate", "rung", "question_id", "rank")
+
+
 def candidates(trials: DataFrame, targets: DataFrame, bars: dict[str, float]) -> DataFrame:
     """chunk_id, family, candidate, rung, score, clears, improves of each candidate of a chunk.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.embedding import provider, word_shapes
 from quern.functions.scratch import scratch_path
-from quern.operators import caches, tuning, workspace
+from quern.operators import caches, similarity, tuning, workspace
 from quern.plans.ledger_queries import _round
 from quern.sources import sinks
 from quern.sources.tables import table
@@ -36,6 +37,41 @@ def tuning_choice(spark: SparkSession, folder: str) -> DataFrame:
     return _round(out[0].unionByName(out[1]), 6, "score")
 
 
+#: model -> factors of the stand-in that embeds texts.
+SHAPES = {"plain": (7, 1), "first": (1, 11)}
+SIZES = [16, 48, 96]
+DIM = 16
+
+
+def _override_trials(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark texts ask, documents are chunks; two questions each belong to the chunk of id (item // 2 * 13) % documents."""
+    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asks = table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    targets = asks.join(F.broadcast(n)).select("question_id", (F.floor(F.col("question_id") / 2) * 13 % F.col("n")).alias("chunk_id"))  # one row
+    spaces = {}
+    for model, factors in SHAPES.items():
+        embed = provider(word_shapes(DIM, *factors), 128)
+        spaces[model] = (asks.select("question_id", embed("text").alias("vec")), chunks.select("chunk_id", embed("text").alias("vec")), embed)
+    trials = tuning.search_trials(chunks, targets, spaces, "plain", SIZES)
+    questions, vectors, _ = spaces["plain"]
+    gold = targets.withColumnRenamed("chunk_id", "gold_id")
+    before = similarity.gold_ranks(questions, vectors, gold).select("question_id", F.col("gold_rank").cast("int").alias("before_rank"))
+    q = F.col("question_id")
+    failing = F.array_compact(F.array(F.when(q % 2 == 0, "recall"), F.when(q % 3 == 0, "mrr"), F.when(q % 5 == 0, "ndcg")))
+    return trials, before.withColumn("failing", failing)
+
+
+def override_search(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of the chunks would be replaced by: the ladder of sizes and models, searched to its end."""
+    trials, targets = _override_trials(spark, folder)
+    return _round(tuning.chosen(tuning.candidates(trials, targets, BARS), 12, True), 6, "score")
+
+
+def override_trials(spark: SparkSession, folder: str) -> DataFrame:
+    return _override_trials(spark, folder)[0]
+
+
 def tuning_confirm(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     base = lines.select((F.col("l_partkey") % 300).alias("chunk_id"), F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").cast("string").alias("metric"), "l_suppkey", "l_discount", "l_tax")
@@ -111,7 +147,7 @@ def subset_documents(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tuning_candidates, tuning_choice, tuning_confirm, bars_reached, run_with_chunks, inserted_missing, accumulated, single_default,
+        tuning_candidates, tuning_choice, tuning_confirm, override_search, override_trials, bars_reached, run_with_chunks, inserted_missing, accumulated, single_default,
         replaced_partitions, filled_cache, subset_documents,
     )
 }
@@ -133,7 +169,61 @@ _CHOSEN = """
       select *, row_number() over (partition by chunk_id order by f, rung, candidate) as step from found) where step <= 7)
   where {stop}"""
 
+
+
+def _shape(model: str, words: str) -> str:
+    a, b = SHAPES[model]
+    return f"list_transform(range(0, {DIM}), lambda j: len(list_filter({words}, lambda w: (length(w) * {a} + case when w = '' then 0 else unicode(w) end * {b}) % {DIM} = j))::double)"
+
+
+_LADDER = tuning.ladder(SIZES, ["first"])
+_CUTS = " union all ".join(
+    f"""select chunk_id, {s}::int as size, array_to_string(w[i * {s - max(round(s * 0.1), 0)} + 1:i * {s - max(round(s * 0.1), 0)} + {s}], ' ') as text
+  from (select chunk_id, w, unnest(range(0, 1 + greatest(ceil((len(w) - {s}) / {s - max(round(s * 0.1), 0)}.0::double), 0)::bigint)) as i from parted)"""
+    for s in SIZES
+)
+_RANKS = " union all ".join(
+    f"""select p.chunk_id, '{f}' as family, '{c}' as candidate, {r} as rung, p.question_id,
+  (1 + (select count(*) from sims o where o.question_id = p.question_id and o.model = '{m or "plain"}' and o.chunk_id <> p.chunk_id
+     and (o.sim > p.sim or (o.sim = p.sim and o.chunk_id < p.chunk_id))))::int as rank
+  from best p where p.model = '{m or "plain"}' and p.size is not distinct from {s or "null"}"""
+    for f, c, r, s, m in _LADDER
+)
+_SEARCH = rf"""
+chunks as (select doc_id as chunk_id, text from documents),
+targets as (select item_id as question_id, text, (item_id // 2 * 13) % (select count(*) from documents) as chunk_id from benchmark),
+parted as (
+  select chunk_id, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') as w from chunks
+  where chunk_id in (select chunk_id from targets) and regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+pieces as (select chunk_id, null::int as size, text from chunks where chunk_id in (select chunk_id from targets) union all {_CUTS}),
+split as (select question_id as id, 0 as kind, string_split(text, ' ') as w from targets union all select chunk_id, 1, string_split(text, ' ') from chunks),
+vecs as ({" union all ".join(f"select id, kind, '{m}' as model, {_shape(m, 'w')} as vec from split" for m in SHAPES)}),
+sims as (
+  select q.id as question_id, c.id as chunk_id, q.model, round(coalesce(nullif(list_cosine_similarity(q.vec, c.vec), 'nan'::double), 0), 9) as sim
+  from vecs q join vecs c on q.kind = 0 and c.kind = 1 and q.model = c.model),
+cuts as ({" union all ".join(f"select chunk_id, size, '{m}' as model, {_shape(m, 'w')} as vec from (select chunk_id, size, string_split(text, ' ') as w from pieces)" for m in SHAPES)}),
+best as (
+  select t.question_id, t.chunk_id, c.size, c.model, max(round(coalesce(nullif(list_cosine_similarity(q.vec, c.vec), 'nan'::double), 0), 9)) as sim
+  from targets t join cuts c using (chunk_id) join vecs q on q.id = t.question_id and q.kind = 0 and q.model = c.model group by all),
+t as ({_RANKS})"""
+
 SQL = {
+    "override_trials": f"with {_SEARCH} select * from t",
+    "override_search": f"""
+with {_SEARCH},
+g as (
+  select t.question_id, (1 + (select count(*) from sims o where o.question_id = t.question_id and o.model = 'plain' and o.sim > s.sim and o.chunk_id <> t.chunk_id))::int as before
+  from targets t join sims s on s.question_id = t.question_id and s.chunk_id = t.chunk_id and s.model = 'plain'),
+o as (
+  select t.*, g.before, not (question_id % 2 = 0 and rank > 20) and not (question_id % 3 = 0 and (rank > 30 or 1.0::double / rank < 0.05::double))
+    and not (question_id % 5 = 0 and (rank > 25 or rank > before)) as ok from t join g using (question_id)),
+f as (
+  select chunk_id, family, candidate, rung, list_position(['size', 'model', 'size+model'], family) as simple, round(sum(1.0::double / rank), 9) as score,
+    round(sum(1.0::double / before), 9) as before, bool_and(ok) as clears from o group by all),
+s as (select *, row_number() over (partition by chunk_id order by simple, rung, candidate) as step from f qualify step <= 12),
+u as (select *, max(step) over (partition by chunk_id) as tried from s)
+select chunk_id, family, candidate, round(score, 6) as score, case when clears then 'clear' else 'improve' end as mode, tried::int as tried from u where clears or score > before
+qualify row_number() over (partition by chunk_id order by clears desc, score desc, simple, rung, candidate) = 1""",
     "tuning_candidates": f"""
 with {_FOUND}
 select chunk_id, family, candidate, rung, round(score, 6) as score, clears, score > before as improves from found""",

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators.similarity import matrix, unit
+
+#: Seeding draws about OVERSAMPLE * k points in each of ROUNDS rounds, by their distance to those drawn before.
+OVERSAMPLE, ROUNDS = 2, 4
 
 
 def seeded_uniforms(seed: int, n: int) -> list[float]:
@@ -70,48 +80,195 @@ def _unit(v: np.ndarray) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int = 50) -> list[list[float]]:
-    """k unit centroids. points: id long, vec array<double>.
-
-    Seeding draws each next centroid with chance proportional to the squared chord distance to those before it: a draw
-    is the largest weighted key of a hash of (seed, draw, id), one aggregate over all points. Each iteration is one
-    assignment and one vector sum by cluster; empty clusters take the worst-served point; it ends when centroids stay.
+@dataclass
+class Fit:
+    """One fit: unit centroids, the inertia of all points under them, iterations made; passes over the points, shared by all
+    fits made together."""
+
+    seed: int
+    centroids: list[list[float]]
+    inertia: float
+    iterations: int
+    passes: int
+
+
+Sets = list[np.ndarray]
+
+
+def _nearest(batch: pa.RecordBatch, sets: Sets) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, ids, unit vectors, nearest member, similarity to it) of a batch's points, for each set of unit vectors."""
+    ids, m = batch.column("id").to_numpy(), unit(matrix(batch.column("vec"), batch.num_rows))
+    for number, held in enumerate(sets):
+        if len(held) and len(m):
+            sims = np.round(m @ held.T, 12)
+            at = sims.argmax(axis=1)
+            yield number, ids, m, at, sims[np.arange(len(m)), at]
+
+
+def _uniform(ids: np.ndarray, seed: int, draw: int) -> np.ndarray:
+    """A number in (0, 1) for each id that depends on nothing else but seed and draw."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + draw * 0xD1B54A32D192ED03 + 1) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0**-54
+
+
+def _first(batches: Iterator[pa.RecordBatch], seeds: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of each seed, the task's point of the smallest number."""
+    best: dict[int, tuple] = {}
+    for batch in batches:
+        ids, m = batch.column("id").to_numpy(), matrix(batch.column("vec"), batch.num_rows)
+        for number, seed in enumerate(seeds if len(ids) else []):
+            u = _uniform(ids, seed, 0)
+            i = int(np.lexsort((ids, u))[0])
+            best[number] = min(best.get(number, (2.0,)), (u[i], int(ids[i]), m[i].tolist()))
+    rows = [(number, *found) for number, found in best.items()]
+    yield pa.RecordBatch.from_pylist([dict(zip(("fit", "u", "id", "vec"), r)) for r in rows], _DRAWN)
+
+
+_DRAWN = pa.schema([("fit", pa.int32()), ("u", pa.float64()), ("id", pa.int64()), ("vec", pa.list_(pa.float64()))])
+
+
+def _cost(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each set: the sum of squared distances, and how many points each member is nearest to."""
+    cost, counts = [0.0] * len(held.value), [np.zeros(len(s), np.int64) for s in held.value]
+    for batch in batches:
+        for number, _, _, at, sim in _nearest(batch, held.value):
+            cost[number] += float(np.maximum(2.0 - 2.0 * sim, 0.0).sum())
+            counts[number] += np.bincount(at, minlength=len(counts[number]))
+    yield pa.RecordBatch.from_pydict({"fit": pa.array(range(len(cost)), pa.int32()), "cost": cost, "counts": counts})
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], held: Broadcast, seeds: list[int], draw: int, scale: list[float]) -> Iterator[pa.RecordBatch]:
+    """The points that a round draws: with a chance of scale times the squared distance."""
+    for batch in batches:
+        for number, ids, m, _, sim in _nearest(batch, held.value):
+            u = _uniform(ids, seeds[number], draw)
+            some = np.flatnonzero(u < scale[number] * np.maximum(2.0 - 2.0 * sim, 0.0))
+            yield pa.RecordBatch.from_pylist([{"fit": number, "u": u[i], "id": int(ids[i]), "vec": m[i].tolist()} for i in some], _DRAWN)
+
+
+def _moves(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each set and member: sums of the unit vectors nearest to it, how many, their squared distances; of each set, as
+    member -1, the vector of the point served worst."""
+    made: dict[tuple[int, int], list] = {}
+    worst: dict[int, tuple] = {}
+    for batch in batches:
+        for number, ids, m, at, sim in _nearest(batch, held.value):
+            for c in np.unique(at):
+                own = at == c
+                row = made.setdefault((number, int(c)), [0, 0, 0.0])
+                row[0], row[1], row[2] = row[0] + m[own].sum(axis=0), row[1] + int(own.sum()), row[2] + float(np.maximum(2.0 - 2.0 * sim[own], 0.0).sum())
+            i = int(np.lexsort((ids, sim))[0])
+            worst[number] = min(worst.get(number, (3.0,)), (float(sim[i]), int(ids[i]), m[i].tolist()))
+    rows = [{"fit": f, "cluster": c, "sums": sums.tolist(), "n": n, "cost": cost, "id": 0} for (f, c), (sums, n, cost) in made.items()]
+    rows += [{"fit": f, "cluster": -1, "sums": vec, "n": 0, "cost": sim, "id": i} for f, (sim, i, vec) in worst.items()]
+    yield pa.RecordBatch.from_pylist(rows, _MOVED)
+
+
+_MOVED = pa.schema([("fit", pa.int32()), ("cluster", pa.int32()), ("sums", pa.list_(pa.float64())), ("n", pa.int64()), ("cost", pa.float64()), ("id", pa.int64())])
+
+
+def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the weighted candidates, by weighted seeding and some moves: what is drawn is small, at most a few times k."""
+    u = seeded_uniforms(seed, k)
+    chosen = [candidates[int(np.searchsorted(np.cumsum(weights), u[0] * weights.sum(), "right").clip(0, len(candidates) - 1))]]
+    near = np.full(len(candidates), -np.inf)
+    for x in u[1:]:
+        near = np.maximum(near, candidates @ chosen[-1])
+        mass = weights * np.maximum(2.0 - 2.0 * near, 0.0)
+        chosen.append(candidates[int(np.searchsorted(np.cumsum(mass), x * mass.sum(), "right").clip(0, len(candidates) - 1))])
+    centers = np.array(chosen)
+    for _ in range(10):
+        at = (candidates @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, at, candidates * weights[:, None])
+        centers = np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, unit(sums), centers)
+    return centers
+
+
+def fit_all(points: DataFrame, k: int, seeds: list[int], iterations: int = 50) -> list[Fit]:
+    """A fit of k centroids from each seed, all in the same passes over points (id long, vec array<double>).
+
+    Seeding is oversampled: each of ROUNDS rounds draws about OVERSAMPLE * k points with chances in proportion to their
+    squared distance from those drawn before, and the drawn are reduced to k by weights. So the number of passes depends
+    neither on k nor on how many fits there are. Each iteration is one pass: a task sums its points by fit and cluster; sums,
+    k vectors a fit, reach the driver. An empty cluster takes the point served worst; a fit ends when its centroids stay.
+    Chances follow from seed and id, so results do not depend on partitions.
     """
-    points = points.where("vec is not null").select("id", "vec").persist()
+    points = points.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).persist()
+    context, passes = points.sparkSession.sparkContext, 0
+
+    def run(task: Callable, layout: str) -> DataFrame:
+        nonlocal passes
+        passes += 1
+        return points.mapInArrow(task, layout)
+
     try:
-        if points.isEmpty() or k < 1:
-            return []
-
-        def drawn(draw: int, weight) -> list[float]:
-            u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(draw), "id"), 11).cast("double") + 0.5) / float(1 << 53)
-            key = F.log(u) / F.greatest(weight, F.lit(1e-12))
-            best = points_now.agg(F.max_by("vec", F.struct(key, -F.col("id"))).alias("v")).first()["v"]
-            return _unit(np.array(best, float))
-
-        points_now = points
-        centroids = [drawn(0, F.lit(1.0))]
-        while len(centroids) < k:
-            points_now = assigned(points, centroids)
-            centroids.append(drawn(len(centroids), 2.0 - 2.0 * F.col("sim")))
+        if k < 1 or points.isEmpty():
+            return [Fit(s, [], 0.0, 0, 0) for s in seeds]
+        drawn = run(partial(_first, seeds=seeds), "fit int, u double, id long, vec array<double>")
+        rows = drawn.groupBy("fit").agg(F.min_by("vec", F.struct("u", "id")).alias("vec")).collect()
+        sets = [unit(np.array([r["vec"]])) for r in sorted(rows, key=lambda r: r["fit"])]
+
+        def cost() -> tuple[list[float], Sets]:
+            made = run(partial(_cost, held=context.broadcast(sets)), "fit int, cost double, counts array<long>")
+            counts = [np.zeros(len(s), np.int64) for s in sets]
+            whole = [0.0] * len(sets)
+            places = made.select("fit", "cost", F.posexplode("counts").alias("at", "n")).groupBy("fit", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+            for r in places.collect():
+                counts[r["fit"]][r["at"]], whole[r["fit"]] = r["n"], r["cost"]
+            return whole, counts
+
+        for draw in range(1, ROUNDS + 1):
+            scale = [OVERSAMPLE * k / c if c > 1e-12 else 0.0 for c in cost()[0]]
+            task = partial(_drawn, held=context.broadcast(sets), seeds=seeds, draw=draw, scale=scale)
+            rows = run(task, "fit int, u double, id long, vec array<double>").orderBy("fit", "id").collect()
+            sets = [np.vstack([s, *[[r["vec"]] for r in rows if r["fit"] == f]]) for f, s in enumerate(sets)]
+        weights = cost()[1]
+        sets = [_reduced(s, w.astype(float), k, seed) for s, w, seed in zip(sets, weights, seeds)]
+        fits = [Fit(seed, s.tolist(), 0.0, 0, 0) for seed, s in zip(seeds, sets)]
+        going = list(range(len(seeds)))
         for _ in range(iterations):
-            now = assigned(points, centroids)
-            sums = _sums(now)
-            new = [_unit(sums[c]) if c in sums else None for c in range(k)]
-            missing = [c for c in range(k) if new[c] is None]
-            if missing:
-                worst = now.orderBy("sim", "id").limit(len(missing)).collect()
-                for c, r in zip(missing, worst):
-                    new[c] = _unit(np.array(r["vec"], float))
-            new = [v if v is not None else centroids[c] for c, v in enumerate(new)]
-            moved = np.abs(np.array(new) - np.array(centroids)).max()
-            centroids = new
-            if moved < 1e-9:
+            if not going:
                 break
-        return centroids
+            made = run(partial(_moves, held=context.broadcast([np.array(fits[f].centroids) for f in going])), "fit int, cluster int, sums array<double>, n long, cost double, id long")
+            going = _move(made, fits, going)
+        for fit in fits:
+            fit.passes = passes
+        return fits
     finally:
         points.unpersist()
 
 
+def _move(made: DataFrame, fits: list[Fit], going: list[int]) -> list[int]:
+    """Moves the centroids of the fits that go on; gives those that have not come to rest. Rests keep the inertia of their last pass."""
+    made = made.persist()
+    sums = made.where("cluster >= 0").select("fit", "cluster", F.posexplode("sums").alias("pos", "x")).groupBy("fit", "cluster", "pos").agg(F.sum("x").alias("x")).collect()
+    costs = {r["fit"]: r["cost"] for r in made.where("cluster >= 0").groupBy("fit").agg(F.sum("cost").alias("cost")).collect()}
+    worst = {r["fit"]: r["v"] for r in made.where("cluster < 0").groupBy("fit").agg(F.min_by("sums", F.struct("cost", "id")).alias("v")).collect()}
+    made.unpersist()
+    left = []
+    for place, f in enumerate(going):
+        fit, old = fits[f], np.array(fits[f].centroids)
+        new, full = np.zeros_like(old), np.zeros(len(old), bool)
+        for r in sums:
+            if r["fit"] == place:
+                new[r["cluster"], r["pos"]], full[r["cluster"]] = r["x"], True
+        new = np.where(full[:, None], np.round(unit(new), 12), old)
+        if not full.all():
+            new[int(np.flatnonzero(~full)[0])] = worst[place]
+        fit.inertia, fit.iterations, fit.centroids = costs[place], fit.iterations + 1, new.tolist()
+        if np.abs(new - old).max() >= 1e-9:
+            left.append(f)
+    return left
+
+
+def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int = 50) -> list[list[float]]:
+    """The k unit centroids of one fit."""
+    return fit_all(points, k, [seed], iterations)[0].centroids
+
+
 def topped_up(held: DataFrame, points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """id, cluster, sim of the points that have no cluster yet, by frozen centroids: what to append to held (id)."""
     new = points.join(held.select("id"), "id", "left_anti")
@@ -128,9 +285,35 @@ def best_of_restarts(points: DataFrame, k: int, seed: int, restarts: int = 3) ->
     k = min(k, points.where("vec is not null").limit(k).count())
     if k < 1:
         return []
-    fits = [fit_spherical_kmeans(points, k, s) for s in restart_seeds(seed, restarts)]
-    inertia = [silhouette(assigned(points.where("vec is not null"), c)).first()["inertia"] for c in fits]
-    return fits[int(np.argmin(inertia))]
+    return min(fit_all(points, k, restart_seeds(seed, restarts)), key=lambda f: f.inertia).centroids
+
+
+def restart_runs(points: DataFrame, k: int, seed: int, restarts: int = 3) -> DataFrame:
+    """run, id, cluster, sim, second_sim of every point under each restart, numbered from 0.
+
+    Fewer points than k are an error, as a run must have k clusters. All fits share their passes, and so do the runs' rows.
+    """
+    known = points.where("vec is not null")
+    if known.limit(k).count() < k:
+        raise ValueError(f"{k} clusters need as many points")
+    fits = fit_all(known, k, restart_seeds(seed, restarts))
+    return _assigned_to_all(known.select("id", "vec"), [np.array(f.centroids) for f in fits])
+
+
+def _assigned_to_all(points: DataFrame, sets: Sets) -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, m, at, sim in _nearest(batch, sets):
+                sims = m @ sets[number].T
+                sims[np.arange(len(m)), at] = -np.inf
+                second = np.round(sims.max(axis=1), 12)
+                yield pa.RecordBatch.from_pydict({
+                    "run": pa.array(np.full(len(m), number), pa.int32()), "id": ids, "cluster": at.astype(np.int32), "sim": sim,
+                    "second_sim": pa.array(second, mask=~np.isfinite(second)),
+                })
+
+    rows = points.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(task, "run int, id long, cluster int, sim double, second_sim double")
 
 
 def chunks_per_bucket(k: int, chunk_size: int, tokens: int = 50_000) -> int:
@@ -143,11 +326,20 @@ def cluster_stats(points: DataFrame) -> DataFrame:
     return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("sim").alias("cohesion"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """One row: the mean of (b - a) / max(a, b) over distances to the own and the nearest other centroid; 0 for one cluster."""
+def silhouette_of(points: DataFrame, *by: str) -> DataFrame:
+    """by, points, cohesion, silhouette, inertia: the mean of (b - a) / max(a, b) over distances to the own and the nearest other
+    centroid, 0 for one cluster, the mean similarity and the sum of squared distances. points: by, sim, second_sim."""
     a, b = 1.0 - F.col("sim"), 1.0 - F.col("second_sim")
     each = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
-    return points.agg(F.coalesce(F.avg(each), F.lit(0.0)).alias("silhouette"), F.sum(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("sim"))).alias("inertia"))
+    return points.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("points"), F.avg("sim").alias("cohesion"), F.coalesce(F.avg(each), F.lit(0.0)).alias("silhouette"),
+        F.sum(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("sim"))).alias("inertia"),
+    )
+
+
+def silhouette(points: DataFrame) -> DataFrame:
+    """One row: silhouette and inertia of all points."""
+    return silhouette_of(points).select("silhouette", "inertia")
 
 
 def representatives(points: DataFrame, n: int) -> DataFrame:

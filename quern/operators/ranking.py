@@ -80,6 +80,36 @@ def fused(base: DataFrame, pieces: DataFrame, rivals: DataFrame, k: int, mode: s
     return both.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("question_id", "chunk_id", "score_rank", "rank")
 
 
+def lane_cutoffs(rivals: DataFrame, k: int) -> DataFrame:
+    """question_id, model, cutoff: the similarity that a piece must pass in a model's space to come before the k-th rival there;
+    null where there are fewer. rivals: question_id, model, chunk_id, sim."""
+    order = Window.partitionBy("question_id", "model").orderBy(F.desc("sim"), "chunk_id")
+    placed = rivals.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return placed.groupBy("question_id", "model").agg(F.max(F.when(F.col("_r") == k, F.col("sim"))).alias("cutoff"))
+
+
+def fused_lanes(base: DataFrame, pieces: DataFrame, rivals: DataFrame, k: int, own: str = "") -> DataFrame:
+    """question_id, chunk_id, model, score_rank, rank, cutoff: the k first of one order over lanes of several vector spaces.
+
+    base: question_id, chunk_id, sim of chunks without override, in the space `own`. pieces: question_id, chunk_id, model, sim of
+    each piece of an overridden chunk, in the space of its model; they collapse to the chunk's best. rivals: question_id, model,
+    chunk_id, sim of the chunks without override in each of those spaces. Similarities of two spaces are never compared: a
+    chunk takes the place half a rank above its first weaker rival in its own space, and places decide. Of equal places the
+    base lane comes first, then models by name, then similarity and id. cutoff is that of the chunk's lane (`lane_cutoffs`).
+    """
+    keys = ["question_id", "model"]
+    best = pieces.groupBy(*keys, "chunk_id").agg(F.max("sim").alias("sim"))
+    stronger = best.join(rivals.select(*keys, F.col("sim").alias("rival")), keys, "left")
+    placed = stronger.groupBy(*keys, "chunk_id", "sim").agg((F.count_if(F.col("rival") > F.col("sim")) + 0.5).alias("score_rank"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "chunk_id")
+    lane = base.select("question_id", F.lit(own).alias("model"), "chunk_id", "sim", F.row_number().over(order).cast("double").alias("score_rank"))
+    final = Window.partitionBy("question_id").orderBy("score_rank", (F.col("model") != own), "model", F.desc("sim"), "chunk_id")
+    merged = lane.unionByName(placed).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    own_rivals = base.select("question_id", F.lit(own).alias("model"), "chunk_id", "sim")
+    cutoffs = lane_cutoffs(rivals.select(*keys, "chunk_id", "sim").unionByName(own_rivals), k)
+    return merged.join(cutoffs, keys, "left").select("question_id", "chunk_id", "model", "score_rank", "rank", "cutoff")
+
+
 def rates(rows: DataFrame, held_out: bool) -> DataFrame:
     """One row: scored, pending, hits, recall, mrr, ndcg, ndcg_covered of one side of the holdout split.
 

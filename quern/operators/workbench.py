@@ -46,18 +46,6 @@ def token_offsets(words: Column) -> Column:
     return summed(F.transform(words, F.length))
 
 
-def first_token(offsets: Column, char: Column) -> Column:
-    """The first token that begins at or after a character: how many offsets are below it, the end's not counted."""
-    starts = F.slice(offsets, F.lit(1), F.size(offsets) - 1)
-    return F.size(F.filter(starts, lambda x: x < char))
-
-
-def token_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, position, token_start, token_end of spans of characters. docs: key, offsets; spans: key, position, start, end."""
-    rows = spans.join(docs.select(key, "offsets"), key)
-    return rows.select(key, "position", first_token(F.col("offsets"), F.col("start")).alias("token_start"), first_token(F.col("offsets"), F.col("end")).alias("token_end"))
-
-
 def edit_windows(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, position, own_start, own_end: the words of a chunk that neither neighbour covers."""
     w = Window.partitionBy(key).orderBy("position")

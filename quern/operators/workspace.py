@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,6 +67,56 @@ def next_offset(total: Column, offset: int, limit: int) -> Column:
     return F.when(total > end, F.lit(end))
 
 
+def beyond(keys: list[str], after: list | None) -> Column:
+    """Rows after the key `after` in ascending order, nulls first; all rows without one. The first key is compared alone as well,
+    so that a scan can leave out files and row groups below it."""
+    if after is None:
+        return F.lit(True)
+    later = F.lit(False)
+    for key, last in reversed(list(zip(keys, after, strict=True))):
+        above = F.col(key).isNotNull() if last is None else F.col(key) > F.lit(last)
+        later = above | (F.col(key).eqNullSafe(F.lit(last)) & later)
+    return later if after[0] is None else (F.col(keys[0]) >= F.lit(after[0])) & later
+
+
+def keyset_page(rows: DataFrame, keys: list[str], after: list | None, limit: int) -> DataFrame:
+    """The first `limit` rows after the key `after`. keys tell rows apart, so no row is met twice or left out, whatever is
+    inserted before the cursor meanwhile."""
+    return rows.where(beyond(keys, after)).orderBy(*[F.asc_nulls_first(k) for k in keys]).limit(max(1, limit))
+
+
+def walk_pages(rows: DataFrame, keys: list[str], limit: int, path: str, most: int | None = None) -> tuple[DataFrame, bool]:
+    """Writes pages of rows under path, one after another, and reads back what is there: (rows with page, whether all are done).
+
+    A page and its cursor, the key of its last row, are one write. So a walk that stopped goes on after the last whole page,
+    and one that is done does nothing. most: pages of this call.
+    """
+    spark, made = rows.sparkSession, 0
+
+    def written() -> DataFrame:
+        return spark.read.schema(rows.schema).parquet(f"{path}/*").withColumn("page", F.regexp_extract("_metadata.file_path", r"page-(\d+)/", 1).cast("int"))
+
+    try:
+        last = written().agg(F.max("page").alias("page")).first()["page"]
+    except AnalysisException:  # nothing is there yet
+        last = None
+    number, cursor, done = 0, None, False
+    if last is not None:
+        page = written().where(F.col("page") == last)
+        ends = page.orderBy(*[F.desc_nulls_last(k) for k in keys]).limit(1).collect()
+        number, cursor, done = last + 1, [ends[0][k] for k in keys], page.count() < limit
+    while not done and (most is None or made < most):
+        page = keyset_page(rows, keys, cursor, limit).persist()
+        ends = page.orderBy(*[F.desc_nulls_last(k) for k in keys]).limit(1).collect()
+        if ends:
+            page.coalesce(1).write.mode("overwrite").parquet(f"{path}/page-{number}")
+            cursor = [ends[0][k] for k in keys]
+        done = page.count() < limit
+        page.unpersist()
+        number, made = number + 1, made + 1
+    return (written() if number and (last is not None or cursor is not None) else rows.limit(0).withColumn("page", F.lit(0))), done
+
+
 def failing_metrics(
     hit: Column, rr: Column, ndcg: Column, bars: dict[str, float], stale: Column | None = None, ignored: Column | None = None
 ) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import caches, chunking, clustering, similarity, workbench, workspace
+from quern.operators import caches, chunking, clustering, similarity, subwords, workbench, workspace
 from quern.plans.retrieval_queries import _CENTROIDS, PAIRS, _clusters, sides
 from quern.sources.tables import table
 
@@ -25,12 +25,12 @@ def token_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", workbench.token_offsets(words).alias("offsets"), F.length(F.array_join(words, " ")).alias("n"))
     third = F.floor(F.col("n") / 3).cast("int")
     spans = docs.select("doc_id", F.inline(F.array(F.struct(F.lit(0).alias("position"), third.alias("start"), (third * 2).alias("end")), F.struct(F.lit(1).alias("position"), (third * 2).alias("start"), F.col("n").alias("end")))))
-    return workbench.token_spans(docs.drop("n"), spans)
+    return subwords.token_spans(docs.drop("n"), spans)
 
 
 def pages_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
     """The second and the last page of orders whose status is null for some, nulls last."""
-    rows = table(spark, folder, "orders").where("o_custkey % 25 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
+    rows = table(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"))
     out = None
     for offset, limit in ((20, 20), (10_000_000, 5), (-4, 0)):
         page = workspace.page(rows, [F.asc_nulls_last("status"), "o_orderkey"], offset, limit)
@@ -84,7 +84,7 @@ select doc_id, position, count(*) filter (where start < a)::int as token_start,
 from r join s using (doc_id) group by doc_id, position""",
     "pages_with_nulls": """
 with r as (
-  select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderstatus end as status, count(*) over () as total from orders where o_custkey % 25 = 0),
+  select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderstatus end as status, count(*) over () as total from orders),
 p as (select *, row_number() over (order by status nulls last, o_orderkey) as i from r)
 select o_orderkey, status, total, 20 as page, case when total > 40 then 40 end as next from p where i between 21 and 40
 union all select o_orderkey, status, total, -4, case when total > 1 then 1 end from p where i = 1""",

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.plans import (
-    calibration_queries, catalog_queries, detail_queries, evaluation_queries, ledger_queries, retrieval_queries, text_queries, tuning_queries,
-    workbench_queries,
+    calibration_queries, catalog_queries, detail_queries, evaluation_queries, ledger_queries, retrieval_queries, storage_queries, text_queries,
+    tuning_queries, workbench_queries,
 )
 
-GROUPS = (retrieval_queries, calibration_queries, text_queries, ledger_queries, workbench_queries, evaluation_queries, catalog_queries, tuning_queries, detail_queries)
+GROUPS = (retrieval_queries, calibration_queries, text_queries, ledger_queries, workbench_queries, evaluation_queries, catalog_queries, tuning_queries, detail_queries, storage_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

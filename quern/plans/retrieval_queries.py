@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quern.operators import clustering, ranking, similarity
+from quern.functions.scratch import scratch_path
+from quern.operators import clustering, invertedfile, ranking, similarity
 from quern.sources.tables import table
 
 EVERY = 25
@@ -165,19 +167,52 @@ def drift_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.drift(marked).withColumn("drift", F.round("drift", 6))
 
 
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
 def kmeans_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes and cohesion of five fitted clusters."""
-    points = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    points = _points(spark, folder)
     centroids = clustering.fit_spherical_kmeans(points, 5, 1)
     return clustering.cluster_stats(clustering.assigned(points, centroids))
 
 
+def kmeans_restarts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three restarts, compared by cohesion, inertia and silhouette; best is the one of least inertia."""
+    runs = clustering.restart_runs(_points(spark, folder), 5, 7)
+    each = clustering.silhouette_of(runs, "run")
+    best = Window.orderBy("inertia", "run")  # one row a restart
+    return each.withColumn("best", F.row_number().over(best) == 1)
+
+
+def _index(spark: SparkSession, folder: str) -> tuple[invertedfile.Index, DataFrame, DataFrame]:
+    """An index of all vectors; every 20th row asks, and finds itself among others."""
+    df = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    asks = df.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    return invertedfile.build(df, scratch_path(spark, "inverted-file")), asks, df
+
+
+def inverted_file_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every 20th vector: two lists are probed, then those that bounds do not rule out."""
+    index, asks, _ = _index(spark, folder)
+    return invertedfile.search(index, asks, 10, 2, exact=True).withColumn("sim", F.round(F.col("sim") + 1e-10, 6))
+
+
+def inverted_file_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs, hits and recall of a search whose probes were chosen for a recall of 0.95 on every 60th vector."""
+    index, asks, chunks = _index(spark, folder)
+    probes = invertedfile.probes_for(index, asks.where("question_id % 60 = 0"), chunks, 10, 0.95)
+    found = invertedfile.search(index, asks, 10, probes)
+    return invertedfile.recall_of(found, similarity.top_k(asks, chunks, 10)).withColumns({"lists": F.lit(len(index.centroids)), "probes": F.lit(probes)})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         retrieval_quality, vector_topk, vector_topk_excluding, substituted_rank, explain_between, gold_rank_recall, eval_ndcg,
         rank_consensus, leave_one_out_ideal, fusion_rank, nearest_centroid, cluster_stats, silhouette,
-        cluster_representatives, drift_ratio, kmeans_fit,
+        cluster_representatives, drift_ratio, kmeans_fit, kmeans_restarts, inverted_file_exact, inverted_file_recall,
     )
 }
 
@@ -207,6 +242,12 @@ assigned as (
   from sims group by id)"""
 
 SQL = {
+    "inverted_file_exact": """
+with p as (
+  select q.vec_id as question_id, c.vec_id as chunk_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as sim
+  from embeddings q join embeddings c on q.vec_id % 20 = 0)
+select question_id, chunk_id, round(sim + 1e-10, 6) as sim, (row_number() over (partition by question_id order by sim desc, chunk_id))::int as rank
+from p qualify rank <= 10""",
     "retrieval_quality": f"""
 with {PAIRS},
 each as (

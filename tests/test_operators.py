@@ -186,6 +186,20 @@ def test_collision_floor_over_blocks(spark, monkeypatch):
     assert (got["distinct_max"], got["same_min"]) == pytest.approx((max(sims[False]), min(sims[True])), abs=2e-9)
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_distinct_maximum_leaves_blocks_out(spark, monkeypatch, block):
+    """Tight groups of near vectors: most pairs of blocks are ruled out, and the maximum is still exact."""
+    monkeypatch.setattr(calibration, "BLOCK", block)
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(8, 12))
+    rows = [(i, (centers[i % 8] + r.normal(scale=0.01, size=12)).tolist(), [f"a{i}"] if i % 3 else [f"a{i % 40}", "x"]) for i in range(600)]
+    found, computed, total = calibration.distinct_max(spark.createDataFrame(rows, "question_id long, vec array<double>, answers array<string>"))
+    units = np.array([x for _, x, _ in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    best = max(float(units[i] @ units[j]) for i in range(600) for j in range(i) if not set(rows[i][2]) & set(rows[j][2]))
+    assert found == pytest.approx(best, abs=2e-9) and computed < total / 3
+
+
 def test_ndcg_without_retrieval(spark):
     ideal = spark.createDataFrame([("p", "a", 1), ("q", "a", 1)], "question_id string, chunk_id string, rank int")
     got = spark.createDataFrame([("q", "a", 1), ("r", "a", 1)], "question_id string, chunk_id string, rank int")

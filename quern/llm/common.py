@@ -33,7 +33,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the input has fewer splits than cores (a single small file)."""
+    """Rows dealt over all cores where the input has fewer splits than cores (a single small file); what follows is a Python step,
+    so the executors get this package."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

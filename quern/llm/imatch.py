@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import known_ids, restored, shuffle_partitions, spread, table, texts_of
+from quern.llm.common import PartCache, cut, known_ids, restored, shuffle_partitions, spread, table, texts_of
 
 #: ASCII marks and white space part terms.
 MARKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
@@ -43,38 +43,57 @@ def _document_frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
     yield counts()
 
 
-def term_lexicon(docs: DataFrame, low: float, high: float) -> list[bytes]:
-    """Terms whose inverse document frequency ln(N / n) lies in [low, high], in byte order.
+#: So many terms of 8 bytes are sent to every task at most.
+MOST_TERMS = 1 << 24
+
+
+def term_hash(term: bytes) -> int:
+    """XXH64 of a term, as Spark makes it."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(term, 42)
+
+
+def term_lexicon(docs: DataFrame, low: float, high: float) -> np.ndarray:
+    """Hashes of the terms whose inverse document frequency ln(N / n) lies in [low, high], ascending.
 
     Counted over every row. A term of the band is in at least N / e^high documents, so the lexicon holds at most e^high
-    times the mean number of distinct terms of a document, however large the corpus: for high = 7 and 300 terms, 330,000.
+    times the mean number of distinct terms of a document, however large the corpus: for high = 7 and 300 terms, 330,000. They
+    are counted before they are sent; a lexicon of more than MOST_TERMS, as only books could make, asks for a lower `high`.
     """
     n = docs.count()
     found = docs.mapInPandas(_document_frequencies, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    band = found.where((F.col("n") >= n * exp(-high)) & (F.col("n") <= n * exp(-low)))
-    return sorted(bytes(r["term"]) for r in band.select("term").toLocalIterator())
+    band = cut(found.where((F.col("n") >= n * exp(-high)) & (F.col("n") <= n * exp(-low))).select(F.xxhash64("term").alias("h")).distinct())
+    if band.count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms between {low} and {high}: lower the upper end")
+    return np.sort(band.toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def _membership(lexicon: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each term: a 64-bit hash, and which sub-lexicons hold it."""
-    digests = [hashlib.shake_128(t).digest(8 + 2 * N_SETS) for t in lexicon]
-    raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8 + 2 * N_SETS)
-    chance = np.repeat(CHANCES, SETS)
-    return raw[:, :8].copy().view("<u8").ravel(), raw[:, 8:].copy().view("<u2") % chance == 0
+def _digest(term: bytes) -> bytes:
+    """A term's 64-bit hash, and a number for each sub-lexicon."""
+    return hashlib.shake_128(term).digest(8 + 2 * N_SETS)
 
 
 class Fingerprinter:
-    def __init__(self, lexicon: list[bytes]):
-        self.place = {t: i for i, t in enumerate(lexicon)}
-        self.hashes, self.member = _membership(lexicon)
+    """lexicon: ascending hashes of its terms."""
+
+    def __init__(self, lexicon: np.ndarray):
+        self.lexicon = lexicon
+        self.known = PartCache(self._known)
+
+    def _known(self, term: bytes) -> bytes | None:
+        """The digest of a term of the lexicon."""
+        h = np.uint64(term_hash(term))
+        at = int(np.searchsorted(self.lexicon, h))
+        return _digest(term) if at < len(self.lexicon) and self.lexicon[at] == h else None
 
     def __call__(self, text: str) -> tuple:
         """A part for each sub-lexicon, '' where it holds none of the terms; a text of which none holds a term hashes all."""
-        found = terms(text)
-        at = np.array(sorted(self.place[t] for t in found & self.place.keys()), np.int64)
-        hashes, member = self.hashes[at], self.member[at]
+        found = sorted(terms(text))
+        raw = np.frombuffer(b"".join([d for d in map(self.known.__getitem__, found) if d]), np.uint8).reshape(-1, 8 + 2 * N_SETS)
+        hashes, member = raw[:, :8], raw[:, 8:].copy().view("<u2") % np.repeat(CHANCES, SETS) == 0
         if not member.any():
-            whole = hashlib.blake2b(b"\n".join(sorted(found)), digest_size=8).hexdigest()
+            whole = hashlib.blake2b(b"\n".join(found), digest_size=8).hexdigest()
             return (f"all:{whole}",)
         return tuple(
             hashlib.blake2b(hashes[own].tobytes(), digest_size=4).hexdigest() if own.any() else "" for own in member.T

@@ -141,6 +141,16 @@ def pack(
     return restored(ranked.mapInPandas(partial(_assign, runs=held), PIECES + ", sequence_id long, offset long"))
 
 
+#: Capacities of `packing_capacities`: pieces of up to PIECE tokens, so many a sequence, and a cost that two of the longest exceed.
+PIECE, DOCUMENTS, ATTENTION = 1024, 6, 1_250_000
+
+
+def packing_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences where tokens, documents and attention cost bind, each in some of them."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(token_pieces(docs, vocabulary_path("byte_bpe_50k.json"), 0, PIECE), 2048, DOCUMENTS, ATTENTION)
+
+
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack(token_pieces(docs, vocabulary_path("byte_bpe_50k.json"), 0, 2048), 2048)

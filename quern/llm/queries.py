@@ -11,6 +11,7 @@ MODULES = {
     "op6_imatch": "imatch",
     "op8_tree_bpe": "bpe",
     "op1_best_fit": "packing",
+    "packing_capacities": "packing",
     "op3_elias_fano": "tokenfile",
     "op9_simhash_gray": "simhash",
     "op10_va_file": "vafile",

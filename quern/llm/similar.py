@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut, fresh, known_ids, restored, shuffle_partitions, spread, texts_of
 from quern.llm.components import least_of, star_roots
+from quern.llm.regions import Region
 from quern.llm.simhash import _mix, gray_rank, merge, shingle_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
@@ -36,6 +37,8 @@ MEAN_GROUP, LARGEST = 128, 4096
 BLOCK, ROW, COPIES = 1 << 21, 512, 256
 #: Stands for sets that share their block with others.
 MIXED = -(1 << 63)
+#: Sets of fewer shingles are compared exactly with all that may be near them: their sketches tie in too many bits.
+SHORT = 20
 #: So many names of texts, of 40 bytes, are sent to every task at most.
 MAX_BROADCAST = 200_000
 
@@ -63,7 +66,7 @@ def _sketches(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFra
     for f in frames:
         found = [np.unique(shingle_hashes(t, words)) for t in texts_of(f["text"])]
         names = np.array([_name(h) for h in found], np.int64)
-        made = {"name": names, "sketch": [sketch(h) for h in found], "n": [len(h) for h in found]}
+        made = {"name": names, "sketch": [sketch(h) for h in found], "n": [len(h) for h in found], "whole": [h.tobytes() if len(h) < SHORT else None for h in found]}
         yield f[["doc_id", "_no_id", "tie"]].assign(**made)
 
 
@@ -241,8 +244,37 @@ def _block_tasks(members: DataFrame, similarity: float) -> DataFrame:
     return first.unionByName(second).join(placed, [*keys, "salt"]).select("task", "side", "name", "core", "n")
 
 
-def _connected(found: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the names that are alike by their shingles, directly or through others. found: a, b, sure.
+def _first_shingles(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """A row for each of a set's first shingles: of two sets as alike as that, the first n - ceil(similarity n) + 1 of either share one."""
+    for f in frames:
+        sets = [np.frombuffer(x, np.uint64) for x in f["whole"]]
+        first = [s[: len(s) - ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in first])
+        path = _mix(np.concatenate([*first, np.empty(0, np.uint64)])).view(np.int64)
+        yield pd.DataFrame({"path": path, "name": f["name"].to_numpy()[at], "whole": f["whole"].to_numpy()[at]})
+
+
+def _short_pairs(group: pd.DataFrame, percent: float) -> pd.DataFrame:
+    """Links of the sets that share a first shingle and enough of the others, as stars."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for _, g in group.drop_duplicates(["path", "name"]).groupby("path", sort=False):
+        if len(g) > 1:
+            region = Region([np.frombuffer(x, np.uint64) for x in g["whole"]], percent)
+            region.join(np.arange(len(g)))
+            a, b = [*a, g["name"].to_numpy()], [*b, least_of(g["name"].to_numpy(), region.roots)]
+    found = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return found[found["a"] != found["b"]]
+
+
+def _short_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all sets of fewer than SHORT shingles that are alike. classes: name, whole."""
+    shared = _in_parts(classes.where("n > 0").select("name", "whole").mapInPandas(partial(_first_shingles, similarity=similarity), "path long, name long, whole binary"))
+    met = shared.withColumn("lot", F.pmod("path", F.lit(shuffle_partitions(classes.sparkSession)))).groupBy("lot")
+    return cut(met.applyInPandas(lambda g: _short_pairs(g, similarity * 100), "a long, b long").distinct())
+
+
+def _connected(found: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float, known: DataFrame) -> DataFrame:
+    """(node, root) of the names that are alike by their shingles, directly or through others. found: a, b, sure; known: links a, b.
 
     Links found join names to candidate groups. The sets of a group that fits in one block are compared in one task.
     """
@@ -254,10 +286,10 @@ def _connected(found: DataFrame, classes: DataFrame, rows: DataFrame, words: int
     total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
     single = sets.select(F.col("lot").alias("task"), F.lit(0).alias("side"), "name", F.col("name").alias("core"), "n", "shingles")
     if (most or 0) <= BLOCK:
-        return star_roots(_dealt(single, similarity, total or 0))
+        return star_roots(_dealt(single, similarity, total or 0).unionByName(known))
     large = weights.where(F.col("weight") > BLOCK).select("lot")
     agreed = _dealt(single.join(large, F.col("task") == F.col("lot"), "left_anti"), similarity, total)
-    return star_roots(agreed.unionByName(_in_blocks(sets.join(large, "lot", "left_semi"), found, similarity)))
+    return star_roots(agreed.unionByName(known).unionByName(_in_blocks(sets.join(large, "lot", "left_semi"), found, similarity)))
 
 
 def _in_blocks(sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -279,10 +311,10 @@ def _in_blocks(sets: DataFrame, found: DataFrame, similarity: float) -> DataFram
 
 def _grouped(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, tie, name) of each row, (name, root) of each name, (root, keeper) of each root. rows: doc_id, text, tie."""
-    layout = "doc_id long, _no_id boolean, tie long, name long, sketch binary, n long"
+    layout = "doc_id long, _no_id boolean, tie long, name long, sketch binary, n long, whole binary"
     known = spread(rows).select(*known_ids("doc_id"), "tie", "text")
     sketched = cut(restored(known.mapInPandas(partial(_sketches, words=words), layout)))
-    classes = cut(sketched.groupBy("name", "sketch", "n").agg(F.min(F.struct("doc_id", "tie")).alias("keeper")))
+    classes = cut(sketched.groupBy("name", "sketch", "n", "whole").agg(F.min(F.struct("doc_id", "tie")).alias("keeper")))
     count = classes.count()
     bits = min(20, max(8, ceil(log2(max(count, 1) / MEAN_GROUP))))
     n_bands = bands(similarity, bits, RECALL)
@@ -294,7 +326,7 @@ def _grouped(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     by_lot = groups.withColumn("lot", F.pmod("path", F.lit(lots))).groupBy("lot")
     found = by_lot.applyInPandas(lambda g: _links(g, similarity), "a long, b long, sure boolean")
     found = found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
-    roots = _connected(cut(found), classes, rows, words, similarity)
+    roots = _connected(cut(found), classes, rows, words, similarity, _short_links(classes.where("whole is not null"), similarity))
     named = classes.select("name", "keeper").join(roots, F.col("name") == F.col("node"), "left")
     named = cut(named.select("name", "keeper", F.coalesce("root", "name").alias("root")))
     keepers = named.groupBy("root").agg(F.min("keeper").alias("keeper"))

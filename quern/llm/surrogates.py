@@ -92,8 +92,24 @@ _NAME = re.compile(
     rf"\b(?P<given>{'|'.join(sorted(KIND_OF, key=len, reverse=True))}) (?:{_WORD}\. )?(?:(?:{PARTICLES.replace(' ', '|')}) )*(?P<family>{_CAPITAL})"
     rf"|\b(?P<title>{'|'.join(TITLES.split())})\.? (?:(?:{PARTICLES.replace(' ', '|')}) )*(?P<called>{_CAPITAL})"
 )
-#: A word that the names' pattern begins with, wherever it allows one: what lacks it holds no name.
+#: A word that the names' pattern begins with, wherever it allows one: what lacks it holds no name of that kind.
 _NAME_WORDS = KIND_OF.keys() | set(TITLES.split())
+#: Words after which a person is named, in lower case, and forms of address of scripts whose letters have no case.
+CONTEXTS = (
+    "my name is", "name:", "full name:", "signed by", "signed:", "contact person:", "attn:", "patient:", "mein name ist", "ich heiße", "name ist", "je m'appelle", "mon nom est", "nom:",
+    "me llamo", "mi nombre es", "nombre:", "меня зовут", "имя:", "г-н", "г-жа", "με λένε", "όνομα:", "κύριος", "κυρία", "我叫", "我的名字是", "姓名:", "姓名：", "اسمي", "السيد", "السيدة", "मेरा नाम", "श्री", "श्रीमती",
+)
+#: A name by its shape: two to four words of letters that all begin with a capital, with initials and particles among them; of
+#: letters without case, one or two words in Arabic, one to three in Devanagari, two to four signs in Han.
+_SHAPED = rf"(?:{_CAPITAL})(?: {_WORD}\.)?(?: (?:{PARTICLES.replace(' ', '|')}))*(?: (?:{_CAPITAL})){{1,3}}"
+_UNCASED = r"[\u0620-\u064A\u0671-\u06D3]{2,}(?: [\u0620-\u064A\u0671-\u06D3]{2,})?|[\u0900-\u0963]{2,}(?: [\u0900-\u0963]{2,}){0,2}|[\u4E00-\u9FFF]{2,4}"
+#: A label such as "name:" calls nobody where a word stands right before it ("file name:"); Han has no spaces before its words.
+_LABELS = [c for c in CONTEXTS if c[-1] in ":：" and " " not in c]
+_EDGES = (("", [c for c in CONTEXTS if "\u4e00" <= c[0] <= "\u9fff"]), (r"(?<![^\W_])(?<![^\W_] )", _LABELS), (r"(?<![^\W_])", [c for c in CONTEXTS if c not in _LABELS]))
+_CONTEXT = "|".join(edge + re.escape(c) for edge, group in _EDGES for c in sorted(group, key=len, reverse=True))
+_CALLED = re.compile(rf"(?:{_CONTEXT})[ \t]*(?P<who>(?-i:{_UNCASED}|{_SHAPED}))", re.IGNORECASE)
+#: Particles, and words that end a name of letters without case.
+_SMALL = {*PARTICLES.split(), "है", "हूँ", "और", "و"}
 _PARTS = re.compile(r"\w+")
 
 Value = tuple[str, str]  # a type and the value's canonical form
@@ -230,11 +246,30 @@ def reshaped(kind: str, text: str, new: str) -> str:
     return new
 
 
+def _named(text: str) -> dict[str, str]:
+    """Parts of names that stand in the text in full, and their types: by listed names and forms of address, and by context and
+    shape, which tell neither the gender nor which part is the family's."""
+    parts: dict[str, str] = {}
+    if not _NAME_WORDS.isdisjoint(_PARTS.findall(text)):
+        for m in _NAME.finditer(text):
+            if m["given"]:
+                parts[m["given"]] = "given " + KIND_OF[m["given"]]
+            parts.setdefault(m["family"] or m["called"], "family")
+    low = text.lower()
+    if any(c in low for c in CONTEXTS):
+        for m in _CALLED.finditer(text):
+            for word in m["who"].split(" "):
+                if len(word) > 1 and not word.endswith(".") and word not in _SMALL:
+                    parts.setdefault(word, "given " + KIND_OF[word] if word in KIND_OF else "family")
+    return parts
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value) of each entity, in order and without overlap.
 
-    A run of 13 to 19 digits is a card only if its check digit holds. Names of persons are a listed given name and a capitalised family name, or a title and a family name; once a text has
-    such a name, its parts count wherever they stand alone in that text.
+    A run of 13 to 19 digits is a card only if its check digit holds. Names of persons are a listed given name and a capitalised
+    family name, a title and a family name, or what has the shape of a name after words that call somebody by name; once a
+    text has such a name, its parts count wherever they stand alone in that text.
     """
     found = []
     if _MARK.search(text):
@@ -242,15 +277,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             value = canonical(m.lastgroup, m[0])
             if m.lastgroup != "card" or _luhn(value):
                 found.append((m.start(), m.end(), m.lastgroup, value))
-    if not _NAME_WORDS.isdisjoint(_PARTS.findall(text)):
-        parts: dict[str, str] = {}
-        for m in _NAME.finditer(text):
-            if m["given"]:
-                parts[m["given"]] = "given " + KIND_OF[m["given"]]
-            parts.setdefault(m["family"] or m["called"], "family")
-        if parts:
-            alone = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b")
-            found += [(*m.span(), parts[m[0]], m[0]) for m in alone.finditer(text)]
+    parts = _named(text)
+    if parts:
+        alone = re.compile(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?![^\W_])")
+        found += [(*m.span(), parts[m[0]], m[0]) for m in alone.finditer(text)]
+        for word in parts:  # signs that no space parts from others
+            if "\u4e00" <= word[0] <= "\u9fff":
+                found += [(m.start(), m.end(), parts[word], word) for m in re.finditer(re.escape(word), text)]
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found):
         if not out or x[0] >= out[-1][1]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from oracle import same
 
-from quern.llm import jaccard
+from quern.llm import jaccard, regions
 
 SPELL = [f"w{i}" for i in range(4000)]
 CLASH = "name string, region string, n string, root string, text2 string, _tie string, bucket int"
@@ -102,8 +102,9 @@ def test_other_thresholds(spark, rows, words, percent):
 @pytest.mark.parametrize("leaf,common,short", [(2, 3, 2), (8, 1, 64), (48, 64, 1)])
 def test_small_regions(rows, monkeypatch, leaf, common, short):
     """The parts that run in tasks, with limits so low that every way is taken."""
-    for name, value in (("LEAF", leaf), ("COMMON", common), ("SHORT", short)):
-        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(regions, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     import pandas as pd
 
     texts = [t for _, t in rows if t and t.strip()]
@@ -127,7 +128,7 @@ def test_small_regions(rows, monkeypatch, leaf, common, short):
     for a, b in [*zip(near["a"], near["b"]), *met.loc[met["sure"].astype(bool), ["a", "b"]].itertuples(index=False)]:
         roots[find(a)] = find(b)
     sets = [jaccard.shingle_set(t, 5) for t in texts]
-    region = jaccard.Region(sets, 80)
+    region = regions.Region(sets, 80)
     region.join(np.arange(len(sets)))
     names = [jaccard.set_name(s) for s in sets]
     links = 0
@@ -138,7 +139,7 @@ def test_small_regions(rows, monkeypatch, leaf, common, short):
                 links += 1
                 assert find(names[i]) == find(names[j]) and region.roots[i] == region.roots[j]
     assert links > 200
-    own = jaccard.Region(sets, 80)
+    own = regions.Region(sets, 80)
     own.compare(np.arange(len(sets)))
     assert (own.roots == region.roots).all()
 

@@ -13,7 +13,7 @@ def test_equals_sql(spark, tables, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_stages(spark, tables, tmp_path):

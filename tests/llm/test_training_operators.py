@@ -74,6 +74,21 @@ def test_packing(docs, none):
     assert packing.pack(packing.token_pieces(none, path, 0, 256), 256).count() == 0
 
 
+def test_every_capacity_binds(spark, tables):
+    got = packing.packing_capacities(spark, tables).collect()
+    full = {}
+    for r in got:
+        full.setdefault(r["sequence_id"], []).append(r["length"])
+    tokens, many, cost = ([f(x) for x in full.values()] for f in (sum, len, lambda x: sum(n * n for n in x)))
+    assert max(tokens) <= 2048 and max(many) <= packing.DOCUMENTS and max(cost) <= packing.ATTENTION
+    shortest = min(min(x) for x in full.values())
+    by_many = [t for t, m in zip(tokens, many) if m == packing.DOCUMENTS and t + shortest <= 2048]
+    by_cost = [t for t, c, x in zip(tokens, cost, full.values()) if len(x) < packing.DOCUMENTS and t + max(x) <= 2048 and c + max(x) ** 2 > packing.ATTENTION]
+    assert by_many and by_cost and any(t == 2048 for t in tokens)
+    bound = max(sum(tokens) / 2048, len(got) / packing.DOCUMENTS, sum(cost) / packing.ATTENTION)
+    assert len(full) <= 1.1 * bound + 1
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_keeps_every_capacity(rule):
     r = random.Random(5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.operators.caches import first_by
+from quern.operators.running import placed
 
 
 def _reasons(*found: Column) -> Column:
@@ -56,7 +57,7 @@ def model_options(models: DataFrame, providers: DataFrame, ladder: DataFrame, ba
 
 def canonical_order(chosen: DataFrame, registry: DataFrame) -> DataFrame:
     """set_id, ids: the models of each set (set_id, id) in the registry's order (id, ordinal), each once; unknown ones drop."""
-    rows = chosen.distinct().join(F.broadcast(registry), "id")  # a row a model
+    rows = chosen.distinct().join(registry, "id")
     listed = F.array_sort(F.collect_list(F.struct("ordinal", "id")))
     return rows.groupBy("set_id").agg(F.transform(listed, lambda x: x["id"]).alias("ids"))
 
@@ -145,7 +146,7 @@ def holdout_history(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("questions"), F.count_if(~F.col("before_hit") & F.col("after_hit")).alias("gained"), F.count_if(F.col("before_hit") & ~F.col("after_hit")).alias("lost"),
     )
     rows = runs.join(grouped, "run_id", "left").fillna(0, ["questions", "gained", "lost"])
-    return rows.select("run_id", "questions", "gained", "lost", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("run_id"))).alias("place"))
+    return placed(rows, [F.desc("created_at"), F.desc("run_id")]).select("run_id", "questions", "gained", "lost", "place")
 
 
 def described_configs(configs: DataFrame, documents: DataFrame, overrides: DataFrame, usage: DataFrame) -> DataFrame:

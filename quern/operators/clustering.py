@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.shipping import ship
 from quern.operators.similarity import matrix, unit
 
 #: Seeding draws about OVERSAMPLE * k points in each of ROUNDS rounds, by their distance to those drawn before.
-OVERSAMPLE, ROUNDS = 2, 4
+OVERSAMPLE, ROUNDS = 4, 2
+#: Numbers of all tasks' sums that the driver adds up itself (64 MB); more are added by a shuffle.
+GATHERED = 1 << 23
 
 
 def seeded_uniforms(seed: int, n: int) -> list[float]:
@@ -197,7 +200,9 @@ def fit_all(points: DataFrame, k: int, seeds: list[int], iterations: int = 50) -
     Chances follow from seed and id, so results do not depend on partitions.
     """
     points = points.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).persist()
+    ship(points.sparkSession)
     context, passes = points.sparkSession.sparkContext, 0
+    tasks = points.rdd.getNumPartitions()
 
     def run(task: Callable, layout: str) -> DataFrame:
         nonlocal passes
@@ -233,7 +238,8 @@ def fit_all(points: DataFrame, k: int, seeds: list[int], iterations: int = 50) -
             if not going:
                 break
             made = run(partial(_moves, held=context.broadcast([np.array(fits[f].centroids) for f in going])), "fit int, cluster int, sums array<double>, n long, cost double, id long")
-            going = _move(made, fits, going)
+            size = tasks * (k + 1) * len(going) * len(fits[0].centroids[0])
+            going = _move(made, fits, going, size > GATHERED)
         for fit in fits:
             fit.passes = passes
         return fits
@@ -241,21 +247,16 @@ def fit_all(points: DataFrame, k: int, seeds: list[int], iterations: int = 50) -
         points.unpersist()
 
 
-def _move(made: DataFrame, fits: list[Fit], going: list[int]) -> list[int]:
+def _move(made: DataFrame, fits: list[Fit], going: list[int], many: bool) -> list[int]:
     """Moves the centroids of the fits that go on; gives those that have not come to rest. Rests keep the inertia of their last pass."""
-    made = made.persist()
-    sums = made.where("cluster >= 0").select("fit", "cluster", F.posexplode("sums").alias("pos", "x")).groupBy("fit", "cluster", "pos").agg(F.sum("x").alias("x")).collect()
-    costs = {r["fit"]: r["cost"] for r in made.where("cluster >= 0").groupBy("fit").agg(F.sum("cost").alias("cost")).collect()}
-    worst = {r["fit"]: r["v"] for r in made.where("cluster < 0").groupBy("fit").agg(F.min_by("sums", F.struct("cost", "id")).alias("v")).collect()}
-    made.unpersist()
+    sums, costs, worst = (_added if many else _gathered)(made, len(going))
     left = []
     for place, f in enumerate(going):
         fit, old = fits[f], np.array(fits[f].centroids)
-        new, full = np.zeros_like(old), np.zeros(len(old), bool)
-        for r in sums:
-            if r["fit"] == place:
-                new[r["cluster"], r["pos"]], full[r["cluster"]] = r["x"], True
-        new = np.where(full[:, None], np.round(unit(new), 12), old)
+        new = old.copy()
+        full = np.array([(place, c) in sums for c in range(len(old))])
+        for c in np.flatnonzero(full):
+            new[c] = np.round(unit(sums[place, c][None, :])[0], 12)
         if not full.all():
             new[int(np.flatnonzero(~full)[0])] = worst[place]
         fit.inertia, fit.iterations, fit.centroids = costs[place], fit.iterations + 1, new.tolist()
@@ -264,6 +265,38 @@ def _move(made: DataFrame, fits: list[Fit], going: list[int]) -> list[int]:
     return left
 
 
+Sums = tuple[dict[tuple[int, int], np.ndarray], list[float], dict[int, np.ndarray]]
+
+
+def _gathered(made: DataFrame, fits: int) -> Sums:
+    """Sums by fit and cluster, cost by fit, and the vector served worst by fit, of few tasks' rows."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    costs, worst = [0.0] * fits, {}
+    for r in sorted(made.collect(), key=lambda r: (r["fit"], r["cluster"], r["cost"], r["id"])):
+        if r["cluster"] < 0:
+            worst.setdefault(r["fit"], np.array(r["sums"]))
+        else:
+            sums[r["fit"], r["cluster"]] = sums.get((r["fit"], r["cluster"]), 0.0) + np.array(r["sums"])
+            costs[r["fit"]] += r["cost"]
+    return sums, costs, worst
+
+
+def _added(made: DataFrame, fits: int) -> Sums:
+    """The same, added up by a shuffle."""
+    places = made.select("fit", "cluster", F.posexplode("sums").alias("pos", "x"), "cost", "id").groupBy("fit", "cluster", "pos")
+    found = places.agg(F.sum("x").alias("x"), F.sum("cost").alias("cost"), F.min_by("x", F.struct("cost", "id")).alias("worst")).collect()
+    size = max((r["pos"] for r in found), default=-1) + 1
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    costs, worst = [0.0] * fits, {}
+    for r in found:
+        if r["cluster"] < 0:
+            worst.setdefault(r["fit"], np.zeros(size))[r["pos"]] = r["worst"]
+        else:
+            sums.setdefault((r["fit"], r["cluster"]), np.zeros(size))[r["pos"]] = r["x"]
+            costs[r["fit"]] += r["cost"] if r["pos"] == 0 else 0.0
+    return sums, costs, worst
+
+
 def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int = 50) -> list[list[float]]:
     """The k unit centroids of one fit."""
     return fit_all(points, k, [seed], iterations)[0].centroids

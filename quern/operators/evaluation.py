@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quern.functions.text import efficacy, is_refusal
 from quern.operators.ranking import leave_one_out, ndcg, reciprocal_rank
+from quern.operators.running import placed
 from quern.operators.similarity import PLACES, cosine
 
 #: An efficacy from which an answer is accepted, and a retrieval score below which a stronger model would not help.
@@ -149,7 +150,8 @@ def model_trial(questions: DataFrame, pieces: DataFrame, pool: DataFrame, top: i
     """
     asked = questions.select("question_id", F.col("vec").alias("q"))
     kept = pool.join(asked, "question_id").select("question_id", "chunk_id", F.round(cosine("q", "vec"), PLACES).alias("sim"))
-    tried = asked.join(F.broadcast(pieces.select("vec"))).groupBy("question_id").agg(F.max(F.round(cosine("q", "vec"), PLACES)).alias("piece"))
+    tries = asked.join(pieces.agg(F.collect_list("vec").alias("_pieces")))  # one row: the pieces of a chunk
+    tried = tries.select("question_id", F.array_max(F.transform("_pieces", lambda v: F.round(cosine("q", v), PLACES))).alias("piece"))
     order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "chunk_id")
     placed = kept.withColumn("place", F.row_number().over(order)).join(tried, "question_id", "right")
     nearest = F.array_sort(F.collect_list(F.when(F.col("place") <= top, F.struct("place", "chunk_id"))))
@@ -168,8 +170,7 @@ def work_order(questions: DataFrame) -> DataFrame:
     """chunk_id, questions, mean_rr, place: the chunks of failing questions, worst mean reciprocal rank first, then those
     of more questions, then by id. questions: question_id, chunk_id, rr (null counts 0)."""
     each = questions.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce("rr", F.lit(0.0))), PLACES).alias("mean_rr"))
-    order = Window.orderBy("mean_rr", F.desc("questions"), "chunk_id")  # a row a chunk that fails
-    return each.withColumn("place", F.row_number().over(order))
+    return placed(each, [F.asc("mean_rr"), F.desc("questions"), F.asc("chunk_id")])
 
 
 def ideal_staleness(graded: DataFrame, documents: DataFrame) -> DataFrame:

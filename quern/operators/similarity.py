@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.shipping import ship
+
 #: A lot of questions: at most so many, of so many numbers together (32 MB). Numbers of a slice's matrix of similarities.
 LOT, LOT_NUMBERS, SLICE = 16_384, 1 << 22, 1 << 21
 #: Similarities are rounded before ranking, so that summation order decides no tie.
@@ -99,6 +101,7 @@ def _above(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.Re
 def _sent(questions: DataFrame, columns: list[str], chunks: DataFrame, task, layout: str) -> DataFrame:
     """Rows that `task` makes of the chunks, beside each lot of questions."""
     kept = chunks.where("vec is not null").select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+    ship(chunks.sparkSession)
     context, out = chunks.sparkSession.sparkContext, None
     for lot in lots(questions, columns):
         more = kept.mapInArrow(partial(task, held=context.broadcast(lot)), layout)
@@ -197,6 +200,7 @@ def substituted_rank(questions: DataFrame, chunks: DataFrame, chunk_id: int, pie
 def between_ranks(questions: DataFrame, chunks: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """Chunks ranked after the k best and before the expected chunk of each question (question_id, expected_id).
 
+    That is as many rows a question as its expected chunk's rank less k: state a bound on ranks first where they are high.
     Only chunks above the expected one's similarity, or tied with a smaller id, leave the blocks.
     """
     gold = expected.join(questions, "question_id").join(
@@ -209,7 +213,7 @@ def between_ranks(questions: DataFrame, chunks: DataFrame, expected: DataFrame,
     return ranked(above.where(before)).where(F.col("rank") > k).select("question_id", "chunk_id", "sim", "rank")
 
 
-def dot(a: str, b: str) -> Column:
+def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product of two array columns of doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -219,7 +223,7 @@ def squared_chord(sim: Column) -> Column:
     return F.greatest(F.lit(0.0), 2.0 - 2.0 * sim)
 
 
-def cosine(a: str, b: str) -> Column:
+def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine similarity of two array columns of doubles; 0 where either is a zero vector."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)

@@ -119,8 +119,9 @@ def guard_delta(cases: DataFrame, tau: float) -> DataFrame:
 
 def marked_best(rows: DataFrame, group: str, value: str) -> DataFrame:
     """rows with `best`: whether value is the group's largest (and not null)."""
-    top = F.max(value).over(Window.partitionBy(group))
-    return rows.withColumn("best", F.coalesce(F.col(value) == top, F.lit(False)))
+    tops = rows.groupBy(F.col(group).alias("_g")).agg(F.max(value).alias("_top"))
+    joined = rows.join(tops, F.col(group).eqNullSafe(F.col("_g")), "left")  # a group may hold most rows, so it is not sorted in one task
+    return joined.select(*rows.columns, F.coalesce(F.col(value) == F.col("_top"), F.lit(False)).alias("best"))
 
 
 def time_estimates(work: DataFrame, timings: DataFrame, seeds: dict[str, float]) -> DataFrame:

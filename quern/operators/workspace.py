@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.operators.caches import first_by
+from quern.operators.running import first_of_each
 
 
 def owned(rows: DataFrame, configs: DataFrame, user_id) -> DataFrame:
@@ -194,9 +195,9 @@ def draw_holdout(questions: DataFrame, quotas: DataFrame, seed: int, held: DataF
     rows = questions.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "question_id")))
     kept = held.select("question_id").withColumn("_held", F.lit(0)) if held is not None else None
     rows = rows.join(kept, "question_id", "left") if kept is not None else rows.withColumn("_held", F.lit(None).cast("int"))
-    order = Window.partitionBy("band").orderBy(F.coalesce("_held", F.lit(1)), "_h", "question_id")
-    placed = rows.withColumn("_place", F.row_number().over(order)).join(quotas.select("band", "quota"), "band")
-    return placed.where("_place <= quota").select("question_id", "band")
+    # the first 15 hex digits order as the whole hash does, but for ties; held ones come before all others
+    chance = F.conv(F.substring("_h", 1, 15), 16, 10).cast("long") + F.when(F.col("_held").isNull(), F.lit(1 << 61)).otherwise(F.lit(0))
+    return first_of_each(rows, "band", quotas, chance, ["_h", "question_id"]).select("question_id", "band")
 
 
 def synced_holdout(held: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -29,8 +29,11 @@ def accumulate(existing: DataFrame, incoming: DataFrame, keys: list[str], sums:
 
 def set_single(rows: DataFrame, keys: list[str], chosen: Column, flag: str) -> DataFrame:
     """rows with `flag` true for the chosen row of each key and false for the others."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn(flag, F.when(F.max(chosen.cast("int")).over(w) == 1, chosen).otherwise(F.col(flag)))
+    marked = rows.withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
+    any_of = marked.where("_chosen").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct().withColumn("_any", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    value = F.when(F.col("_any"), F.col("_chosen")).otherwise(F.col(flag)).alias(flag)
+    return marked.join(any_of, same, "left").select(*[value if c == flag else F.col(c) for c in rows.columns])
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:

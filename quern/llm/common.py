@@ -132,14 +132,17 @@ class UnitEncoder:
 
     def _part(self, part: str, same: PartCache, space: str) -> bytes:
         core = part.rstrip(self.MARKS)
-        if core != part and core.isalpha() and "\u0130" not in core:
-            return same[core] + self.first[part[len(core) :]]
+        if core != part:
+            if core.isalpha() and "\u0130" not in core:
+                return same[core] + self.first[part[len(core) :]]
+        elif self.word and not self.folds and part.isascii() and part.isalpha():
+            return self.word(part, bool(space))
         if "\n" in part and self.LINES.fullmatch(part):
             line, *others = part.split("\n")
             return same[line] + b"".join([self.line_end + self.first[x] for x in others])
         if self.folds and part.isascii() and (low := part.lower()) != part and not any(token in low for token in self.apart):
             return same[low]
-        if self.word and part.isalpha() and max(part) <= "\u017e" and "\u0130" not in part:
+        if self.word and part.isalpha() and (part.isascii() or max(part) <= "\u017e" and "\u0130" not in part):
             return self.word(part, bool(space))
         return self.encode(space + part)
 

@@ -35,10 +35,13 @@ def _load(path: str) -> UnitEncoder:
     normal = tokenizer.normalizer.normalize_str(" a") if tokenizer.normalizer else " a"
     lead = tokenizer.pre_tokenizer.pre_tokenize_str(normal)[0][0][:-1]  # what becomes of a space before a word
 
+    tokenize = model.tokenize
+
     def word(letters: str, spaced: bool) -> bytes:
         """A word of composed Latin letters is one pre-token: only the model is asked."""
-        data = (letters.lower() if folds else letters).encode()
-        return array("I", [t.id for t in model.tokenize((lead if spaced else "") + "".join(map(symbols.__getitem__, data)))]).tobytes()
+        low = letters.lower() if folds else letters
+        shown = low if low.isascii() else "".join(map(symbols.__getitem__, low.encode()))  # ASCII letters stand for themselves
+        return array("I", [t.id for t in tokenize(lead + shown if spaced else shown)]).tobytes()
 
     added = tokenizer.get_added_tokens_decoder().values()
     apart = tuple("" if t.normalized else t.content for t in added)  # "": any text may hold one

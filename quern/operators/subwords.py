@@ -6,6 +6,7 @@ A file of the tokenizers library is a parameter; each Python worker loads it onc
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
 from collections.abc import Callable
 
@@ -18,8 +19,30 @@ from pyspark.sql.window import Window
 from quern.operators.chunking import stitch
 
 
+_ADJACENT, _SEAM = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+
+
+class Parts(dict):
+    """part -> make(part), kept for up to `limit` parts of up to `longest` characters; what is frequent is met early."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int = 200_000, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+
+    def __missing__(self, part: str) -> bytes:
+        made = self.make(part)
+        if len(part) <= self.longest and len(self) < self.limit:
+            self[part] = made
+        return made
+
+
 class Subwords:
-    """A byte-level tokenizer: its tokens' bytes, one after another, are the text's bytes."""
+    """A byte-level tokenizer: its tokens' bytes, one after another, are the text's bytes.
+
+    A space between two characters that are no white space begins a new token whatever stands before it, so texts are cut
+    there and the lengths of a part's tokens are kept, as numbers of two bytes. Texts that spell out an added token are
+    encoded whole.
+    """
 
     loaded: dict[str, Subwords] = {}
 
@@ -35,6 +58,8 @@ class Subwords:
         byte_of = {chr(b) if b in printable else chr(next(others)): b for b in range(256)}
         special = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.bytes_of = {i: special.get(i) or bytes(byte_of[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
+        self.apart = [b.decode() for b in special.values()]
+        self.first, self.later = Parts(self._lengths, 50_000), Parts(lambda part: self._lengths(" " + part))
 
     @classmethod
     def of(cls, path: str) -> Subwords:
@@ -42,28 +67,31 @@ class Subwords:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def pieces(self, text: str) -> list[bytes]:
-        """The bytes of each token of a text. A token that the text spells out stands for its own characters."""
+    def _lengths(self, text: str) -> bytes:
         made = [self.bytes_of[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids]
         if b"".join(made) != text.encode():
             raise ValueError("the tokens are not the bytes of the text")
-        return made
+        return np.array([len(b) for b in made], "<u2").tobytes()
 
+    def ends(self, text: str) -> np.ndarray:
+        """Places in the text's bytes at which tokens begin, and their number: n + 1 numbers. A token that the text spells out
+        stands for its own characters."""
+        if any(token in text for token in self.apart):
+            made = self._lengths(text)
+        else:
+            parts = _SEAM.split(text) if _ADJACENT.search(text) else text.split(" ")
+            made = self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        return np.concatenate([[0], np.cumsum(np.frombuffer(made, "<u2"), dtype=np.int64)])
 
-def boundaries(pieces: list[bytes]) -> np.ndarray:
+
+def boundaries(data: bytes, ends: np.ndarray) -> np.ndarray:
     """Offsets at which tokens begin, and the length of the text: n + 1 numbers of code points.
 
     As the length of each growing prefix when it is decoded: a character of which the prefix has some bytes counts, as the
     one replacement it is decoded to. Lengths of tokens decoded alone would drift there; here one pass counts first bytes.
     """
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    begun = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
-    return begun[np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])].astype(np.int64)
-
-
-def decoded(pieces: list[bytes]) -> str:
-    """What tokens decode to alone: parts of characters become replacements."""
-    return b"".join(pieces).decode("utf-8", "replace")
+    begun = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)])
+    return begun[ends].astype(np.int64)
 
 
 def _mapped(kind: str, make: Callable[[str], object]) -> Callable[[Column], Column]:
@@ -76,18 +104,20 @@ def _mapped(kind: str, make: Callable[[str], object]) -> Callable[[Column], Colu
 
 def offsets(text: Column, path: str) -> Column:
     """`boundaries` of a text's tokens; null for null."""
-    return _mapped("array<long>", lambda t: boundaries(Subwords.of(path).pieces(t)))(text)
+    return _mapped("array<long>", lambda t: boundaries(t.encode(), Subwords.of(path).ends(t)))(text)
 
 
 def _windows(text: str, path: str, size: int, overlap: int) -> list[dict]:
-    pieces = Subwords.of(path).pieces(text)
-    at, out = boundaries(pieces), []
-    for position, start in enumerate(range(0, len(pieces), size - overlap)):
-        end = min(start + size, len(pieces))
-        out.append({"position": position, "start": start, "end": end, "char_start": int(at[start]), "char_end": int(at[end]), "text": decoded(pieces[start:end])})
-        if end == len(pieces):
-            break
-    return out
+    data, ends = text.encode(), Subwords.of(path).ends(text)
+    n = len(ends) - 1
+    starts = np.arange(0, max(n - overlap, min(n, 1)), size - overlap)
+    stops = np.minimum(starts + size, n)
+    at, byte_at = boundaries(data, ends), zip(ends[starts].tolist(), ends[stops].tolist())
+    columns = (starts.tolist(), stops.tolist(), at[starts].tolist(), at[stops].tolist(), byte_at)
+    return [
+        {"position": i, "start": a, "end": b, "char_start": c, "char_end": d, "text": data[x:y].decode("utf-8", "replace")}
+        for i, (a, b, c, d, (x, y)) in enumerate(zip(*columns))
+    ]
 
 
 def chunk(docs: DataFrame, path: str, size: int, overlap: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,11 +40,9 @@ def provider(embed: Embed, limit: int) -> Callable[[Column], Column]:
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            out = pd.Series([None] * len(texts), dtype=object)
-            known = np.flatnonzero(texts.notna())
-            for i, vector in zip(known, batched([texts.iloc[i] for i in known], embed, limit)):
-                out.iloc[i] = vector
-            yield out
+            values = texts.tolist()
+            made = iter(batched([t for t in values if t is not None], embed, limit))
+            yield pd.Series([None if t is None else next(made) for t in values], dtype=object)
 
     return lambda text: run(text)
 
@@ -54,13 +52,12 @@ def word_shapes(dim: int, by_length: int, by_first: int) -> Embed:
     code point * by_first). Words are parted by single spaces; empty ones count, with no first code point."""
 
     def embed(texts: list[str]) -> list[np.ndarray]:
-        kinds: dict[str, int] = {}
+        classes = [[(n * by_length + c * by_first) % dim for c in range(dim)] for n in range(dim)]  # both count modulo dim alone
         out = []
         for text in texts:
-            at = [kinds[w] if w in kinds else kinds.setdefault(w, (len(w) * by_length + (ord(w[0]) if w else 0) * by_first) % dim) for w in text.split(" ")]
+            words = text.split(" ")
+            at = [classes[len(w) % dim][ord(w[0]) % dim if w else 0] for w in words]
             out.append(np.bincount(at, minlength=dim).astype(float))
-            if len(kinds) > 200_000:
-                kinds.clear()
         return out
 
     return embed

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.scratch import shared_dir
+
 
 def words_of(text: Column) -> Column:
     """Words of a text; an empty array for null and blank texts."""
@@ -48,10 +50,20 @@ def chunk(
     return rows.select(id_col, F.inline(cut))
 
 
+def word_totals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, n: the number of words of each text, kept in the shared folder, so that several chunkings read texts once."""
+    shared_dir(docs.sparkSession)
+    return docs.select(F.col(id_col), F.size(words_of(F.col(text))).alias("n")).checkpoint(eager=True)
+
+
+def places(totals: DataFrame, size: int, overlap: int, id_col: str = "doc_id") -> DataFrame:
+    """id_col, position, start, end of the windows of `chunk`, from the numbers of words (id_col, n)."""
+    return totals.select(id_col, F.inline(windows(F.col("n"), size, overlap)))
+
+
 def chunk_places(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, position, start, end of the windows of `chunk`, from the number of words alone."""
-    rows = docs.select(F.col(id_col), F.size(words_of(F.col(text))).alias("_n"))
-    return rows.select(id_col, F.inline(windows(F.col("_n"), size, overlap)))
+    return places(docs.select(F.col(id_col), F.size(words_of(F.col(text))).alias("n")), size, overlap, id_col)
 
 
 def longest_overlap(a: str, b: str) -> int:

@@ -158,7 +158,7 @@ def counts_before(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     asked: question_id long, tag int, vec, sim, tie long, own long (a chunk that does not count). Each task counts its own
     chunks; only counts leave it. A count of 0 has a row, too, unless the vector is null.
     """
-    rows = asked.where("vec is not null")
+    rows = asked.where("vec is not null").persist()  # read for its size, for its lots and for counts of 0
     made = _sent(rows, ["tag", "sim", "tie", "own"], chunks, _before, "question_id long, tag int, n long")
     zero = rows.select("question_id", F.col("tag").cast("int").alias("tag"), F.lit(0).cast("long").alias("n"))
     return made.unionByName(zero).groupBy("question_id", "tag").agg(F.sum("n").alias("n"))

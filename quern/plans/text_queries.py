@@ -21,8 +21,8 @@ def chunk_stitch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_remap(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return chunking.remap(chunking.chunk_places(docs, 64, 8), chunking.chunk_places(docs, 48, 4))
+    totals = chunking.word_totals(table(spark, folder, "documents"))
+    return chunking.remap(chunking.places(totals, 64, 8), chunking.places(totals, 48, 4))
 
 
 def coverage_gap(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,7 +52,11 @@ def _override_trials(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     spaces = {}
     for model, factors in SHAPES.items():
         embed = provider(word_shapes(DIM, *factors), 128)
-        spaces[model] = (asks.select("question_id", embed("text").alias("vec")), chunks.select("chunk_id", embed("text").alias("vec")), embed)
+        sides = (asks.select("question_id", embed("text").alias("vec")), chunks.select("chunk_id", embed("text").alias("vec")))
+        stored = [scratch_path(spark, f"vectors-{model}") for _ in sides]  # vectors are made once, then read
+        for side, path in zip(sides, stored):
+            side.write.parquet(path)
+        spaces[model] = (*map(spark.read.parquet, stored), embed)
     trials = tuning.search_trials(chunks, targets, spaces, "plain", SIZES)
     questions, vectors, _ = spaces["plain"]
     gold = targets.withColumnRenamed("chunk_id", "gold_id")

@@ -75,19 +75,22 @@ def longest_overlap(a: str, b: str) -> int:
     return len(at)
 
 
+def stitched(parts: list[str]) -> tuple[str, list[int], list[int]]:
+    """The text that ordered chunks make without what neighbours share, and where each begins and ends in it."""
+    text, starts, ends = "", [], []
+    for part in parts:
+        shared = longest_overlap(text, part)
+        glue = "" if shared or not text else "\n\n"
+        starts.append(len(text) - shared + len(glue))
+        ends.append(starts[-1] + len(part))
+        text += glue + part[shared:]
+    return text, starts, ends
+
+
 def _stitched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = []
-        for key, parts in zip(f["key"], f["parts"]):
-            text, spans = "", []
-            for p in parts:
-                shared = longest_overlap(text, p["text"])
-                glue = "" if shared or not text else "\n\n"
-                begin = len(text) - shared + len(glue)
-                text += glue + p["text"][shared:]
-                spans.append((begin, begin + len(p["text"])))
-            out.append((key, text, [s for s, _ in spans], [e for _, e in spans]))
-        yield pd.DataFrame(out, columns=["key", "text", "starts", "ends"])
+        made = [(key, *stitched([p["text"] for p in parts])) for key, parts in zip(f["key"], f["parts"])]
+        yield pd.DataFrame(made, columns=["key", "text", "starts", "ends"])
 
 
 def stitch(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,15 +8,15 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quern.operators.chunking import stitch
+from quern.operators.chunking import stitched
 
 
 _ADJACENT, _SEAM = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
@@ -132,7 +132,7 @@ def chunk(docs: DataFrame, path: str, size: int, overlap: int, id_col: str = "do
     return docs.select(F.col(id_col), cut(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_w")).select(id_col, F.inline("_w"))
 
 
-def first_tokens(at: np.ndarray, chars: list[int]) -> list[int]:
+def first_tokens(at: np.ndarray | list[int], chars: list[int]) -> list[int]:
     """The first boundary at or after each character, searched by halves; the number of tokens where there is none."""
     return [min(bisect_left(at, c), len(at) - 1) for c in chars]
 
@@ -155,18 +155,27 @@ def token_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataF
     return docs.select(key, "offsets").join(listed, key).select(key, F.inline(found("offsets", "_spans")))
 
 
+def _edited(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    names = ["key", "position", "token_start", "token_end", "own_start", "own_end", "n_tokens"]
+    for f in frames:
+        made = []
+        for key, parts in zip(f["key"], f["parts"]):
+            text, starts, ends = stitched([p["text"] for p in parts])
+            at = boundaries(text.encode(), Subwords.of(path).ends(text))
+            first, last, n = first_tokens(at, starts), first_tokens(at, ends), len(at) - 1
+            own = zip([0, *last[:-1]], [*first[1:], n])
+            made += [(key, p["position"], a, b, *o, n) for p, a, b, o in zip(parts, first, last, own)]
+        yield pd.DataFrame(made, columns=names)
+
+
 def edit_windows(chunks: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """key, position, token_start, token_end, own_start, own_end, n_tokens: chunks as spans of tokens of the text that they
-    make when stitched, and the tokens that neither neighbour covers. chunks: key, position, text.
+    make when stitched, and the tokens that neither neighbour covers. chunks: key (a long), position, text.
 
     Shrinking a chunk inside its own zone leaves a hole, outside it does not. own_end is below own_start where the neighbours
-    meet.
+    meet. A document's chunks meet in one row.
     """
-    whole = stitch(chunks.select(F.col(key).alias("doc_id"), "position", "text")).withColumnRenamed("doc_id", key)
-    places = chunks.groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("_p"))
-    spans = whole.join(places, key).select(key, F.inline(F.arrays_zip(F.col("_p").alias("position"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
-    docs = whole.select(key, offsets(F.col("text"), path).alias("offsets"))
-    found = token_spans(docs, spans, key).join(docs.select(key, (F.size("offsets") - 1).alias("n_tokens")), key)
-    w = Window.partitionBy(key).orderBy("position")
-    own = {"own_start": F.coalesce(F.lag("token_end").over(w), F.lit(0)), "own_end": F.coalesce(F.lead("token_start").over(w), F.col("n_tokens"))}
-    return found.withColumns(own).select(key, "position", "token_start", "token_end", "own_start", "own_end", "n_tokens")
+    parts = F.array_sort(F.collect_list(F.struct("position", "text")))
+    rows = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(parts.alias("parts"))
+    layout = "key long, position int, token_start int, token_end int, own_start int, own_end int, n_tokens int"
+    return rows.mapInPandas(partial(_edited, path=path), layout).withColumnRenamed("key", key)

@@ -107,29 +107,41 @@ def offsets(text: Column, path: str) -> Column:
     return _mapped("array<long>", lambda t: boundaries(t.encode(), Subwords.of(path).ends(t)))(text)
 
 
-def _windows(text: str, path: str, size: int, overlap: int) -> list[dict]:
+#: Rows that a task turns into windows before it hands them on.
+STEP = 256
+WINDOW = ["position", "start", "end", "char_start", "char_end", "text"]
+
+
+def _windows(text: str, path: str, size: int, overlap: int) -> list[tuple]:
+    """A row of WINDOW for each window."""
     data, ends = text.encode(), Subwords.of(path).ends(text)
     n = len(ends) - 1
     starts = np.arange(0, max(n - overlap, min(n, 1)), size - overlap)
     stops = np.minimum(starts + size, n)
-    at, byte_at = boundaries(data, ends), zip(ends[starts].tolist(), ends[stops].tolist())
-    columns = (starts.tolist(), stops.tolist(), at[starts].tolist(), at[stops].tolist(), byte_at)
-    return [
-        {"position": i, "start": a, "end": b, "char_start": c, "char_end": d, "text": data[x:y].decode("utf-8", "replace")}
-        for i, (a, b, c, d, (x, y)) in enumerate(zip(*columns))
-    ]
+    at = boundaries(data, ends)
+    shown = (data[x:y].decode("utf-8", "replace") for x, y in zip(ends[starts].tolist(), ends[stops].tolist()))
+    return list(zip(range(len(starts)), starts.tolist(), stops.tolist(), at[starts].tolist(), at[stops].tolist(), shown))
+
+
+def _cut(frames: Iterator[pd.DataFrame], path: str, size: int, overlap: int) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for i in range(0, len(f), STEP):
+            part = f.iloc[i : i + STEP]
+            made = [(key, *w) for key, text in zip(part["_key"], part["_text"]) for w in _windows(text, path, size, overlap)]
+            yield pd.DataFrame(made, columns=["_key", *WINDOW])
 
 
 def chunk(docs: DataFrame, path: str, size: int, overlap: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, position, start, end, char_start, char_end, text of each window of `size` tokens, `overlap` shared with the one
     before, until one reaches the end. Null and empty texts have none. Windows that begin or end inside a character hold a
-    replacement there, and the character counts to both. A select without a shuffle.
+    replacement there, and the character counts to both. Ids pass as strings, which keep every number. No shuffle.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be from 0 to below size")
-    layout = "array<struct<position:int,start:int,end:int,char_start:int,char_end:int,text:string>>"
-    cut = _mapped(layout, lambda t: _windows(t, path, size, overlap))
-    return docs.select(F.col(id_col), cut(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_w")).select(id_col, F.inline("_w"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    layout = "_key string, position int, start int, end int, char_start long, char_end long, text string"
+    made = rows.mapInPandas(partial(_cut, path=path, size=size, overlap=overlap), layout)
+    return made.select(F.col("_key").cast(docs.schema[id_col].dataType).alias(id_col), *WINDOW)
 
 
 def first_tokens(at: np.ndarray | list[int], chars: list[int]) -> list[int]:
@@ -158,14 +170,15 @@ def token_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataF
 def _edited(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     names = ["key", "position", "token_start", "token_end", "own_start", "own_end", "n_tokens"]
     for f in frames:
-        made = []
-        for key, parts in zip(f["key"], f["parts"]):
-            text, starts, ends = stitched([p["text"] for p in parts])
-            at = boundaries(text.encode(), Subwords.of(path).ends(text))
-            first, last, n = first_tokens(at, starts), first_tokens(at, ends), len(at) - 1
-            own = zip([0, *last[:-1]], [*first[1:], n])
-            made += [(key, p["position"], a, b, *o, n) for p, a, b, o in zip(parts, first, last, own)]
-        yield pd.DataFrame(made, columns=names)
+        for i in range(0, len(f), STEP):
+            made = []
+            for key, parts in zip(f["key"].iloc[i : i + STEP], f["parts"].iloc[i : i + STEP]):
+                text, starts, ends = stitched([p["text"] for p in parts])
+                at = boundaries(text.encode(), Subwords.of(path).ends(text))
+                first, last, n = first_tokens(at, starts), first_tokens(at, ends), len(at) - 1
+                own = zip([0, *last[:-1]], [*first[1:], n])
+                made += [(key, p["position"], a, b, *o, n) for p, a, b, o in zip(parts, first, last, own)]
+            yield pd.DataFrame(made, columns=names)
 
 
 def edit_windows(chunks: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

@@ -296,9 +296,8 @@ def test_boundaries_are_lengths_of_decoded_prefixes(tokenizer, text):
         made = subwords._windows(text, tokenizer, size, overlap)
         spans = [(i, min(i + size, len(ids))) for i in range(0, len(ids), size - overlap)]
         spans = spans[: next((i + 1 for i, s in enumerate(spans) if s[1] == len(ids)), 0)]
-        assert [(w["start"], w["end"]) for w in made] == spans
-        assert [w["text"] for w in made] == [t.decode(ids[a:b], skip_special_tokens=False) for a, b in spans]
-        assert [(w["char_start"], w["char_end"]) for w in made] == [(exact[a], exact[b]) for a, b in spans]
+        shown = [t.decode(ids[a:b], skip_special_tokens=False) for a, b in spans]
+        assert made == [(i, a, b, exact[a], exact[b], text) for i, ((a, b), text) in enumerate(zip(spans, shown))]
 
 
 def test_subword_spans(spark, tokenizer):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from quern.operators.chunking import stitched
 
 
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _ADJACENT, _SEAM = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -59,7 +61,9 @@ class Subwords:
         special = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.bytes_of = {i: special.get(i) or bytes(byte_of[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
         self.apart = [b.decode() for b in special.values()]
-        self.first, self.later = Parts(self._lengths, 50_000), Parts(lambda part: self._lengths(" " + part))
+        self.space, self.tokenize = next(c for c, b in byte_of.items() if b == 32), self.tokenizer.model.tokenize
+        self.first = Parts(lambda part: self._part(part, self.first, ""), 50_000)
+        self.later = Parts(lambda part: self._part(part, self.later, " "))
 
     @classmethod
     def of(cls, path: str) -> Subwords:
@@ -67,11 +71,20 @@ class Subwords:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
+    def _part(self, part: str, same: Parts, space: str) -> bytes:
+        """Letters and a tail of marks are parted by every byte-level pattern; a word of ASCII letters needs the model alone."""
+        core = part.rstrip(MARKS)
+        if core != part and core.isalpha():
+            return same[core] + self.first[part[len(core) :]]
+        if part.isascii() and part.isalpha():
+            return array("H", [len(t.value) for t in self.tokenize(self.space + part if space else part)]).tobytes()
+        return self._lengths(space + part)
+
     def _lengths(self, text: str) -> bytes:
         made = [self.bytes_of[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids]
         if b"".join(made) != text.encode():
             raise ValueError("the tokens are not the bytes of the text")
-        return np.array([len(b) for b in made], "<u2").tobytes()
+        return array("H", map(len, made)).tobytes()
 
     def ends(self, text: str) -> np.ndarray:
         """Places in the text's bytes at which tokens begin, and their number: n + 1 numbers. A token that the text spells out
@@ -81,7 +94,7 @@ class Subwords:
         else:
             parts = _SEAM.split(text) if _ADJACENT.search(text) else text.split(" ")
             made = self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-        return np.concatenate([[0], np.cumsum(np.frombuffer(made, "<u2"), dtype=np.int64)])
+        return np.concatenate([[0], np.cumsum(np.frombuffer(made, np.uint16), dtype=np.int64)])
 
 
 def boundaries(data: bytes, ends: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.shipping import ship
-from quern.operators.similarity import matrix, unit
+from quern.operators.similarity import SLICE, matrix, unit, unit_rows
 
 #: Seeding draws about OVERSAMPLE * k points in each of ROUNDS rounds, by their distance to those drawn before.
 OVERSAMPLE, ROUNDS = 4, 2
@@ -34,44 +34,56 @@ def seeded_uniforms(seed: int, n: int) -> list[float]:
     return out
 
 
-def assigned(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """Adds cluster, sim (to its centroid) and second_sim (to the nearest other, null for one cluster) to points (vec).
+def assigned(points: DataFrame, centroids: list[list[float]], names: list[int | None] | None = None) -> DataFrame:
+    """Adds cluster, sim (the highest to a centroid) and second_sim (the second highest, null for one cluster) to points (vec).
 
-    The centroids, k times the dimension, are sent to every task.
+    names: the clusters' names, in ascending order with null at the end; by default their places. The similarity to a
+    centroid without a name counts, but no point is in its cluster. A null vector is in the first cluster, without
+    similarities. The centroids, k times the dimension, are sent to every task and met by some points at a time.
     """
-    held = np.array(centroids, float)
+    held, named = np.array(centroids, float), [*range(len(centroids))] if names is None else [c for c in names if c is not None]
+    if not centroids:
+        return points.limit(0).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("cluster", "int"), ("sim", "double"), ("second_sim", "double"))])
+    step = max(1, SLICE // len(held))
 
     @F.pandas_udf("struct<cluster:int,sim:double,second_sim:double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
-        m = np.stack(vectors.to_numpy()).astype(float)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        sims = np.round(np.divide(m, norms, out=np.zeros_like(m), where=norms > 0) @ held.T, 12)
-        best = sims.argmax(axis=1)
-        at = np.arange(len(m))
-        own = sims[at, best].copy()
-        sims[at, best] = -np.inf
-        second = sims.max(axis=1) if sims.shape[1] > 1 else np.full(len(m), np.nan)
-        return pd.DataFrame({"cluster": best.astype(np.int32), "sim": own, "second_sim": pd.Series(second).where(np.isfinite(second), None)})
+        there = np.flatnonzero(vectors.notna())
+        best, own, second = np.zeros(len(vectors), np.int64), np.full(len(vectors), np.nan), np.full(len(vectors), np.nan)
+        for at in range(0, len(there), step):
+            rows = there[at : at + step]
+            sims = np.round(unit_rows(vectors.iloc[rows]) @ held.T, 12)
+            if named:
+                best[rows] = sims[:, : len(named)].argmax(axis=1)
+            first = sims.argmax(axis=1)
+            own[rows] = sims[np.arange(len(rows)), first]
+            sims[np.arange(len(rows)), first] = -np.inf
+            second[rows] = sims.max(axis=1)
+        cluster = pd.Series(pd.array(np.array(named, np.int32)[best], "Int32")) if named else pd.Series(None, range(len(vectors)), "Int32")
+        return pd.DataFrame({"cluster": cluster, "sim": pd.Series(own).where(np.isfinite(own), None), "second_sim": pd.Series(second).where(np.isfinite(second), None)})
 
     return points.withColumn("_near", nearest("vec")).select(*points.columns, "_near.*")
 
 
 def _partial_sums(frames):
-    sums: dict[int, np.ndarray] = {}
+    sums: dict[int | None, np.ndarray] = {}
     for f in frames:
-        m = np.stack(f["vec"].to_numpy()).astype(float) if len(f) else np.empty((0, 0))
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        units = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-        for c in np.unique(f["cluster"]):
-            sums[c] = sums.get(c, 0) + units[(f["cluster"] == c).to_numpy()].sum(axis=0)
-    yield pd.DataFrame({"cluster": list(sums), "sums": [v.tolist() for v in sums.values()]})
-
-
-def _sums(assigned_points: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of unit vectors of each cluster: each task adds its own, k sums a task are shuffled, k vectors reach the driver."""
-    made = assigned_points.select("cluster", "vec").mapInPandas(_partial_sums, "cluster int, sums array<double>")
+        if len(f):
+            units = unit_rows(f["vec"])
+            at, found = pd.factorize(f["cluster"], use_na_sentinel=False)
+            added = np.zeros((len(found), units.shape[1]))
+            np.add.at(added, at, units)
+            for c, v in zip([None if pd.isna(c) else int(c) for c in found], added):
+                sums[c] = sums.get(c, 0) + v
+    yield pd.DataFrame({"cluster": pd.array(list(sums), "Int32"), "sums": [v.tolist() for v in sums.values()]})
+
+
+def _sums(assigned_points: DataFrame) -> dict[int | None, np.ndarray]:
+    """Sum of unit vectors of each cluster, null among them: each task adds its own, k sums a task are shuffled, k vectors
+    reach the driver. Null vectors take no part."""
+    made = assigned_points.where("vec is not null").select("cluster", "vec").mapInPandas(_partial_sums, "cluster int, sums array<double>")
     rows = made.select("cluster", F.posexplode("sums").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("s")).collect()
-    out: dict[int, np.ndarray] = {}
+    out: dict[int | None, np.ndarray] = {}
     size = max((r["pos"] for r in rows), default=-1) + 1
     for r in rows:
         out.setdefault(r["cluster"], np.zeros(size))[r["pos"]] = r["s"]
@@ -302,10 +314,10 @@ def fit_spherical_kmeans(points: DataFrame, k: int, seed: int, iterations: int =
     return fit_all(points, k, [seed], iterations)[0].centroids
 
 
-def topped_up(held: DataFrame, points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+def topped_up(held: DataFrame, points: DataFrame, centroids: list[list[float]], names: list[int | None] | None = None) -> DataFrame:
     """id, cluster, sim of the points that have no cluster yet, by frozen centroids: what to append to held (id)."""
     new = points.join(held.select("id"), "id", "left_anti")
-    return assigned(new, centroids).select("id", "cluster", "sim")
+    return assigned(new, centroids, names).select("id", "cluster", "sim")
 
 
 def restart_seeds(seed: int, restarts: int) -> list[int]:

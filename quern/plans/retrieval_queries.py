@@ -131,39 +131,40 @@ def fusion_rank(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.fused(base, near, base, 10)
 
 
-def _clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, list[list[float]]]:
-    """Points and one centroid a label: the direction of the sum of its unit vectors."""
+def _clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, list[list[float]], list[int | None]]:
+    """Points, one centroid a label (the direction of the sum of its unit vectors), and the labels, null at the end."""
     df = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
     sums = clustering._sums(df.withColumnRenamed("label", "cluster"))
-    return df, [clustering._unit(sums[c]) for c in sorted(sums)]
+    labels = sorted(sums, key=lambda c: (c is None, c))
+    return df, [clustering._unit(sums[c]) for c in labels], labels
 
 
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
-    points, centroids = _clusters(spark, folder)
-    return clustering.assigned(points, centroids).select("id", "cluster", F.round(F.col("sim") + 1e-10, 6).alias("sim"))
+    points, *clusters = _clusters(spark, folder)
+    return clustering.assigned(points, *clusters).select("id", "cluster", F.round(F.col("sim") + 1e-10, 6).alias("sim"))
 
 
 def cluster_stats(spark: SparkSession, folder: str) -> DataFrame:
-    points, centroids = _clusters(spark, folder)
-    out = clustering.cluster_stats(clustering.assigned(points, centroids))
+    points, *clusters = _clusters(spark, folder)
+    out = clustering.cluster_stats(clustering.assigned(points, *clusters))
     return out.withColumn("cohesion", F.round("cohesion", 6))
 
 
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
-    points, centroids = _clusters(spark, folder)
-    out = clustering.silhouette(clustering.assigned(points, centroids))
+    points, *clusters = _clusters(spark, folder)
+    out = clustering.silhouette(clustering.assigned(points, *clusters))
     return out.select(F.round("silhouette", 6).alias("silhouette"), F.round("inertia", 4).alias("inertia"))
 
 
 def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:
-    points, centroids = _clusters(spark, folder)
-    out = clustering.representatives(clustering.assigned(points, centroids).withColumn("sim", F.round("sim", 9)), 3)
+    points, *clusters = _clusters(spark, folder)
+    out = clustering.representatives(clustering.assigned(points, *clusters).withColumn("sim", F.round("sim", 9)), 3)
     return out.select("cluster", "id", "place")
 
 
 def drift_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    points, centroids = _clusters(spark, folder)
-    marked = clustering.assigned(points, centroids).withColumn("topped_up", F.col("id") % 7 == 0)
+    points, *clusters = _clusters(spark, folder)
+    marked = clustering.assigned(points, *clusters).withColumn("topped_up", F.col("id") % 7 == 0)
     return clustering.drift(marked).withColumn("drift", F.round("drift", 6))
 
 
@@ -175,7 +176,7 @@ def kmeans_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes and cohesion of five fitted clusters."""
     points = _points(spark, folder)
     centroids = clustering.fit_spherical_kmeans(points, 5, 1)
-    return clustering.cluster_stats(clustering.assigned(points, centroids))
+    return clustering.cluster_stats(clustering.assigned(points.where("vec is not null"), centroids))
 
 
 def kmeans_restarts(spark: SparkSession, folder: str) -> DataFrame:

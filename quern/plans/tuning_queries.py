@@ -86,8 +86,13 @@ def tuning_confirm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bars_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """A customer's gains are added in the order of keys: many means lie at the bar but for the last bit, which no order of rows may decide."""
     k = F.col("o_orderkey")
-    rates = table(spark, folder, "orders").groupBy("o_custkey").agg(F.avg((k % 2 == 0).cast("double")).alias("recall"), F.avg(F.when(k % 3 == 0, 1.0 / (k % 5 + 1))).alias("mrr"))
+    own = table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.avg((k % 2 == 0).cast("double")).alias("recall"), F.array_sort(F.collect_list(F.when(k % 3 == 0, k))).alias("keys"),
+    )
+    total = F.aggregate("keys", F.lit(0.0), lambda s, x: s + 1.0 / (x % 5 + 1))
+    rates = own.select("o_custkey", "recall", F.try_divide(total, F.size("keys")).alias("mrr"))
     return _round(tuning.bars_reached(rates, {"recall": 0.5, "mrr": 0.4}), 6, "recall", "mrr")
 
 

@@ -34,3 +34,24 @@ def test_clusters(spark, tables, tmp_path, case):
     for name in ("nearest_centroid", "cluster_stats", "silhouette", "cluster_representatives", "drift_ratio", "cluster_top_up"):
         same(QUERIES[name](spark, folder), SQL[name], folder)
     assert QUERIES["kmeans_fit"](spark, folder).agg(F.sum("size")).first()[0] == spark.read.parquet(f"{folder}/embeddings.parquet").where("embedding is not null").count()
+
+
+def test_bars_do_not_depend_on_the_order_of_rows(spark, tables, tmp_path):
+    keys = [9, 24, 39, 60]  # gains of mean 0.4, whose sum in doubles is another from the end
+    found = []
+    for at, own in enumerate((keys, keys[::-1])):
+        (tmp_path / str(at)).mkdir()
+        rows = spark.createDataFrame([(k, 1) for k in own], "o_orderkey long, o_custkey long").coalesce(1)
+        folder = changed(tables, tmp_path / str(at), "orders", rows)
+        found.append(QUERIES["bars_reached"](spark, folder).first())
+    assert found[0] == found[1]
+    same(QUERIES["bars_reached"](spark, str(tmp_path / "0")), SQL["bars_reached"], str(tmp_path / "0"))
+
+
+def test_canonical_order_of_equal_ordinals(spark):
+    from quern.operators import catalog
+
+    chosen = spark.createDataFrame([(1, 10_008), (1, 1), (1, 2), (1, 1), (2, 20_015), (2, 10_008)], "set_id long, id long")
+    registry = spark.createDataFrame([(1, 7), (10_008, 7), (20_015, 7), (2, 3)], "id long, ordinal long")
+    for parts in (1, 5):
+        assert {r["set_id"]: r["ids"] for r in catalog.canonical_order(chosen.repartition(parts), registry).collect()} == {1: [2, 1, 10_008], 2: [10_008, 20_015]}

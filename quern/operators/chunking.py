@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,10 +88,29 @@ def stitched(parts: list[str]) -> tuple[str, list[int], list[int]]:
     return text, starts, ends
 
 
-def _stitched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        made = [(key, *stitched([p["text"] for p in parts])) for key, parts in zip(f["key"], f["parts"])]
-        yield pd.DataFrame(made, columns=["key", "text", "starts", "ends"])
+#: Rows of which a task makes Python objects at a time.
+STEP = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STEP rows at a time: a batch's texts as objects of Python would take several times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
+def listed(lists: pa.Array, field: str) -> list[list]:
+    """A field of the structs of each list."""
+    values, ends = lists.flatten().field(field).to_pylist(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = pa.list_(pa.int64())
+    for part in slices(batches):
+        text, starts, ends = zip(*map(stitched, listed(part.column("parts"), "text")))
+        columns = [part.column("key"), pa.array(text, pa.string()), pa.array(starts, places), pa.array(ends, places)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "text", "starts", "ends"])
 
 
 def stitch(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -100,7 +120,7 @@ def stitch(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     parts = F.array_sort(F.collect_list(F.struct("position", "text")))
     rows = chunks.groupBy(F.col(id_col).cast("long").alias("key")).agg(parts.alias("parts"))
-    made = rows.mapInPandas(_stitched, "key long, text string, starts array<long>, ends array<long>")
+    made = rows.mapInArrow(_stitched, "key long, text string, starts array<long>, ends array<long>")
     return made.withColumnRenamed("key", id_col)
 
 

@@ -14,10 +14,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quern.operators.chunking import stitched
+from quern.operators.chunking import STEP, listed, slices, stitched
 
 
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
@@ -120,8 +122,6 @@ def offsets(text: Column, path: str) -> Column:
     return _mapped("array<long>", lambda t: boundaries(t.encode(), Subwords.of(path).ends(t)))(text)
 
 
-#: Rows that a task turns into windows before it hands them on.
-STEP = 256
 WINDOW = ["position", "start", "end", "char_start", "char_end", "text"]
 
 
@@ -167,31 +167,37 @@ def token_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataF
 
     A document's spans meet its offsets in one row, and each end is found by binary search. Spans of no document have no row.
     """
-    listed = spans.groupBy(key).agg(F.collect_list(F.struct("position", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("_spans"))
+    asked = spans.groupBy(key).agg(F.collect_list(F.struct("position", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("_spans"))
+    rows = docs.select(key, F.col("offsets").cast("array<long>").alias("_offsets")).join(asked, key)
+    layout = StructType([rows.schema[key], *(StructField(c, IntegerType()) for c in ("position", "token_start", "token_end"))])
+    return rows.mapInArrow(partial(_spanned, names=layout.names), layout)
 
-    @F.pandas_udf("array<struct<position:int,token_start:int,token_end:int>>")
-    def found(offsets: pd.Series, asked: pd.Series) -> pd.Series:
-        out = []
-        for at, rows in zip(offsets, asked):
-            ends = first_tokens(at, [c for r in rows for c in (r["start"], r["end"])])
-            out.append([{"position": r["position"], "token_start": ends[2 * i], "token_end": ends[2 * i + 1]} for i, r in enumerate(rows)])
-        return pd.Series(out, dtype=object)
 
-    return docs.select(key, "offsets").join(listed, key).select(key, F.inline(found("offsets", "_spans")))
+def _spanned(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        spans = [listed(part.column("_spans"), c) for c in ("position", "start", "end")]
+        found: list[list[int]] = [[], [], []]
+        for at, *asked in zip(part.column("_offsets"), *spans):
+            places = at.values.to_numpy(zero_copy_only=False)
+            for column, made in zip(found, (asked[0], *(first_tokens(places, chars) for chars in asked[1:]))):
+                column += made
+        key = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), list(map(len, spans[0])))))
+        yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.int32()) for x in found)], names)
 
 
-def _edited(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _edited(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     names = ["key", "position", "token_start", "token_end", "own_start", "own_end", "n_tokens"]
-    for f in frames:
-        for i in range(0, len(f), STEP):
-            made = []
-            for key, parts in zip(f["key"].iloc[i : i + STEP], f["parts"].iloc[i : i + STEP]):
-                text, starts, ends = stitched([p["text"] for p in parts])
-                at = boundaries(text.encode(), Subwords.of(path).ends(text))
-                first, last, n = first_tokens(at, starts), first_tokens(at, ends), len(at) - 1
-                own = zip([0, *last[:-1]], [*first[1:], n])
-                made += [(key, p["position"], a, b, *o, n) for p, a, b, o in zip(parts, first, last, own)]
-            yield pd.DataFrame(made, columns=names)
+    kinds = [pa.int64(), *[pa.int32()] * 6]
+    for part in slices(batches):
+        made = []
+        texts, positions = (listed(part.column("parts"), c) for c in ("text", "position"))
+        for key, pieces, places in zip(part.column("key").to_pylist(), texts, positions):
+            text, starts, ends = stitched(pieces)
+            at = boundaries(text.encode(), Subwords.of(path).ends(text))
+            first, last, n = first_tokens(at, starts), first_tokens(at, ends), len(at) - 1
+            own = zip([0, *last[:-1]], [*first[1:], n])
+            made += [(key, p, a, b, *o, n) for p, a, b, o in zip(places, first, last, own)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*made), kinds)], names)
 
 
 def edit_windows(chunks: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -204,4 +210,4 @@ def edit_windows(chunks: DataFrame, path: str, key: str = "doc_id") -> DataFrame
     parts = F.array_sort(F.collect_list(F.struct("position", "text")))
     rows = chunks.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(parts.alias("parts"))
     layout = "key long, position int, token_start int, token_end int, own_start int, own_end int, n_tokens int"
-    return rows.mapInPandas(partial(_edited, path=path), layout).withColumnRenamed("key", key)
+    return rows.mapInArrow(partial(_edited, path=path), layout).withColumnRenamed("key", key)

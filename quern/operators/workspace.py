@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quern.operators.caches import first_by
-from quern.operators.running import first_of_each
+from quern.operators.running import first_of_each, placed
 
 
 def owned(rows: DataFrame, configs: DataFrame, user_id) -> DataFrame:
@@ -89,16 +90,22 @@ def keyset_page(rows: DataFrame, keys: list[str], after: list | None, limit: int
 def walk_pages(rows: DataFrame, keys: list[str], limit: int, path: str, most: int | None = None) -> tuple[DataFrame, bool]:
     """Writes pages of rows under path, one after another, and reads back what is there: (rows with page, whether all are done).
 
-    A page and its cursor, the key of its last row, are one write. So a walk that stopped goes on after the last whole page,
-    and one that is done does nothing. most: pages of this call.
+    most: pages of this call, each one read and one write; without it all that are left are placed and written in one pass,
+    however many they are. A write counts once it holds all its rows, so a walk that stopped goes on after the last whole
+    one, and one that is done does nothing.
     """
     spark, made = rows.sparkSession, 0
+    layout = StructType([*rows.schema, StructField("page", IntegerType()), StructField("_of", LongType())])
 
     def written() -> DataFrame:
-        return spark.read.schema(rows.schema).parquet(f"{path}/*").withColumn("page", F.regexp_extract("_metadata.file_path", r"page-(\d+)/", 1).cast("int"))
+        return spark.read.schema(layout).parquet(f"{path}/*")
+
+    def keep(page: DataFrame, n: int, name: int) -> None:
+        page.select(*rows.columns, "page", F.lit(n).cast("long").alias("_of")).write.mode("overwrite").parquet(f"{path}/page-{name}")
 
     try:
-        last = written().agg(F.max("page").alias("page")).first()["page"]
+        writes = written().groupBy(F.regexp_extract("_metadata.file_path", r"page-(\d+)/", 1)).agg(F.count(F.lit(1)).alias("n"), F.max("_of").alias("of"), F.max("page").alias("page"))
+        last = writes.where("n = of").agg(F.max("page").alias("page")).first()["page"]
     except AnalysisException:  # nothing is there yet
         last = None
     number, cursor, done = 0, None, False
@@ -106,16 +113,23 @@ def walk_pages(rows: DataFrame, keys: list[str], limit: int, path: str, most: in
         page = written().where(F.col("page") == last)
         ends = page.orderBy(*[F.desc_nulls_last(k) for k in keys]).limit(1).collect()
         number, cursor, done = last + 1, [ends[0][k] for k in keys], page.count() < limit
-    while not done and (most is None or made < most):
-        page = keyset_page(rows, keys, cursor, limit).persist()
+    if most is None and not done:
+        left = placed(rows.where(beyond(keys, cursor)), [F.asc_nulls_first(k) for k in keys], "_place")
+        n = left.count()
+        if n:
+            keep(left.withColumn("page", (F.floor((F.col("_place") - 1) / limit) + number).cast("int")), n, number)
+        return (written().drop("_of") if n or last is not None else rows.limit(0).withColumn("page", F.lit(0))), True
+    while not done and made < most:
+        page = keyset_page(rows, keys, cursor, limit).withColumn("page", F.lit(number)).persist()
         ends = page.orderBy(*[F.desc_nulls_last(k) for k in keys]).limit(1).collect()
+        n = page.count()
         if ends:
-            page.coalesce(1).write.mode("overwrite").parquet(f"{path}/page-{number}")
+            keep(page.coalesce(1), n, number)
             cursor = [ends[0][k] for k in keys]
-        done = page.count() < limit
+        done = n < limit
         page.unpersist()
         number, made = number + 1, made + 1
-    return (written() if number and (last is not None or cursor is not None) else rows.limit(0).withColumn("page", F.lit(0))), done
+    return (written().drop("_of") if number and (last is not None or cursor is not None) else rows.limit(0).withColumn("page", F.lit(0))), done
 
 
 def failing_metrics(

@@ -55,3 +55,18 @@ def test_canonical_order_of_equal_ordinals(spark):
     registry = spark.createDataFrame([(1, 7), (10_008, 7), (20_015, 7), (2, 3)], "id long, ordinal long")
     for parts in (1, 5):
         assert {r["set_id"]: r["ids"] for r in catalog.canonical_order(chosen.repartition(parts), registry).collect()} == {1: [2, 1, 10_008], 2: [10_008, 20_015]}
+
+
+def test_pages_that_are_left_are_one_write(spark, tmp_path):
+    from quern.operators import workspace
+
+    path, rows = str(tmp_path / "pages"), spark.range(95).withColumn("v", F.col("id") % 3)
+    workspace.walk_pages(rows, ["id"], 10, path, most=2)
+    got, done = workspace.walk_pages(rows, ["id"], 10, path)
+    assert done and sorted(os.listdir(path)) == ["page-0", "page-1", "page-2"]
+    whole = sorted((r["id"], r["page"]) for r in got.collect())
+    assert whole == [(i, i // 10) for i in range(95)]
+    lost = next(f for f in sorted(os.listdir(f"{path}/page-2")) if f.endswith(".parquet"))
+    os.remove(f"{path}/page-2/{lost}")  # a write that was cut off
+    got, done = workspace.walk_pages(rows, ["id"], 10, path)
+    assert done and sorted((r["id"], r["page"]) for r in got.collect()) == whole

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,9 +41,19 @@ def chunk_spans(docs: DataFrame, chunks: DataFrame, key: str = "doc_id") -> Data
 def token_offsets(words: Column) -> Column:
     """Offsets of the words of a text joined by single spaces, and its length: array<int> of n + 1 numbers."""
 
-    @F.pandas_udf("array<int>")
-    def summed(lengths: pd.Series) -> pd.Series:
-        return lengths.map(lambda n: None if n is None else np.cumsum(np.concatenate([[0], np.asarray(n) + 1])).astype(np.int32))
+    @F.arrow_udf("array<int>")
+    def summed(lengths: pa.Array) -> pa.Array:
+        n = pc.fill_null(lengths.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n + 1)
+        begin = ends - n - 1  # each text's place in what is made, where its 0 stands
+        made = np.zeros(int(n.sum()) + len(n), np.int64)
+        inner = np.ones(len(made), bool)
+        inner[begin] = False
+        made[inner] = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        total = np.cumsum(made)
+        made = (total - np.repeat(total[begin], n + 1)).astype(np.int32)
+        null = lengths.is_null() if lengths.null_count else None
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(made), mask=null)
 
     return summed(F.transform(words, F.length))
 

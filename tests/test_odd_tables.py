@@ -70,3 +70,12 @@ def test_pages_that_are_left_are_one_write(spark, tmp_path):
     os.remove(f"{path}/page-2/{lost}")  # a write that was cut off
     got, done = workspace.walk_pages(rows, ["id"], 10, path)
     assert done and sorted((r["id"], r["page"]) for r in got.collect()) == whole
+
+
+def test_token_offsets(spark):
+    from quern.operators import workbench
+
+    rows = [(0, ["ab", "c", "", "def"]), (1, []), (2, None), (3, ["x"])]
+    df = spark.createDataFrame(rows, "id int, words array<string>").coalesce(1)
+    got = {r["id"]: r["o"] for r in df.select("id", workbench.token_offsets(F.col("words")).alias("o")).collect()}
+    assert got == {0: [0, 3, 5, 6, 10], 1: [0], 2: None, 3: [0, 2]}

@@ -46,11 +46,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(a @ b.T, PLACES) + 0.0
 
 
-def lots(questions: DataFrame, columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Questions in lots that may be sent to every task: `columns` and the unit vectors `vec`, as arrays."""
+def lots(questions: DataFrame, columns: list[str], most: int = LOT) -> Iterator[dict[str, np.ndarray]]:
+    """Questions in lots of about `most` that may be sent to every task: `columns` and the unit vectors `vec`, as arrays."""
     known = questions.where("vec is not null").select("question_id", *columns, "vec")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("dim")).first()
-    n = max(1, ceil(size["n"] / LOT), ceil(size["n"] * size["dim"] / LOT_NUMBERS))
+    n = max(1, ceil(size["n"] / most), ceil(size["n"] * size["dim"] / LOT_NUMBERS))
     for lot in range(n):
         part = known.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == lot).toArrow() if n > 1 else known.toArrow()
         if part.num_rows:

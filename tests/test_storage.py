@@ -161,6 +161,21 @@ def test_a_probe_reads_its_lists_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
 
 
+def test_lists_meet_their_questions_without_a_shuffle_of_vectors(spark, tmp_path, monkeypatch):
+    """Vectors without groups: bounds rule out nothing, so every question asks every list. Only its best of each task are shuffled."""
+    from test_operators import shuffled_records
+
+    chunks = spark.createDataFrame(vectors(1500, 24, groups=1, spread=9.0), "chunk_id long, vec array<double>")
+    index = invertedfile.build(chunks, str(tmp_path / "ivf"))
+    asked = spark.createDataFrame(vectors(150, 24, seed=4, groups=1, spread=9.0), "question_id long, vec array<double>")
+    before = shuffled_records(spark)
+    got = invertedfile.search(index, asked, 2, 1, exact=True).collect()
+    assert shuffled_records(spark) - before < 20 * 150 and len(got) == 300
+    monkeypatch.setattr(invertedfile, "MARKS", 40 * len(index.sizes))
+    assert sorted(invertedfile.search(index, asked, 2, 1, exact=True).collect()) == sorted(got)
+    assert sorted(got) == sorted(similarity.top_k(asked, chunks, 2).select("question_id", "chunk_id", "sim", "rank").collect())
+
+
 def test_recall_of_the_query(spark, tables):
     from quern.plans.retrieval_queries import inverted_file_recall
 

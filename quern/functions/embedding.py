@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +37,18 @@ def provider(embed: Embed, limit: int) -> Callable[[Column], Column]:
     `embed` is made ready once a task, so a model that it loads on its first call stays for all batches of the task.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            values = texts.tolist()
-            made = iter(batched([t for t in values if t is not None], embed, limit))
-            yield pd.Series([None if t is None else next(made) for t in values], dtype=object)
+            there = texts.is_valid().to_numpy(zero_copy_only=False)
+            known, made = np.flatnonzero(there), []
+            for at in range(0, len(known), limit):  # only a call's texts are objects of Python
+                made.append(np.array(batched(texts.take(pa.array(known[at : at + limit])).to_pylist(), embed, limit)))
+            if len({m.shape[1] for m in made}) > 1:
+                raise ValueError("vectors of unequal length")
+            flat = np.concatenate(made).ravel() if made else np.empty(0)
+            ends = np.cumsum(there * (made[0].shape[1] if made else 0))
+            yield pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat), mask=pa.array(~there))
 
     return lambda text: run(text)
 

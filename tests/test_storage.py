@@ -373,3 +373,20 @@ def test_averages_of_one_key(spark, tmp_path):
     late = averages.averages(maps, "k", forget_ms=1000 * 1000)
     assert [x["k"] for x in late.collect()] == ["a"]
     assert layout and averages.maps_of(events.limit(0), "k").count() == 0
+
+
+def test_a_call_of_a_provider_holds_its_own_texts_alone():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quern.functions.embedding import provider
+
+    run = provider(lambda texts: [[len(t), 1.0] for t in texts], 16).__closure__[0].cell_contents.func
+    texts = pa.array([None, *(f"{i} " * 500 for i in range(4000)), None])
+    tracemalloc.start()
+    (out,) = run(iter([texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [None if t is None else [float(len(t)), 1.0] for t in texts.to_pylist()] and peak < texts.nbytes / 4
+    assert [b.to_pylist() for b in run(iter([texts[:1], texts[:0]]))] == [[None], []]

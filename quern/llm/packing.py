@@ -14,28 +14,33 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, gapless_rank, known_ids, restored, spread, table, texts_of
 from quern.llm.tokenizer import encoder, vocabulary_path
+from quern.operators.chunking import slices
 
 PIECES = "doc_id long, _no_id boolean, piece int, start long, length long, ids_crc32 long"
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _pieces(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: int) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-    for f in frames:
-        rows = []
-        for doc_id, no_id, text in zip(f["doc_id"], f["_no_id"], texts_of(f["text"])):
+    for part in slices(batches):
+        rows, of = [], []
+        for i, text in enumerate(texts_of(part.column("text").to_pylist())):
             ids = encode(text) + end
             n, start, piece = len(ids) // 4, 0, 0
             length = n % capacity or capacity
             while start < n:
-                rows.append((doc_id, no_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                rows.append((piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                of.append(i)
                 start, piece, length = start + length, piece + 1, capacity
-        yield pd.DataFrame(rows, columns=["doc_id", "_no_id", *COLUMNS[1:]])
+        made = np.array(rows, np.int64).reshape(-1, 4).T
+        own = [part.column(c).take(pa.array(of, pa.int64())) for c in ("doc_id", "_no_id")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(made[0].astype(np.int32)), *map(pa.array, made[1:])], ["doc_id", "_no_id", *COLUMNS[1:]])
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,7 +51,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col:
     gives none; other columns are not read.
     """
     rows = docs.select(*known_ids(id_col), F.col(text).cast("string").alias("text"))
-    return restored(spread(rows).mapInPandas(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES))
+    return restored(spread(rows).mapInArrow(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES))
 
 
 class Plan:

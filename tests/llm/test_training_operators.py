@@ -488,3 +488,22 @@ def test_exact_topk(spark):
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert got == expected
     assert vafile.exact_topk(df.limit(0), F.col("vec_id") % 10 == 0, 5).count() == 0
+
+
+def test_pieces_hold_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quern.llm import packing
+    from quern.llm.tokenizer import vocabulary_path
+
+    texts = pa.array([None, *("and so on " * 200 for _ in range(4000))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4001), pa.int64()), pa.array([False] * 4001), texts], ["doc_id", "_no_id", "text"])
+    path = vocabulary_path("byte_bpe_50k.json")
+    list(packing._pieces(iter([batch.slice(0, 2)]), path, 0, 256))  # the tokenizer is kept
+    tracemalloc.start()
+    lengths = [n for made in packing._pieces(iter([batch]), path, 0, 256) for n in made.column("length").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths[0] == 1 and sum(lengths[1:]) % 4000 == 0 and max(lengths) == 256 and peak < texts.nbytes / 2

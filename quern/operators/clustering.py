@@ -75,7 +75,8 @@ def _partial_sums(frames):
             np.add.at(added, at, units)
             for c, v in zip([None if pd.isna(c) else int(c) for c in found], added):
                 sums[c] = sums.get(c, 0) + v
-    yield pd.DataFrame({"cluster": pd.array(list(sums), "Int32"), "sums": [v.tolist() for v in sums.values()]})
+    if sums:  # a frame without rows has no lists that Arrow could tell from numbers
+        yield pd.DataFrame({"cluster": pd.array(list(sums), "Int32"), "sums": [v.tolist() for v in sums.values()]})
 
 
 def _sums(assigned_points: DataFrame) -> dict[int | None, np.ndarray]:

@@ -153,7 +153,8 @@ def cluster_stats(spark: SparkSession, folder: str) -> DataFrame:
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
     points, *clusters = _clusters(spark, folder)
     out = clustering.silhouette(clustering.assigned(points, *clusters))
-    return out.select(F.round("silhouette", 6).alias("silhouette"), F.round("inertia", 4).alias("inertia"))
+    known = F.when(F.col("inertia").isNotNull(), F.round("silhouette", 6))  # of no points both are unknown
+    return out.select(known.alias("silhouette"), F.round("inertia", 4).alias("inertia"))
 
 
 def cluster_representatives(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,6 +36,20 @@ def test_clusters(spark, tables, tmp_path, case):
     assert QUERIES["kmeans_fit"](spark, folder).agg(F.sum("size")).first()[0] == spark.read.parquet(f"{folder}/embeddings.parquet").where("embedding is not null").count()
 
 
+@pytest.mark.parametrize("rows", [3, 0])
+def test_clusters_where_tasks_have_no_rows(spark, tables, tmp_path, rows):
+    vectors = spark.read.parquet(f"{tables}/embeddings.parquet").limit(rows).coalesce(1)
+    folder = changed(tables, tmp_path, "embeddings", vectors)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # the file's one row group lies in one of several tasks
+    try:
+        assert not rows or spark.read.parquet(f"{folder}/embeddings.parquet").rdd.getNumPartitions() > 1
+        for name in ("nearest_centroid", "cluster_stats", "silhouette", "cluster_representatives", "drift_ratio", "cluster_top_up"):
+            same(QUERIES[name](spark, folder), SQL[name], folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_bars_do_not_depend_on_the_order_of_rows(spark, tables, tmp_path):
     keys = [9, 24, 39, 60]  # gains of mean 0.4, whose sum in doubles is another from the end
     found = []

@@ -58,9 +58,9 @@ def set_name(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _needed(n: np.ndarray | int, percent: int):
+def _needed(n: int, percent: float) -> int:
     """The least number of shingles that a set of n shares with one within the radius."""
-    return -(-n * percent // 100)
+    return ceil(n * percent / 100 - 1e-9)
 
 
 # -- texts to sets ------------------------------------------------------------------------------------------------
@@ -91,7 +91,7 @@ def _class_counts(shingles: np.ndarray, width: int) -> bytes:
     return np.minimum(np.bincount(classes.astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
 
 
-def _described(frames: Iterator[pd.DataFrame], words: int, percent: int, held: Broadcast) -> Iterator[pd.DataFrame]:
+def _described(frames: Iterator[pd.DataFrame], words: int, percent: float, held: Broadcast) -> Iterator[pd.DataFrame]:
     """name, n, first (the shingles whose regions a set is copied into), low and high (its classes) of a partition's sets."""
     often, seen = held.value, set()
     for f in frames:
@@ -139,7 +139,7 @@ def _copies(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFra
         })
 
 
-def _met(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _met(bucket: pd.DataFrame, percent: float) -> pd.DataFrame:
     """a, b, checked: pairs of texts that share a region and whose sizes agree; in large regions links that need no check."""
     linked, kept = bucket[bucket["pivots"].isna()], bucket[bucket["pivots"].notna()]
     a, b = ([np.frombuffer(b"".join(linked[c]), np.int64)] for c in ("names", "sizes"))
@@ -169,7 +169,7 @@ def _met(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure}).drop_duplicates()
 
 
-def _within(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def _within(frames: Iterator[pd.DataFrame], percent: float) -> Iterator[pd.DataFrame]:
     """Pairs whose classes leave room for enough shared shingles: |x| + |y| - 2 |x and y| is at least the sum of the classes' differences."""
     for f in frames:
         near = np.zeros(len(f), bool)
@@ -184,7 +184,7 @@ def _within(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield f.loc[near, ["a", "b"]]
 
 
-def _candidates(described: DataFrame, percent: int) -> DataFrame:
+def _candidates(described: DataFrame, percent: float) -> DataFrame:
     """(a, b): names that belong to one region of the second level, as links."""
     copies = described.agg(F.sum(F.length("first") / 8)).first()[0] or 0
     buckets = max(shuffle_partitions(described.sparkSession), ceil(copies / POSTINGS))
@@ -211,7 +211,7 @@ def _sets(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
         yield f.assign(shingles=found)
 
 
-def _joined(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _joined(group: pd.DataFrame, percent: float) -> pd.DataFrame:
     """Links within the regions of a task, each as a star of what it connects."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for _, g in group.drop_duplicates(["region", "name"]).sort_values("n").groupby("region", sort=False):
@@ -226,7 +226,7 @@ def _joined(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 PARTED = "region long, pivot long, name long, n long, near boolean"
 
 
-def _parted(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _parted(group: pd.DataFrame, percent: float) -> pd.DataFrame:
     """Members of a part of a region beside the region's pivots: the pivots whose regions or windows they belong to, and
     whether they are linked to them."""
     g = group.drop_duplicates(["name", "is_pivot"])
@@ -245,13 +245,13 @@ def _weights(members: DataFrame) -> DataFrame:
     return members.groupBy("region").agg(F.sum(F.col("n") + ROW).alias("weight"))
 
 
-def _split(members: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _split(members: DataFrame, large: DataFrame, sets: DataFrame, percent: float, block: int) -> DataFrame:
     """One level: PARTED rows of the members (region, name, n) of large regions (region, weight).
 
     A region's pivots are the first by a hash in each of PIVOTS lots. Its members are dealt to parts, each beside all pivots.
     """
     chance = F.xxhash64("name", F.lit(11))
-    parts = large.select("region", F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
+    parts = large.select("region", F.ceil(F.col("weight") / block).cast("int").alias("parts"))
     inside = members.join(parts, "region")
     lots = inside.groupBy("region", "parts", F.pmod(chance, F.lit(PIVOTS)).alias("lot")).agg(F.min_by("name", chance).alias("name"))
     pivots = lots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "name", F.lit(True).alias("is_pivot"))
@@ -260,16 +260,16 @@ def _split(members: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     return cut(whole.groupBy("region", "salt").applyInPandas(lambda g: _parted(g, percent), PARTED))
 
 
-def _second_level(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _second_level(members: DataFrame, sets: DataFrame, percent: float, block: int) -> DataFrame:
     """(a, b): links that connect all pairs within the radius inside the regions of members (region, name, n).
 
-    Regions of more than BLOCK shingles are parted by pivots, up to LEVELS times, while no part is most of a region and its
+    Regions of more than `block` shingles are parted by pivots, up to LEVELS times, while no part is most of a region and its
     parts together are not much more; what stays large is compared block by block, but for what is linked to one pivot.
     """
     links, done, blocked = [], [], []
     for level in range(LEVELS + 1):
         weights = cut(_weights(members))
-        large = weights.where(F.col("weight") > BLOCK)
+        large = weights.where(F.col("weight") > block)
         if large.isEmpty():
             break
         done.append(members.join(large, "region", "left_anti"))
@@ -277,7 +277,7 @@ def _second_level(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             blocked.append(members.join(large, "region", "left_semi"))
             members = members.limit(0)
             break
-        parted = _split(members, large, sets, percent)
+        parted = _split(members, large, sets, percent, block)
         links.append(parted.where("near and name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b")))
         lower = parted.select(F.xxhash64("region", "pivot").alias("lower"), "region", "name", "n").dropDuplicates(["lower", "name"])
         sizes = lower.groupBy("region", "lower").agg(F.sum(F.col("n") + ROW).alias("w")).groupBy("region").agg(F.sum("w").alias("all"), F.max("w").alias("most"))
@@ -289,13 +289,13 @@ def _second_level(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         small = small.unionByName(more)
     small = cut(small)
     weight = small.agg(F.sum(F.col("n") + ROW)).first()[0] or 0
-    tasks = max(shuffle_partitions(small.sparkSession), ceil(weight / BLOCK))
+    tasks = max(shuffle_partitions(small.sparkSession), ceil(weight / block))
     placed = small.join(sets.select("name", "shingles"), "name").withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)))
     links.append(placed.groupBy("task").applyInPandas(lambda g: _joined(g, percent), "a long, b long"))
     return _with_blocks(links, blocked, sets, percent)
 
 
-def _with_blocks(links: list[DataFrame], blocked: list[DataFrame], sets: DataFrame, percent: int) -> DataFrame:
+def _with_blocks(links: list[DataFrame], blocked: list[DataFrame], sets: DataFrame, percent: float) -> DataFrame:
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -327,13 +327,9 @@ def _sets_of(members: DataFrame, keepers: DataFrame, rows: DataFrame, words: int
     return cut(texts.mapInPandas(partial(_sets, words=words), "name long, n long, shingles binary").dropDuplicates(["name"]))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
-
-    Two rows link when 100 * |shared| >= percent * |either| for their sets of distinct shingles of `words` words (ASCII
-    capitals folded; a text of fewer words has all of them as one). component_id is the smallest doc_id reached by links,
-    the row's own included. Null texts and texts without words have empty sets, which link with nothing; null ids are no
-    component's id unless it has no other (then null); rows that repeat have a row each; other columns are not read.
+def linked_sets(docs: DataFrame, words: int, percent: float, id_col: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """KEY, name, n of every row of docs; name, n, least (the smallest id), keeper of every set with shingles; node, root of
+    the sets that links lead to another, directly or through others. Regions of more than `block` shingles are parted.
     """
     spark, rows = docs.sparkSession, _rows(docs, id_col, text)
     path = scratch_path(spark, "jaccard")
@@ -350,8 +346,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     known = F.min(F.when(~F.col("_no_id"), F.col("_id"))).alias("least")
     classes = cut(kept.where("n > 0").groupBy("name", "n").agg(F.min(F.struct(*KEY)).alias("keeper"), known))
     members = cut(regions.join(classes.select("name", "n"), "name").select("region", "name", "n"))
-    links = _second_level(members, _sets_of(members, classes.select("name", "keeper"), rows, words), percent)
-    rooted = classes.join(star_roots(links), F.col("name") == F.col("node"), "left")
+    links = _second_level(members, _sets_of(members, classes.select("name", "keeper"), rows, words), percent, block)
+    return kept, classes, star_roots(links)
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Two rows link when 100 * |shared| >= percent * |either| for their sets of distinct shingles of `words` words (ASCII
+    capitals folded; a text of fewer words has all of them as one). component_id is the smallest doc_id reached by links,
+    the row's own included. Null texts and texts without words have empty sets, which link with nothing; null ids are no
+    component's id unless it has no other (then null); rows that repeat have a row each; other columns are not read.
+    """
+    kept, classes, roots = linked_sets(docs, words, percent, id_col, text, BLOCK)
+    rooted = classes.join(roots, F.col("name") == F.col("node"), "left")
     rooted = cut(rooted.select("name", "least", F.coalesce("root", "name").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     components = rooted.join(least, "root").select("name", "component_id")

@@ -1,94 +1,33 @@
-"""Groups of near duplicates at a given similarity, from wide SimHash sketches.
-
-Texts that share 0.8 of their shingles differ in about 0.15 of their SimHash bits, far beyond the few that a search
-of 64-bit fingerprints can bridge. So a sketch has SKETCH bits, each the majority bit of another hash of the distinct
-shingles, and candidates meet in bands: random choices of bits, enough of them that a pair at the least similarity shares
-one with a chance of RECALL. A band's rows are searched in the Gray order of their sketches. Sketches and sizes imply a
-similarity, give or take: rows that may reach the threshold, directly or through others, form a candidate group. Within
-it shingles decide: members are dealt to blocks, and blocks whose sizes can agree meet in a task that compares the sets.
+"""Groups of near duplicates at a given similarity, and one row of each.
+
+Links are those of `jaccard`, which finds every pair of sets of shingles that are alike enough, by pivots, regions and
+windows; texts without words are alike. Where a region is large, its sets are compared here: members are dealt to blocks, and
+blocks whose sizes can agree meet in a task that compares the sets.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
-from math import acos, ceil, log, log2, pi
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, fresh, known_ids, restored, shuffle_partitions, spread, texts_of
-from quern.llm.components import least_of, star_roots
+from quern.llm.common import cut, fresh, shuffle_partitions, spread  # noqa: F401  spread is patched by tests
+from quern.llm.components import least_of
 from quern.llm.regions import Region
-from quern.llm.simhash import _mix, gray_rank, merge, shingle_hashes
-
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
-SKETCH = 512
-WIDE = SKETCH // 64
-#: A sketch's estimate scatters by about 0.035 around the true similarity. Pairs so far below the threshold are no
-#: candidates; in groups of many blocks, pairs so far above it are checked first, each member against one of them.
-BELOW, ABOVE = 0.16, 0.1
-#: Rows of a band's group on average, and of each of the two parts that meet where a group is large.
-MEAN_GROUP, LARGEST = 128, 4096
+from quern.llm.simhash import _mix, merge
+
+WORDS, SIMILARITY = 5, 0.8
+#: Rows of each of the two parts that meet where many sets share a shingle.
+LARGEST = 4096
 #: Shingles of a block of sets, each set counted as ROW more; blocks of one set of copies of more than COPIES rows are its own.
 BLOCK, ROW, COPIES = 1 << 21, 512, 256
 #: Stands for sets that share their block with others.
 MIXED = -(1 << 63)
-#: Sets of fewer shingles are compared exactly with all that may be near them: their sketches tie in too many bits.
-SHORT = 20
-#: So many names of texts, of 40 bytes, are sent to every task at most.
-MAX_BROADCAST = 200_000
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """SKETCH bits of a set of shingles: for each 64 of them another mixing of the hashes, then majorities."""
-    hashes = np.unique(hashes)
-    out = np.zeros(SKETCH, np.int64)
-    for w in range(WIDE):
-        counts = out[64 * w : 64 * w + 64]
-        for i in range(0, len(hashes), 1 << 16):
-            mixed = _mix(hashes[i : i + (1 << 16)] + np.uint64(0x9E3779B97F4A7C15 * (w + 1) % 2**64))
-            bits = np.unpackbits(mixed.view(np.uint8)).reshape(-1, 64)
-            full = len(bits) // 255 * 255
-            counts += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-            counts += bits[full:].sum(axis=0, dtype=np.int64)
-    return np.packbits(out * 2 > len(hashes)).tobytes()
-
-
-def _name(shingles: np.ndarray) -> int:
-    """Names a set of shingles (sorted): equal sets share it."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _sketches(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        found = [np.unique(shingle_hashes(t, words)) for t in texts_of(f["text"])]
-        names = np.array([_name(h) for h in found], np.int64)
-        made = {"name": names, "sketch": [sketch(h) for h in found], "n": [len(h) for h in found], "whole": [h.tobytes() if len(h) < SHORT else None for h in found]}
-        yield f[["doc_id", "_no_id", "tie"]].assign(**made)
-
-
-def bands(similarity: float, bits: int, recall: float) -> int:
-    """How many bands of `bits` bits a pair of this similarity needs to share one with a chance of `recall`."""
-    same = (1 - acos(2 * similarity / (1 + similarity)) / pi) ** bits
-    return ceil(log(1 - recall) / log(1 - same))
-
-
-def _band_keys(sketches: np.ndarray, band: int, bits: int) -> np.ndarray:
-    """Value of each sketch (rows of bits) in a band: the same bits for every task."""
-    chosen = np.random.default_rng([band, bits]).choice(SKETCH, bits, replace=False)
-    return sketches[:, chosen].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-
-
-def _deal(frames: Iterator[pd.DataFrame], n_bands: int, bits: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        unpacked = np.unpackbits(np.frombuffer(b"".join(f["sketch"]), np.uint8)).reshape(-1, SKETCH)
-        for b in range(n_bands):
-            seed = np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            to = _mix(_mix(_band_keys(unpacked, b, bits)) ^ seed)
-            yield pd.DataFrame({"path": to.view(np.int64), "name": f["name"], "sketch": f["sketch"], "n": f["n"]})
 
 
 def _in_parts(groups: DataFrame) -> DataFrame:
@@ -103,41 +42,6 @@ def _in_parts(groups: DataFrame) -> DataFrame:
     return groups.join(hot, "path", "left_anti").unionByName(met.select(*groups.columns))
 
 
-def _similar(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity implied by sketches (rows of words) and numbers of distinct shingles."""
-    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) / SKETCH
-    shared = np.cos(pi * np.minimum(apart, 0.5)) * np.sqrt(n_a * n_b)
-    return shared / np.maximum(n_a + n_b - shared, 1e-9)
-
-
-def _links(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links of rows that share a path, as stars: of those that are surely alike, and of all that may be."""
-    path = group["path"].to_numpy()
-    words = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(-1, WIDE)
-    order = np.lexsort((gray_rank(words[:, 0]), path))
-    path, words, n = path[order], words[order], group["n"].to_numpy().astype(float)[order]
-    sure, maybe, every = np.arange(len(path)), np.arange(len(path)), np.arange(len(path))
-    ends = np.flatnonzero(np.append(path[1:] != path[:-1], True)) + 1
-    sizes = np.diff(np.concatenate([[0], ends]))
-    stop = np.repeat(ends, sizes)  # where each row's path ends
-    for step in range(1, int(sizes.max(initial=0))):  # neighbours in Gray order first; linked rows are not compared again
-        i = every[: len(path) - step]
-        i = i[(i + step < stop[i]) & (sure[i] != sure[i + step])]
-        likely = _similar(words[i], words[i + step], n[i], n[i + step])
-        near, far = likely >= similarity + ABOVE, likely < similarity - BELOW
-        merge(sure, i[near], i[near] + step)
-        merge(maybe, i[~far], i[~far] + step)
-    names = group["name"].to_numpy()[order]
-    links = [pd.DataFrame({"a": names, "b": least_of(names, roots), "sure": roots is sure}) for roots in (sure, maybe)]
-    return pd.concat([x[x["a"] != x["b"]] for x in links])
-
-
-def _shingles(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(f.pop("text"))]
-        yield f.assign(shingles=found)
-
-
 def _agreeing(sets: list[np.ndarray], core: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of cores whose sets share enough shingles, as stars: of sets of side 1 with those of side 0, or all with all.
 
@@ -176,15 +80,6 @@ def _compared(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _shingle_sets(lots: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """name, lot, n, shingles of the names of lots (name, lot). Only their texts are read again; few names are sent to the texts."""
-    asked = cut(classes.select("name", "n", F.col("keeper.doc_id").alias("_id"), F.col("keeper.tie").alias("_tie")).join(lots, "name"))
-    few = asked.count() <= MAX_BROADCAST
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
-    texts = rows.join(F.broadcast(asked) if few else asked, same).select("name", "lot", "n", "text")
-    return cut(texts.mapInPandas(partial(_shingles, words=words), "name long, lot long, n long, shingles binary"))
-
-
 def _dealt(tasks: DataFrame, similarity: float, weight: int) -> DataFrame:
     """(a, b): links of cores that the tasks find, many small tasks in a group. tasks: task, side, name, core, n, shingles."""
     groups = max(shuffle_partitions(tasks.sparkSession), ceil(weight / BLOCK))
@@ -207,16 +102,6 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
 
 
-def _star_tasks(copies: DataFrame) -> DataFrame:
-    """Every member of a set of copies beside the set's center, which goes to each part of a large set. copies: name, core, n, center_n."""
-    parts = copies.groupBy("core", "center_n").agg(_parts())
-    task = F.xxhash64("core", "salt").alias("task")
-    members = copies.join(parts.select("core", "parts"), "core").withColumn("salt", _salt())
-    members = members.select(task, F.lit(0).alias("side"), "name", F.col("name").alias("core"), "n")
-    centers = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return members.unionByName(centers.select(task, F.lit(1).alias("side"), F.col("core").alias("name"), "core", F.col("center_n").alias("n")))
-
-
 def _block_tasks(members: DataFrame, similarity: float) -> DataFrame:
     """Every pair of blocks of a group that may hold pairs of different cores. members: name, n, lot, core.
 
@@ -267,75 +152,23 @@ def _short_pairs(group: pd.DataFrame, percent: float) -> pd.DataFrame:
 
 
 def _short_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect all sets of fewer than SHORT shingles that are alike. classes: name, whole."""
+    """(a, b): links that connect all small sets that are alike, by their first shingles. classes: name, whole (the set), n."""
     shared = _in_parts(classes.where("n > 0").select("name", "whole").mapInPandas(partial(_first_shingles, similarity=similarity), "path long, name long, whole binary"))
     met = shared.withColumn("lot", F.pmod("path", F.lit(shuffle_partitions(classes.sparkSession)))).groupBy("lot")
     return cut(met.applyInPandas(lambda g: _short_pairs(g, similarity * 100), "a long, b long").distinct())
 
 
-def _connected(found: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float, known: DataFrame) -> DataFrame:
-    """(node, root) of the names that are alike by their shingles, directly or through others. found: a, b, sure; known: links a, b.
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, tie, name) of each row, (name, root) of each name, (root, keeper) of each root."""
+    from quern.llm.jaccard import linked_sets  # it compares its blocks by the tasks above
 
-    Links found join names to candidate groups. The sets of a group that fits in one block are compared in one task.
-    """
-    near = star_roots(found.select("a", "b"))
-    lots = near.select(F.col("node").alias("name"), F.col("root").alias("lot"))
-    lots = lots.unionByName(near.select(F.col("root").alias("name"), F.col("root").alias("lot")).distinct())
-    sets = _shingle_sets(lots, classes, rows, words)
-    weights = cut(sets.groupBy("lot").agg(F.sum(F.col("n") + ROW).alias("weight")))
-    total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
-    single = sets.select(F.col("lot").alias("task"), F.lit(0).alias("side"), "name", F.col("name").alias("core"), "n", "shingles")
-    if (most or 0) <= BLOCK:
-        return star_roots(_dealt(single, similarity, total or 0).unionByName(known))
-    large = weights.where(F.col("weight") > BLOCK).select("lot")
-    agreed = _dealt(single.join(large, F.col("task") == F.col("lot"), "left_anti"), similarity, total)
-    return star_roots(agreed.unionByName(known).unionByName(_in_blocks(sets.join(large, "lot", "left_semi"), found, similarity)))
-
-
-def _in_blocks(sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of the names of large candidate groups. sets: name, lot, n, shingles.
-
-    Each set of likely copies is checked first, every member against one of them, so a large set costs its members, not
-    its pairs; who fails stands alone again. Then every pair of a candidate group is compared but those inside one set.
-    """
-    members = cut(sets.select("name", "lot", "n").dropDuplicates(["name"]))
-    copies = star_roots(found.where("sure").select("a", "b")).select(F.col("node").alias("name"), F.col("root").alias("core"))
-    sizes = members.select("name", "n")
-    copies = copies.join(sizes, "name").join(sizes.select(F.col("name").alias("core"), F.col("n").alias("center_n")), "core")
-    same = _compare(_star_tasks(copies), sets, similarity)
-    same = cut(same.select(F.col("a").alias("name"), F.col("b").alias("core")))
-    members = members.join(same, "name", "left").withColumn("core", F.coalesce("core", "name"))
-    agreed = _compare(_block_tasks(cut(members), similarity), sets, similarity)
-    return same.select(F.col("name").alias("a"), F.col("core").alias("b")).unionByName(agreed)
-
-
-def _grouped(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, tie, name) of each row, (name, root) of each name, (root, keeper) of each root. rows: doc_id, text, tie."""
-    layout = "doc_id long, _no_id boolean, tie long, name long, sketch binary, n long, whole binary"
-    known = spread(rows).select(*known_ids("doc_id"), "tie", "text")
-    sketched = cut(restored(known.mapInPandas(partial(_sketches, words=words), layout)))
-    classes = cut(sketched.groupBy("name", "sketch", "n", "whole").agg(F.min(F.struct("doc_id", "tie")).alias("keeper")))
-    count = classes.count()
-    bits = min(20, max(8, ceil(log2(max(count, 1) / MEAN_GROUP))))
-    n_bands = bands(similarity, bits, RECALL)
-    dealt = classes.select("name", "sketch", "n").mapInPandas(
-        partial(_deal, n_bands=n_bands, bits=bits), "path long, name long, sketch binary, n long"
-    )
-    groups = _in_parts(dealt)
-    lots = max(shuffle_partitions(rows.sparkSession), ceil(count * n_bands / (8 * LARGEST)))
-    by_lot = groups.withColumn("lot", F.pmod("path", F.lit(lots))).groupBy("lot")
-    found = by_lot.applyInPandas(lambda g: _links(g, similarity), "a long, b long, sure boolean")
-    found = found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure"))
-    roots = _connected(cut(found), classes, rows, words, similarity, _short_links(classes.where("whole is not null"), similarity))
-    named = classes.select("name", "keeper").join(roots, F.col("name") == F.col("node"), "left")
+    kept, _, roots = linked_sets(docs, words, round(similarity * 100, 9), id_col, text, BLOCK)
+    rows = kept.select(F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), F.col("_tie").alias("tie"), "name")
+    named = rows.groupBy("name").agg(F.min(F.struct("doc_id", "tie")).alias("keeper"))
+    named = named.join(roots, F.col("name") == F.col("node"), "left")
     named = cut(named.select("name", "keeper", F.coalesce("root", "name").alias("root")))
     keepers = named.groupBy("root").agg(F.min("keeper").alias("keeper"))
-    return sketched.select("doc_id", "tie", "name"), named.select("name", "root"), keepers
-
-
-def _rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tie"))
+    return rows, named.select("name", "root"), keepers
 
 
 def similar_groups(
@@ -343,12 +176,12 @@ def similar_groups(
 ) -> DataFrame:
     """doc_id, tie (a hash of the text), root, keeper_id, keeper_tie of every row of docs.
 
-    Rows of one root are near duplicates (a Jaccard similarity of their sets of shingles of at least `similarity`, found
-    with a chance of RECALL a pair or more), directly or through others; the keeper is the smallest (doc_id, tie) of them.
+    Rows of one root are near duplicates (a Jaccard similarity of their sets of shingles of at least `similarity`), directly
+    or through others; all such pairs count. The keeper is the smallest (doc_id, tie) of them.
     Null texts are empty; texts without words are alike; texts of fewer words than a shingle have all of them as one.
     Null ids come before others. Rows that repeat id and text get equal results.
     """
-    rows, named, keepers = _grouped(_rows(docs, id_col, text), words, similarity)
+    rows, named, keepers = _grouped(docs, words, similarity, id_col, text)
     joined = rows.join(named.join(keepers, "root"), "name")
     return joined.select("doc_id", "tie", "root", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.tie").alias("keeper_tie"))
 
@@ -359,7 +192,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float
     Of rows that repeat the keeper's id and text, one stays, whichever their other columns. Nulls and empty or wordless
     texts count as `similar_groups` says; an empty table gives no rows.
     """
-    keepers = _grouped(_rows(docs), words, similarity)[2]
+    keepers = _grouped(docs, words, similarity)[2]
     names = [fresh(docs, x) for x in ("_id", "_null", "_tie")]
     there = [F.coalesce("keeper.doc_id", F.lit(0)), F.col("keeper.doc_id").isNull(), F.col("keeper.tie")]
     here = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
